@@ -60,6 +60,11 @@ def scratch(df: DataFrame, name: str, *parts: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_group(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
+    """``f(key, table)`` for each group.  (Spark reads type hints of functions; a bare lambda has none to misread.)"""
+    return df.groupBy(*keys).applyInArrow(lambda key, table: f(key, table), schema)
+
+
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """Only ``doc_id`` and ``text`` (and ``extra``), so other columns can have any name."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
