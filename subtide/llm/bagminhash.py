@@ -202,7 +202,8 @@ def classes(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     home = F.when(F.col("cuts") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(tasks)))
     dealt = dealt.select("row", "cluster", "side", home.alias("home"), F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"))
-    texts = docs.select("row", "text").join(dealt, "row")
+    # a merge join at every size: Spark prunes the large side by a Bloom filter of the members where that pays
+    texts = docs.select("row", "text").hint("merge").join(dealt, "row")
     links = C.by_group(texts, ["home", "p", "q"], compare, "a long, b long")
     joined = graph.components(links)
     lead = heads.select("same", F.col("head.row").alias("lead"), F.col("head").alias("head"))
