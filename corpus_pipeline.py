@@ -1,5 +1,57 @@
-"""A corpus from raw documents: quality rules, line dedup, near-dedup, mixing, packing."""
-STAGES = []
+"""A training corpus from raw documents, in five stages of the training-data operators.
+
+1. quality rules: documents that the base rules or the classifier reject go;
+2. line dedup: boilerplate lines of a source go from its documents;
+3. near-dedup: one document of each group of near copies stays;
+4. mixing: words are drawn from the sources by weight, a row for each document and pass;
+5. packing: what was drawn is packed into sequences of related documents.
+
+Each stage gets what the one before it wrote.  All but the last return the columns of
+``documents``.  The stages learn and count over their own input alone (and ``labels``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from subtide.llm import bagminhash, common, line_dedup, mixing, packing, quality_rules
+
+#: Blocks of the mix are long here, so that most documents are drawn whole.
+MIX_BLOCK = 1024
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return quality_rules.keep(docs, quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return bagminhash.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs, block=MIX_BLOCK)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("mixing", mix), ("packing", pack)]
+
+#: Classifier, signatures and permutations have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.scratch(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

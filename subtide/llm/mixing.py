@@ -82,8 +82,11 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
     return t.select("source", "source_size", "w", F.when(F.col("free").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("w") * F.col("free"))).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the row number ``row`` of every document."""
+def draw(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, size, source_size, target, row) and the pieces of them that are taken (row, from, words, times).
+
+    ``row`` numbers the rows of ``docs``, which must read alike each time (files do).
+    """
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"),
@@ -113,7 +116,8 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     reached = F.sequence(F.expr("start div length"), F.expr("(start + size - 1) div length"))
     pieces = d.where("size > 0").select("row", "source", "start", "size", "length", F.explode(reached).alias("index"))
     words = F.least((F.col("index") + 1) * F.col("length"), F.col("start") + F.col("size")) - F.greatest(F.col("index") * F.col("length"), F.col("start"))
-    pieces = pieces.select("row", "source", "index", words.alias("words"))
+    since = F.greatest(F.col("index") * F.col("length") - F.col("start"), F.lit(0))
+    pieces = pieces.select("row", "source", "index", since.alias("from"), words.alias("words"))
 
     # slots: a stratified uniform each, its source by the cell of the unit interval it lies in
     total = plan.agg(F.max(F.ceil("whole"))).first()[0] or 0
@@ -135,5 +139,28 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     taken = taken.groupBy("source", "index").agg(F.count("*").alias("times"))
 
     got = pieces.alias("p").join(taken.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.index") == F.col("t.index")))
-    got = got.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return d.join(got, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "row")
+    return d.select("doc_id", "size", "source_size", "target", "row"), got.select("row", "from", "words", "times")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the row number ``row`` of every document."""
+    d, got = draw(docs, **options)
+    taken = got.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    return d.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "row")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each document and pass, its text the words that were drawn.
+
+    Words keep the white space that follows them; ``n_chars``, if there, is counted anew.
+    """
+    name = "row_" + "_".join(sorted(docs.columns))  # no column of the input has this name
+    _, got = draw(docs, **options)
+    runs = got.groupBy(F.col("row").alias(name)).agg(F.array_sort(F.collect_list(F.struct("from", "words", "times"))).alias("runs"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias(name))
+    out = held.join(runs, name).select("doc", "runs", F.regexp_extract_all(F.col("doc.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)).alias("list"), F.explode(F.array(F.lit(1), F.lit(2))).alias("turn"))
+    chosen = F.filter("runs", lambda x: x["times"] >= F.col("turn"))
+    slices = F.transform(chosen, lambda x: F.slice("list", (x["from"] + 1).cast("int"), x["words"].cast("int")))
+    out = out.where(F.size(chosen) > 0).select("doc", F.array_join(F.flatten(slices), "").alias("mixed"))
+    columns = {"text": F.col("mixed"), "n_chars": F.length("mixed")}
+    return out.select(*[columns.get(f.name, F.col("doc").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema])
