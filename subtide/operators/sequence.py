@@ -94,11 +94,10 @@ def cue_pack(words: DataFrame, part: Names, order: Names, cfg: dict | None = Non
     d = d.withColumn("_hard", F.when(F.col("_next").isNull(), "eof").when(F.col("_next_tail"), None).when(ends, "end").when(silent, "silence"))
     d = islands(d, part, order, F.lag("_hard").over(w).isNotNull(), "_island")
     han, dense = F.length(F.regexp_replace("word", f"[^{R.HAN_TOKEN[1:-1]}]", "")), F.length(F.regexp_replace("word", r"\s", ""))
-    item = F.struct(*[F.col(c) for c in order], "word", "start", "end", han.alias("han"), dense.alias("dense"), "_pause", "_hard", "_next_tail")
+    item = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], "word", "start", "end", han.alias("han"), dense.alias("dense"), "_pause", "_hard", "_next_tail")
     groups = d.groupBy(*part, "_island").agg(F.array_sort(F.collect_list(item)).alias("list"))
     cue = "struct<start:double,end:double,text:string,reason:string,n_words:int>"
     zero = F.struct(F.array().cast(f"array<{cue}>").alias("done"), F.lit("").alias("text"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit(0).alias("han"), F.lit(0).alias("dense"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("first"))
-    at = F.struct(F.col("list"), F.sequence(F.lit(0), F.size("list") - 1).alias("ks"))
 
     def step(acc: Column, k: Column) -> Column:
         x, nxt = F.element_at("list", k + 1), F.try_element_at(F.col("list"), k + 2)
@@ -113,7 +112,6 @@ def cue_pack(words: DataFrame, part: Names, order: Names, cfg: dict | None = Non
         go = F.struct(acc["done"].alias("done"), text.alias("text"), start.alias("start"), end.alias("end"), han.alias("han"), dense.alias("dense"), n.alias("n"), first.alias("first"))
         return F.when(reason.isNotNull(), cut).otherwise(go)
 
-    del at
     packed = groups.select(*part, "_island", F.posexplode(F.aggregate(F.sequence(F.lit(0), F.size("list") - 1), zero, step, lambda acc: acc["done"])).alias("_k", "cue"))
     packed = packed.where(F.col("cue.text") != "")
     return packed.select(*part, F.row_number().over(Window.partitionBy(*part).orderBy("_island", "_k")).alias("index"), "cue.*")
@@ -133,7 +131,7 @@ def enforce_timing(cues: DataFrame, part: Names, order: Names, cfg: dict | None
 
     def step(acc: Column, k: Column) -> Column:
         x, nxt = F.element_at("list", k + 1), F.try_element_at(F.col("list"), k + 2)
-        before = F.try_element_at(acc, F.size(acc))["end"]
+        before = F.try_element_at(acc, F.lit(-1))["end"]
         start = F.greatest(x["start"], before + gap)
         end = F.greatest(x["end"], start)
         want = F.greatest(end, start + least)
