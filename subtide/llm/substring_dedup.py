@@ -395,4 +395,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     replies = C.scratch(C.by_group(runs, ["bucket"], merge_bucket, "block string, ids binary, bits binary"), "replies")
     answers = replies.groupBy("block").agg(F.collect_list(F.struct("ids", "bits")).alias("replies"))
     work = blocks.select("block").join(chosen, "block", "left").join(answers, "block", "left").select("block", "seeds", "replies")
-    return work.mapInArrow(finish(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # blocks are work, their rows are small: adaptive coalescing would put them into a few tasks
+    return work.repartition(tasks, "block").mapInArrow(finish(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
