@@ -52,7 +52,7 @@ def ask(items: DataFrame, task: str, call: Provider, retries: int = 1) -> DataFr
                 if key in left and key not in got:
                     got[key] = json.dumps({k: v for k, v in a.items() if k != "id"}, ensure_ascii=False, sort_keys=True)
             left = {k: v for k, v in left.items() if k not in got}
-        return pd.DataFrame({"id": list(got), "answer": list(got.values())})
+        return pd.DataFrame({"id": pd.Series(list(got), dtype="int64"), "answer": pd.Series(list(got.values()), dtype=object)})
 
     return items.groupBy("batch").applyInPandas(lambda pdf: one(pdf), "id long, answer string")
 

@@ -141,7 +141,7 @@ def _rows(docs: DataFrame, make, schema: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in re.sub(r"<[^()]*>", "", schema).split(", ")]
+        names = [x.split()[0] for x in _split_ddl(schema)]
         for pdf in batches:
             for doc, body in zip(pdf["doc_id"], pdf["text"], strict=True):
                 rows = list(make(doc, unicodedata.normalize("NFC", body or "")))
