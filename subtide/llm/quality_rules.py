@@ -79,13 +79,13 @@ def sparse_rows(block: C.TextBlock, which: np.ndarray) -> list[tuple[np.ndarray,
     return [(np.concatenate([x[0] for x in row]).astype(np.int32), np.concatenate([x[1] for x in row])) for row in out]
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float, epochs: int = 10, seed: int = 7) -> dict:
-    """Adagrad on the logistic loss, classes weighted evenly; then Platt scaling on every fifth row."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float, updates: int = 24_000, seed: int = 7) -> dict:
+    """Adagrad on the logistic loss, classes weighted evenly, as many epochs as make ``updates``; then Platt scaling on every fifth row."""
     w, g = np.zeros(FAMILIES << BITS, np.float32), np.full(FAMILIES << BITS, 1e-6, np.float32)
     bias, held = 0.0, np.arange(len(y)) % 5 == 0
     share = {c: max(float(np.mean(y[~held] == c)), 1e-3) for c in (0, 1)}
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(int(np.clip(updates // max(len(y), 1), 10, 400))):
         for i in rng.permutation(np.flatnonzero(~held)):
             ids, x = rows[i]
             p = 1 / (1 + np.exp(-np.clip(bias + float(w[ids] @ x), -30, 30)))
