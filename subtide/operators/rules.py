@@ -128,21 +128,32 @@ def _content(cues: DataFrame, readings: Mapping[str, Sequence[str]] | None) -> D
     return cues.select("doc_id", "cue_index", "zh", "py").mapInPandas(run, "doc_id string, code string, cue_index int, message string, line string")
 
 
-def _found(df: DataFrame, code: str, message: Column, line: Column | None = None, cue: Column | None = None) -> DataFrame:
-    return df.select("doc_id", F.lit(code).alias("code"), (F.col("index") if cue is None else cue).cast("int").alias("cue_index"), message.alias("message"), F.coalesce(line if line is not None else F.lit(""), F.lit("")).alias("line"))
+def _finding(code: str, message: Column, line: Column | None = None, cue: Column | None = None) -> Column:
+    """A finding as a struct; the cue is the row's number unless another is given."""
+    return F.struct(F.lit(code).alias("code"), (F.col("index") if cue is None else cue).cast("int").alias("cue_index"), message.alias("message"), F.coalesce(line if line is not None else F.lit(""), F.lit("")).alias("line"))
 
 
-def _sequence(b: DataFrame, what: str) -> list[DataFrame]:
-    """Numbers and stamps in order, for rows (doc_id, ordinal, index, start, end, stamp)."""
+def _emit(df: DataFrame, when: Sequence[tuple[Column, Column]], each: Sequence[Column] = ()) -> DataFrame:
+    """Findings of each row: those whose condition holds, and arrays of them.  All rules of a table are one pass over it."""
+    found = F.array_compact(F.array(*[F.when(c, f) for c, f in when]))
+    return df.select("doc_id", F.explode(F.concat(found, *each) if each else found).alias("f")).select("doc_id", "f.*")
+
+
+def _in_order(b: DataFrame) -> DataFrame:
+    """What the number should be, and the latest end before, for rows (doc_id, ordinal, index, end)."""
     w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    d = b.withColumn("expected", F.coalesce(F.last("index", ignorenulls=True).over(w), F.lit(0)) + 1).withColumn("before", F.max("end").over(w))
-    at = F.coalesce(F.col("index"), F.col("ordinal")) if what == "vi" else F.col("index")
+    return b.withColumn("expected", F.coalesce(F.last("index", ignorenulls=True).over(w), F.lit(0)) + 1).withColumn("before", F.max("end").over(w))
+
+
+def _sequence(at: Column) -> list[tuple[Column, Column]]:
+    """Rules of numbers and stamps."""
+    stamp = F.col("stamp")
     return [
-        _found(d.where("index is null"), "INDEX_SEQ", F.format_string("block %d has no number", "ordinal"), F.col("stamp"), F.lit(None)),
-        _found(d.where("index <> expected"), "INDEX_SEQ", F.format_string("number %d where %d should be", "index", "expected"), F.col("stamp")),
-        _found(d.where("start is null and has_stamp"), "TIMESTAMP_FORMAT", F.concat(F.lit("not a time stamp: "), "stamp"), F.col("stamp"), at),
-        _found(d.where("start >= end"), "TIMESTAMP_ORDER", F.lit("start isn't before end"), F.col("stamp"), at),
-        _found(d.where("start < before"), "TIMESTAMP_ORDER", F.format_string("starts at %s before %s", text.format_stamp(F.col("start")), text.format_stamp(F.col("before"))), F.col("stamp"), at),
+        (F.col("index").isNull(), _finding("INDEX_SEQ", F.format_string("block %d has no number", "ordinal"), stamp, F.lit(None))),
+        (F.col("index") != F.col("expected"), _finding("INDEX_SEQ", F.format_string("number %d where %d should be", "index", "expected"), stamp)),
+        (F.col("start").isNull() & F.col("has_stamp"), _finding("TIMESTAMP_FORMAT", F.concat(F.lit("not a time stamp: "), "stamp"), stamp, at)),
+        (F.col("start") >= F.col("end"), _finding("TIMESTAMP_ORDER", F.lit("start isn't before end"), stamp, at)),
+        (F.col("start") < F.col("before"), _finding("TIMESTAMP_ORDER", F.format_string("starts at %s before %s", text.format_stamp(F.col("start")), text.format_stamp(F.col("before"))), stamp, at)),
     ]
 
 
@@ -168,9 +179,10 @@ def is_vietnamese(sides: DataFrame) -> DataFrame:
 def zh_findings(docs: DataFrame, readings: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """The rules of Chinese and pinyin files."""
     b = srt.sides(docs).withColumn("n_lines", F.size("lines") + F.when(F.col("stamp") != "", 2).otherwise(1)).withColumn("has_stamp", F.col("n_lines") >= 2)
-    shape = _found(b.where("n_lines <> 4"), "BLOCK_SHAPE", F.format_string("block %d has %d lines, not 4", "ordinal", "n_lines"))
+    shape = (F.col("n_lines") != 4, _finding("BLOCK_SHAPE", F.format_string("block %d has %d lines, not 4", "ordinal", "n_lines")))
+    structure = _emit(_in_order(b), [shape, *_sequence(F.col("index"))])
     cues = b.where("start is not null and size(lines) >= 2").select("doc_id", "ordinal", F.col("index").alias("cue_index"), F.col("lines")[0].alias("zh"), F.col("lines")[1].alias("py"))
-    return _union([shape, *_sequence(b, "zh"), _content(cues, readings), name_findings(cues.where("cue_index is not null"))])
+    return _union([structure, _content(cues, readings), name_findings(cues.where("cue_index is not null"))])
 
 
 def name_findings(cues: DataFrame) -> DataFrame:
@@ -189,24 +201,24 @@ def name_findings(cues: DataFrame) -> DataFrame:
     runs = runs.withColumn("line", F.col("ordinal") * 10_000 + F.col("run"))
     hits = relational.split_names(runs, ["doc_id"], "line", "k", "w")
     at = runs.select("doc_id", "line", "cue_index").distinct()
-    return _found(hits.join(at, ["doc_id", "line"]), "NAME_INCONSISTENT", F.concat("text", F.lit(" is written "), "shown", F.lit(" here")), F.col("shown"), F.col("cue_index"))
+    found = _finding("NAME_INCONSISTENT", F.concat("text", F.lit(" is written "), "shown", F.lit(" here")), F.col("shown"), F.col("cue_index"))
+    return hits.join(at, ["doc_id", "line"]).select("doc_id", found.alias("f")).select("doc_id", "f.*")
 
 
 def vi_findings(sides: DataFrame) -> DataFrame:
     """The rules of Vietnamese files."""
-    b = sides.withColumn("has_stamp", F.lit(True))
+    b = _in_order(sides.withColumn("has_stamp", F.lit(True)))
     at = F.coalesce(F.col("index"), F.col("ordinal"))
     gap = "[" + R.SPACES.replace(" ", "\\x20").replace("\t", "\\t") + "]"
-    lines = b.select("doc_id", "index", "ordinal", F.explode("lines").alias("l"))
-    doubles = lines.select("*", F.explode(F.regexp_extract_all("l", F.lit(gap + "{2,}"), F.lit(0))).alias("m"))
-    return _union([
-        *_sequence(b, "vi"),
-        _found(b.where(~F.exists("lines", lambda x: x.rlike(r"\S"))), "VI_EMPTY_LINE", F.lit("no Vietnamese line"), None, at),
-        _found(b.where((F.size("lines") > 1) & F.exists("lines", lambda x: x.rlike(r"\S"))), "BLOCK_SHAPE", F.format_string("%d content lines, not 1", F.size("lines")), F.col("lines")[0], at),
-        _found(lines.where(F.col("l").rlike("^" + gap)), "VI_TRAILING_SPACE", F.lit("line begins with a space"), F.col("l"), at),
-        _found(lines.where(F.col("l").rlike(gap + "$")), "VI_TRAILING_SPACE", F.lit("line ends with a space"), F.col("l"), at),
-        _found(doubles, "DOUBLE_SPACE", F.format_string("%d spaces in a row", F.length("m")), F.col("l"), at),
-    ])
+    said = F.exists("lines", lambda x: x.rlike(r"\S"))
+    having = lambda pattern, code, message: F.transform(F.filter("lines", lambda x: x.rlike(pattern)), lambda x: _finding(code, F.lit(message), x, at))
+    doubles = F.transform("lines", lambda x: F.transform(F.regexp_extract_all(x, F.lit(gap + "{2,}"), F.lit(0)), lambda m: _finding("DOUBLE_SPACE", F.format_string("%d spaces in a row", F.length(m)), x, at)))
+    rules = [
+        (~said, _finding("VI_EMPTY_LINE", F.lit("no Vietnamese line"), None, at)),
+        (said & (F.size("lines") > 1), _finding("BLOCK_SHAPE", F.format_string("%d content lines, not 1", F.size("lines")), F.try_element_at("lines", F.lit(1)), at)),
+    ]
+    ends = [having("^" + gap, "VI_TRAILING_SPACE", "line begins with a space"), having(gap + "$", "VI_TRAILING_SPACE", "line ends with a space")]
+    return _union([_emit(b, [*_sequence(at), *rules], [*ends, F.flatten(doubles)])])
 
 
 def check(docs: DataFrame, readings: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -234,9 +246,11 @@ def check_pairs(pairs: DataFrame) -> DataFrame:
         shape = lambda s: [(len(m), bool(m) and m[0][0] == 0) for m in (_places(lex(x), "marker") for x in s)]
         return pd.Series([x != y for x, y in zip(shape(a), shape(b), strict=True)])
 
-    return _union([
-        vi_findings(vi).drop("severity"),
-        _found(counts.withColumn("index", F.lit(None)), "VI_BLOCK_COUNT", F.format_string("%d Chinese blocks, %d Vietnamese", "n_left", "n_right")),
-        _found(both.where("stamp <> zh_stamp"), "VI_TIMESTAMP_DRIFT", F.concat("zh_stamp", F.lit(" and "), "stamp"), F.col("stamp"), at),
-        _found(both.where(differ("zh", "vi_line")), "VI_MARKER_SYNC", F.lit("turn marks differ"), F.col("vi_line"), at),
-    ])
+    pair_rules = [
+        (F.col("stamp") != F.col("zh_stamp"), _finding("VI_TIMESTAMP_DRIFT", F.concat("zh_stamp", F.lit(" and "), "stamp"), F.col("stamp"), at)),
+        (F.col("turns"), _finding("VI_MARKER_SYNC", F.lit("turn marks differ"), F.col("vi_line"), at)),
+    ]
+    both = both.withColumn("turns", differ("zh", "vi_line"))
+    unequal = counts.withColumn("index", F.lit(None))
+    count_rule = [(F.lit(True), _finding("VI_BLOCK_COUNT", F.format_string("%d Chinese blocks, %d Vietnamese", "n_left", "n_right")))]
+    return _union([vi_findings(vi).drop("severity"), _emit(unequal, count_rule), _emit(both, pair_rules)])
