@@ -28,7 +28,7 @@ FAMILIES = 4
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
-KEEP_FROM = 0.5
+KEEP_FROM = 0.2
 
 _SHIFT = np.uint64(64 - BITS)
 _SYMBOL = np.zeros(256, bool)
