@@ -78,18 +78,18 @@ def verified_names(names: DataFrame, texts: DataFrame, han: str = "han", text: s
     return names.join(found, han, "left_semi")
 
 
-def split_names(words: DataFrame, part: Sequence[str], line: str, place: str, word: str, longest: int = 4, letters: int = 6) -> DataFrame:
-    """Runs of 2 to ``longest`` words on a line that are written as one word elsewhere in the group: the first place of each.
+def split_names(lines: DataFrame, part: Sequence[str], line: str, words: str, longest: int = 4, letters: int = 6) -> DataFrame:
+    """Runs of 2 to ``longest`` words (an array) of a line that are written as one word elsewhere in the group: the first place of each.
 
-    Arrays per line and one equi-join with the group's distinct words; no group is gathered.
+    Runs are made within a row; one equi-join with the group's distinct words finds them.
     """
-    lines = words.groupBy(*part, line).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, word))), lambda x: x[word]).alias("w"))
-    grams = lines.select(*part, line, F.explode(F.sequence(F.lit(2), F.lit(longest))).alias("k"), "w").where(F.size("w") >= F.col("k"))
-    grams = grams.select(*part, line, "k", "w", F.posexplode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("at", "i"))
-    grams = grams.select(*part, line, "at", F.slice("w", F.col("i"), F.col("k")).alias("run")).withColumn("text", F.array_join("run", ""))
-    joined = words.select(*part, F.col(word).alias("text")).distinct()
-    hits = grams.where(F.length("text") <= letters).join(joined, [*part, "text"])
-    first = F.min(F.struct(line, "at", F.array_join("run", " ").alias("shown"))).alias("f")
+    grams = lines.select(*part, line, F.col(words).alias("w"), F.explode(F.sequence(F.lit(2), F.lit(longest))).alias("k")).where(F.size("w") >= F.col("k"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.slice("w", i, F.col("k")))
+    runs = F.transform(runs, lambda r, i: F.struct(i.alias("at"), F.array_join(r, "").alias("text"), F.array_join(r, " ").alias("shown")))
+    grams = grams.select(*part, line, F.explode(F.filter(runs, lambda r: F.length(r["text"]) <= letters)).alias("r")).select(*part, line, "r.*")
+    joined = lines.select(*part, F.explode(F.array_distinct(words)).alias("text")).where(F.length("text") <= letters).distinct()
+    hits = grams.join(joined, [*part, "text"])
+    first = F.min(F.struct(line, "at", "shown")).alias("f")
     return hits.groupBy(*part, "text").agg(first, F.count("*").alias("n")).select(*part, "text", "n", F.col(f"f.{line}").alias(line), "f.shown")
 
 

@@ -187,20 +187,22 @@ def zh_findings(docs: DataFrame, readings: Mapping[str, Sequence[str]] | None =
 
 def name_findings(cues: DataFrame) -> DataFrame:
     """NAME_INCONSISTENT: a string of Han that is one cluster somewhere and several elsewhere."""
-    han = f"^{R.HAN_RULE}+$"
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, o, n, k, w) for d, o, n, zh in pdf.itertuples(index=False) for k, w in enumerate(word_texts(lex(zh)))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "cue_index", "k", "w"])
-
-    words = cues.select("doc_id", "ordinal", "cue_index", "zh").mapInPandas(run, "doc_id string, ordinal int, cue_index int, k int, w string")
-    # a word that isn't Han ends a run: number the runs, and let each be a line of its own
-    order = Window.partitionBy("doc_id", "ordinal").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    runs = words.withColumn("run", F.sum((~F.col("w").rlike(han)).cast("int")).over(order)).where(F.col("w").rlike(han))
-    runs = runs.withColumn("line", F.col("ordinal") * 10_000 + F.col("run"))
-    hits = relational.split_names(runs, ["doc_id"], "line", "k", "w")
-    at = runs.select("doc_id", "line", "cue_index").distinct()
+            rows = []
+            for d, o, n, zh in pdf.itertuples(index=False):
+                runs: list[list[str]] = [[]]
+                for w in word_texts(lex(zh)):  # a word that isn't Han ends a run
+                    if R.HAN_RULE_RE.sub("", w):
+                        runs.append([])
+                    else:
+                        runs[-1].append(w)
+                rows += [(d, o * 10_000 + k, n, r) for k, r in enumerate(runs) if r]
+            yield pd.DataFrame(rows, columns=["doc_id", "line", "cue_index", "w"])
+
+    runs = cues.select("doc_id", "ordinal", "cue_index", "zh").mapInPandas(run, "doc_id string, line long, cue_index int, w array<string>")
+    hits = relational.split_names(runs, ["doc_id"], "line", "w")
+    at = runs.select("doc_id", "line", "cue_index")
     found = _finding("NAME_INCONSISTENT", F.concat("text", F.lit(" is written "), "shown", F.lit(" here")), F.col("shown"), F.col("cue_index"))
     return hits.join(at, ["doc_id", "line"]).select("doc_id", found.alias("f")).select("doc_id", "f.*")
 

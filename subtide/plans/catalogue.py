@@ -283,7 +283,8 @@ UNION ALL SELECT doc_id, line_no, k, w || lead(w, 1) OVER o || lead(w, 2) OVER o
 h AS (SELECT g.* FROM g JOIN (SELECT DISTINCT doc_id, w AS text FROM w) USING (doc_id, text) WHERE length(text) <= 6)
 SELECT doc_id, text, count(*) AS n, min(line_no) AS line_no FROM h GROUP BY doc_id, text""")
 def name_split_ngrams(spark, sf_dir):
-    return rel.split_names(lower_words(spark, sf_dir), ["doc_id"], "line_no", "k", "w").select("doc_id", "text", "n", "line_no")
+    found = F.regexp_extract_all(F.lower("line"), F.lit("[a-z]+"), F.lit(0))
+    return rel.split_names(lines(spark, sf_dir).select("doc_id", "line_no", found.alias("w")), ["doc_id"], "line_no", "w").select("doc_id", "text", "n", "line_no")
 
 
 @query("""WITH b AS (SELECT DISTINCT string_split(text, ' ')[1] AS name FROM benchmark WHERE length(string_split(text, ' ')[1]) >= 4)
