@@ -17,7 +17,7 @@ from subtide.functions import text
 from subtide.operators import relational as rel
 from subtide.operators import rules
 from subtide.operators import sequence as seq
-from subtide.plans import fix, names
+from subtide.plans import fix, names, report
 from subtide.sources import sinks, srt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,6 +389,48 @@ def keep_newest(spark, sf_dir):
     return rel.keep_newest(o, 3).select("owner", "job_id")
 
 
+# --- documents of cues ---------------------------------------------------------------------
+
+
+def turn_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of cues: a turn is a cue, its words are tokens, ten characters a second."""
+    words_ = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.struct(
+        F.lit("word").alias("kind"), w.alias("zh"), F.lower(w).alias("pinyin"), F.lit(1.0).alias("confidence"), F.lit("asr").alias("source"), F.when(F.length(w) > 9, F.array(F.lit("NAME"))).otherwise(F.array().cast("array<string>")).alias("flags")))
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("turn").cast("int").alias("index"), (F.col("turn") * 100.0).alias("start"), (F.col("turn") * 100.0 + F.length("text") / 10.0).alias("end"), words_.alias("tokens"))
+
+
+_TURNS = """(SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS w, length(text) / 10.0 AS duration, turn * 100.0 + length(text) / 10.0 AS "end" FROM conversations)"""
+
+
+@query(f"""SELECT conv_id AS doc_id, count(*) AS cues, sum(len(w))::BIGINT AS words, round(max("end"), 3)::DOUBLE AS total_duration, quantile_cont(len(w), 0.5)::DOUBLE AS median_clusters, quantile_cont(len(w), 0.95)::DOUBLE AS p95_clusters,
+max(len(w)) AS max_clusters, sum(len(list_filter(w, lambda x: length(x) > 9)))::BIGINT AS name_tokens, count(*) FILTER (len(w) = 0) AS empty_cues FROM {_TURNS} GROUP BY conv_id""")
+def document_stats(spark, sf_dir):
+    d = report.document_stats(turn_cues(spark, sf_dir))
+    return d.select("doc_id", "cues", "words", "total_duration", "median_clusters", "p95_clusters", F.col("max_clusters").cast("long").alias("max_clusters"), "name_tokens", "empty_cues")
+
+
+@query(f"""SELECT conv_id AS doc_id, quantile_cont(len(w), 0.95)::DOUBLE AS measured, CASE WHEN abs(quantile_cont(len(w), 0.95) - 8) <= 2.4 THEN 'ok' WHEN quantile_cont(len(w), 0.95) < 8 THEN 'low' ELSE 'high' END AS verdict FROM {_TURNS} GROUP BY conv_id""")
+def target_comparison(spark, sf_dir):
+    d = report.against_target(report.document_stats(turn_cues(spark, sf_dir)))
+    return d.where("measure = 'clusters' and statistic = 'p95'").select("doc_id", "measured", "verdict")
+
+
+@query("""SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS id, turn::DOUBLE AS start, greatest(turn, turn + length(text) - 200)::DOUBLE AS "end", text FROM conversations""")
+def transcript_segments(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("start", F.col("turn").cast("double")).withColumn("end", (F.col("turn") + F.length("text") - 200).cast("double"))
+    body = F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "start", "end"))), lambda x: x.dropFields("turn")).alias("result")))
+    docs = c.groupBy(F.col("conv_id").alias("doc_id")).agg(body.alias("text"))
+    return srt.segments(docs).select("doc_id", "id", "start", "end", "text")
+
+
+@query("""SELECT doc_id, pos FROM (SELECT conv_id AS doc_id, turn AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE pos % 2 = 0""")
+def flagged_stage_cues(spark, sf_dir):
+    c = turn_cues(spark, sf_dir)
+    flagged = c.withColumn("tokens", F.transform("tokens", lambda t: t.withField("flags", F.when(F.col("pos") % 2 == 0, F.array(F.lit("HETERONYM"))).otherwise(F.array().cast("array<string>")))))
+    return report.stage_flags(c, flagged).select("doc_id", "pos")
+
+
 # --- scalar functions ---------------------------------------------------------------------
 
 
