@@ -37,7 +37,7 @@ END = 1
 SHARD = 2048
 TERMS = 1 << 16
 K1, B = 1.2, 0.75
-CACHE = 300_000
+CACHE = 700_000
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: White space of the tokenizer's pattern (the Unicode property).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -125,6 +125,16 @@ class Tokens:
         return out
 
 
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """One encoder for each Python worker: its cache serves all tasks that the worker runs."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
 def unit_crcs(ids: np.ndarray) -> np.ndarray:
     raw = memoryview(ids.astype("<u4").tobytes())
     return np.fromiter((zlib.crc32(raw[i : i + 4 * UNIT]) for i in range(0, len(raw), 4 * UNIT)), np.uint32, -(-len(ids) // UNIT))
@@ -170,7 +180,7 @@ def join_crcs(crcs: list[np.ndarray], length: np.ndarray) -> np.ndarray:
 
 def tokenise(path: str = TOKENIZER):
     def run(batches):
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         for batch in batches:
             rows = batch.column("text").to_pylist()
             for a in range(0, len(rows), 256):
