@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 RATIO = 0.2
 MIN_PAGES = 5
 SALTS = 32
@@ -46,9 +48,9 @@ def _blank(line: Column) -> Column:
     return F.trim(F.translate(line, "\t\r", "  ")) == ""
 
 
-def site_lines(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``row`` (the input's columns), ``host``, ``lines``, ``kept`` (its lines that stay), in no order."""
-    base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(host, F.lit("")).alias("host"), lines.alias("lines"))
+def site_lines(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``row`` (the input's columns, or those in ``keep``), ``host``, ``lines``, ``kept`` (its lines that stay), in no order."""
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"), F.coalesce(host, F.lit("")).alias("host"), lines.alias("lines"))
     keys = F.array_distinct(F.transform(F.filter("lines", lambda x: ~_blank(x)), _key))
     counts = base.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = base.groupBy("host").agg(F.count("*").alias("total"))
@@ -62,7 +64,9 @@ def site_lines(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO,
 
 def dedup_pages(pages: DataFrame) -> DataFrame:
     """Each page's visible text without the boilerplate lines of its host."""
-    out = site_lines(pages, F.regexp_extract(F.lower("url"), HOST, 1), html_lines(F.col("html")))
+    # the lines are read twice, the pages once
+    lines = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_extract(F.lower("url"), HOST, 1).alias("host"), html_lines(F.col("html")).alias("lines"))
+    out = site_lines(C.scratch(lines.withColumn("n", F.monotonically_increasing_id()), "lines"), F.col("host"), F.col("lines"), keep=("page_id", "n"))
     return out.select(
         F.col("row.page_id").cast("long").alias("page_id"),
         "host",
