@@ -8,12 +8,11 @@ at the corpus's unigram; an unlisted word w adds its share (c(w) + 0.1) / Z of a
 unlisted words and one unseen kind, so scores are log probabilities over the same
 kinds as the base.  Training is truncated backpropagation over windows of ``STEPS``
 tokens with the state carried on, data-parallel: in each of ``ROUNDS`` rounds the
-workers start from one model, take their share of the training documents and are
-averaged.  Scoring runs documents in lanes sorted by length, window after window, with
+workers start from one model, take the round's training documents of their blocks and
+are averaged; every training document is in one round.  Scoring runs documents in lanes sorted by length, window after window, with
 each document's state carried to its end, so scores are of complete texts.
 
-Gradients use every training document whose hash falls in ``SHARE`` of the range
-(growing with the input); counts use all.
+Gradients and counts use all training documents.
 
 Scale: texts are written in blocks to the shared folder and stay there; the shuffles
 hold a row for each distinct word of a block (as a 64-bit hash), however often the word
@@ -44,7 +43,7 @@ CLASSES, WIDE = 32, 32
 EMBED, HIDDEN = 16, 24
 SUFFIXES = 512
 LANES, STEPS, PIECE = 192, 16, 1024
-ROUNDS, SHARE = 3, 0.15
+ROUNDS = 4
 RATE = 0.1
 WORKERS = 64
 BLOCK = 12 << 20
@@ -366,8 +365,8 @@ def encode(rows: list[bytes], listed: Listed) -> tuple[Encoded, np.ndarray, np.n
     return e, entry, np.where(entry == OTHER, CLASSES * WIDE + e.suffix % (SUFFIXES - 1), entry)
 
 
-def train_round(folder: str, shared, number: int, rounds: int, share: float):
-    """Each task takes its blocks' documents of this round and gives back its model in pieces."""
+def train_round(folder: str, shared, number: int, rounds: int):
+    """Each task takes its blocks' training documents of this round, dealt by hash, and gives back its model in pieces."""
 
     def run(batches):
         hashes, flat, start = shared.value
@@ -377,7 +376,7 @@ def train_round(folder: str, shared, number: int, rounds: int, share: float):
             for block in batch.column("block").to_pylist():
                 docs, rows = _read_block(folder, block)
                 draw = [zlib.crc32(f"round {d}".encode()) / 2**32 for d in docs]
-                rows = [x for d, x, u in zip(docs, rows, draw, strict=True) if not held_out(d) and number <= u * rounds / share < number + 1]
+                rows = [x for d, x, u in zip(docs, rows, draw, strict=True) if not held_out(d) and number <= u * rounds < number + 1]
                 for part in C.blocks(rows):
                     e, entry, given = encode(rows[part], listed)
                     trainer.documents(entry, given, e.start, e.size)
@@ -428,7 +427,7 @@ def score_block(folder: str, shared, n: int, v: int, rest: tuple[int, int]):
     return run
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     folder = f"{C.shared_dir(spark)}/{uuid.uuid4().hex}"
@@ -455,7 +454,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> DataFr
     spread = blocks.select("block").repartition(parts, "block")
     for k in range(rounds if n else 0):
         shared = spark.sparkContext.broadcast((number, model.flat(), model))
-        pieces = spread.mapInArrow(train_round(folder, shared, k, rounds, share), "k int, weight double, piece binary")
+        pieces = spread.mapInArrow(train_round(folder, shared, k, rounds), "k int, weight double, piece binary")
         got = C.by_group(pieces, ["k"], average, "k int, piece binary").collect()  # one model
         if got:
             model = model.like(np.concatenate([np.frombuffer(r["piece"], np.float32) for r in sorted(got, key=lambda r: r["k"])]))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -500,6 +501,24 @@ def test_scores_do_not_depend_on_windows():
         assert np.allclose(want, gru_lm.score_documents(model, entry, entry, start, n, lanes, steps), rtol=1e-4)
 
 
+def test_every_training_document_gives_gradients_once(tmp_path):
+    docs = list(range(400))
+    texts = [b" ".join(b"w%d" % (i * k % 97) for k in range(1 + i % 7)) for i in docs]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "text": pa.array([t.decode() for t in texts])})
+    names = [b.column("block")[0].as_py() for b in gru_lm.write_blocks(f"file://{tmp_path}")([batch])]
+    size = gru_lm.CLASSES * gru_lm.WIDE
+    model = gru_lm.Model.fresh(np.log(np.full(size, 1 / size)))
+
+    class Shared:
+        value = (np.arange(1, size + 1, dtype=np.uint64), model.flat(), model)
+
+    seen = 0
+    for k in range(gru_lm.ROUNDS):
+        got = list(gru_lm.train_round(f"file://{tmp_path}", Shared, k, gru_lm.ROUNDS)([pa.RecordBatch.from_pydict({"block": names})]))
+        seen += got[0].column("weight")[0].as_py()
+    assert seen == sum(len(t.split()) + 1 for d, t in zip(docs, texts, strict=True) if not gru_lm.held_out(d))
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 
