@@ -2,8 +2,9 @@
 
 Tokens are the words of the text with A-Z in lower case, and one end.  Counts of all
 tokens of the training documents give the base score.  The network predicts the
-``CLASSES * WIDE`` most frequent entries (one of them stands for all other words) with
-a class-factored softmax, P(class | state) P(entry | class, state), whose biases start
+most frequent entries (one of them stands for all other words), ``PER_ROOT`` times the
+square root of the training tokens, ``CLASSES * WIDE`` at least, with a class-factored
+softmax of about as many classes as entries in a class, P(class | state) P(entry | class, state), whose biases start
 at the corpus's unigram; an unlisted word w adds its share (c(w) + 0.1) / Z of all
 unlisted words and one unseen kind, so scores are log probabilities over the same
 kinds as the base.  Training is truncated backpropagation over windows of ``STEPS``
@@ -16,7 +17,8 @@ Gradients and counts use all training documents.
 
 Scale: texts are written in blocks to the shared folder and stay there; the shuffles
 hold a row for each distinct word of a block (as a 64-bit hash), however often the word
-occurs.  The driver holds one model (``CLASSES * WIDE`` entries), nothing that grows.
+occurs.  The driver holds one model, which grows with the square root of the tokens, as do
+the distinct counts from which the listed words are found.
 
 Defined results: a null or empty text is one end token; repeated rows are documents of
 their own; a null doc_id is text "" for the held-out rule; without training documents
@@ -39,7 +41,7 @@ from .warc import Output, open_fs
 
 FOLDS = 10
 ADD = 0.1
-CLASSES, WIDE = 32, 32
+CLASSES, WIDE, PER_ROOT = 32, 64, 4
 EMBED, HIDDEN = 16, 24
 SUFFIXES = 512
 LANES, STEPS, PIECE = 192, 16, 1024
@@ -79,6 +81,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def shape_of(tokens: int) -> tuple[int, int]:
+    """Classes and entries in each for so many training tokens."""
+    size = int(PER_ROOT * tokens**0.5)
+    if size <= CLASSES * WIDE:
+        return CLASSES, WIDE
+    classes = int(size**0.5)
+    return classes, -(-size // classes)
+
+
 class Model:
     """Parameters: embeddings (entries, then suffixes of unlisted words), one GRU layer, class and entry outputs."""
 
@@ -89,15 +100,15 @@ class Model:
             setattr(self, k, arrays[k])
 
     @classmethod
-    def fresh(cls, log_unigram: np.ndarray, seed: int = 1) -> "Model":
+    def fresh(cls, log_unigram: np.ndarray, seed: int = 1, classes: int = CLASSES) -> "Model":
         rng = np.random.default_rng(seed)
         f = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
-        p = np.exp(log_unigram).reshape(CLASSES, WIDE)
-        mass = p.sum(1)
+        p = np.exp(log_unigram).reshape(classes, -1)
+        mass, wide = p.sum(1), p.shape[1]
         return cls(
-            embed=f(CLASSES * WIDE + SUFFIXES, EMBED, scale=0.3), inputs=f(EMBED, 3 * HIDDEN, scale=EMBED**-0.5), bias=np.zeros(3 * HIDDEN, np.float32),
-            recur=f(HIDDEN, 3 * HIDDEN, scale=0.5 * HIDDEN**-0.5), classes=np.zeros((CLASSES, HIDDEN), np.float32), class_bias=np.log(mass).astype(np.float32),
-            entries=np.zeros((CLASSES, WIDE, HIDDEN), np.float32), entry_bias=np.log(p / mass[:, None]).astype(np.float32),
+            embed=f(classes * wide + SUFFIXES, EMBED, scale=0.3), inputs=f(EMBED, 3 * HIDDEN, scale=EMBED**-0.5), bias=np.zeros(3 * HIDDEN, np.float32),
+            recur=f(HIDDEN, 3 * HIDDEN, scale=0.5 * HIDDEN**-0.5), classes=np.zeros((classes, HIDDEN), np.float32), class_bias=np.log(mass).astype(np.float32),
+            entries=np.zeros((classes, wide, HIDDEN), np.float32), entry_bias=np.log(p / mass[:, None]).astype(np.float32),
         )
 
     def flat(self) -> np.ndarray:
@@ -122,18 +133,19 @@ class Model:
 
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target entry after its state."""
-        kind = target // WIDE
+        classes, wide = self.entry_bias.shape
+        kind = target // wide
         s = states @ self.classes.T + self.class_bias
         s -= s.max(1, keepdims=True)
         out = s[np.arange(len(s)), kind] - np.log(np.exp(s).sum(1))
         order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        edge = np.searchsorted(kind[order], np.arange(classes + 1))
+        for k in range(classes):
             at = order[edge[k] : edge[k + 1]]
             if len(at):
                 s = states[at] @ self.entries[k].T + self.entry_bias[k]
                 s -= s.max(1, keepdims=True)
-                out[at] += s[np.arange(len(at)), target[at] % WIDE] - np.log(np.exp(s).sum(1))
+                out[at] += s[np.arange(len(at)), target[at] % wide] - np.log(np.exp(s).sum(1))
         return out
 
 
@@ -168,7 +180,8 @@ class Trainer:
         if not len(at):
             return h
         s_at, y = states[at], target.ravel()[at]
-        kind, scale = y // WIDE, np.float32(1 / n)
+        classes, wide = m.entry_bias.shape
+        kind, scale = y // wide, np.float32(1 / n)
         p = s_at @ m.classes.T + m.class_bias
         p = np.exp(p - p.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -177,8 +190,8 @@ class Trainer:
         back = p @ m.classes
         steps = [("classes", None, p.T @ s_at), ("class_bias", None, p.sum(0))]
         order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        edge = np.searchsorted(kind[order], np.arange(classes + 1))
+        for k in range(classes):
             mine = order[edge[k] : edge[k + 1]]
             if not len(mine):
                 continue
@@ -186,7 +199,7 @@ class Trainer:
             p = own @ m.entries[k].T + m.entry_bias[k]
             p = np.exp(p - p.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(mine)), y[mine] % WIDE] -= 1
+            p[np.arange(len(mine)), y[mine] % wide] -= 1
             p *= scale
             back[mine] += p @ m.entries[k]
             steps += [("entries", k, p.T @ own), ("entry_bias", k, p.sum(0))]
@@ -245,7 +258,7 @@ class Trainer:
         at = np.repeat(place[0] * STEPS - (np.cumsum(n) - n), n) + np.arange(n.sum())
         lane = np.repeat(rank[place[1]], n)
         word = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        before = np.where(np.isin(word, start), given_end(), given[word - 1])
+        before = np.where(np.isin(word, start), given_end(self.m), given[word - 1])
         target[at, lane], ids[at, lane], real[at, lane] = entry[word], before, True
         fresh[place[0] * STEPS, rank[place[1]]] = True
         live = np.sort(loads)[::-1]
@@ -256,9 +269,9 @@ class Trainer:
             h = self.window(ids[rows, :k], target[rows, :k], real[rows, :k], h)
 
 
-def given_end() -> int:
+def given_end(model: Model) -> int:
     """The input before a document's first token: the last suffix number is not used by words."""
-    return CLASSES * WIDE + SUFFIXES - 1
+    return len(model.embed) - 1
 
 
 def score_documents(model: Model, entry: np.ndarray, given: np.ndarray, start: np.ndarray, size: np.ndarray, lanes: int = 1024, steps: int = 64) -> np.ndarray:
@@ -279,7 +292,7 @@ def score_documents(model: Model, entry: np.ndarray, given: np.ndarray, start: n
                 if now < len(h):
                     h = h[:now]
                 at = s[:now] + k
-                x = np.full(now, given_end()) if k == 0 else given[at - 1]
+                x = np.full(now, given_end(model)) if k == 0 else given[at - 1]
                 h = model.step(table[x], h)[4]
                 states.append(h)
                 wanted.append(entry[at])
@@ -362,15 +375,15 @@ def encode(rows: list[bytes], listed: Listed) -> tuple[Encoded, np.ndarray, np.n
     """Entries, and inputs: an unlisted word comes in as its suffix."""
     e = Encoded(rows)
     entry = listed.entries(e.hash)
-    return e, entry, np.where(entry == OTHER, CLASSES * WIDE + e.suffix % (SUFFIXES - 1), entry)
+    return e, entry, np.where(entry == OTHER, len(listed.sorted) + e.suffix % (SUFFIXES - 1), entry)
 
 
 def train_round(folder: str, shared, number: int, rounds: int):
     """Each task takes its blocks' training documents of this round, dealt by hash, and gives back its model in pieces."""
 
     def run(batches):
-        hashes, flat, start = shared.value
-        model, listed = start.like(flat), Listed(hashes)
+        hashes, start = shared.value
+        model, listed = start.like(start.flat()), Listed(hashes)
         trainer, seen = Trainer(model), 0
         for batch in batches:
             for block in batch.column("block").to_pylist():
@@ -435,25 +448,32 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     words = blocks.select("block", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("block", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     counts = C.scratch(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    total = counts.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = int(total["n"] or 0), int(total["v"])
+    by_count = sorted(((int(r["c"]), int(r["k"])) for r in counts.where("c > 0").groupBy("c").agg(F.count("*").alias("k")).collect()), reverse=True)
+    n, v = sum(c * k for c, k in by_count), sum(k for _, k in by_count)
+    classes, wide = shape_of(n)
+    size, least, found = classes * wide, 1, 0
+    for least, k in by_count:  # the count that the last listed word has
+        found += k
+        if found >= size:
+            break
     end = int(END_HASH.astype(np.int64))
-    top = counts.where(F.col("c") > 0).orderBy((F.col("word") != end), F.desc("c"), "word").limit(CLASSES * WIDE - 1).collect()  # the end is always listed
+    top = counts.where((F.col("c") >= least) | ((F.col("word") == end) & (F.col("c") > 0)))
+    top = top.orderBy((F.col("word") != end), F.desc("c"), "word").limit(size - 1).collect()  # the end is always listed
     top.sort(key=lambda r: (-r["c"], r["word"]))
     listed = sum(r["c"] for r in top)
     rest = (n - listed, v - len(top))
-    number = np.zeros(CLASSES * WIDE, np.uint64)
+    number = np.zeros(size, np.uint64)
     number[0] = np.uint64(1)  # no word's hash in practice; the entry is for unlisted words
     number[1 : 1 + len(top)] = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    number[1 + len(top) :] = np.arange(2, 2 + CLASSES * WIDE - 1 - len(top), dtype=np.uint64)
-    mass = np.full(CLASSES * WIDE, 1e-7)
+    number[1 + len(top) :] = np.arange(2, 2 + size - 1 - len(top), dtype=np.uint64)
+    mass = np.full(size, 1e-7)
     mass[0] = rest[0] + ADD * (rest[1] + 1)
     mass[1 : 1 + len(top)] = [r["c"] for r in top]
-    model = Model.fresh(np.log(mass / mass.sum()))
+    model = Model.fresh(np.log(mass / mass.sum()), classes=classes)
     parts = max(1, min(WORKERS, blocks.count(), spark.sparkContext.defaultParallelism * 2))
     spread = blocks.select("block").repartition(parts, "block")
     for k in range(rounds if n else 0):
-        shared = spark.sparkContext.broadcast((number, model.flat(), model))
+        shared = spark.sparkContext.broadcast((number, model))
         pieces = spread.mapInArrow(train_round(folder, shared, k, rounds), "k int, weight double, piece binary")
         got = C.by_group(pieces, ["k"], average, "k int, piece binary").collect()  # one model
         if got:

@@ -510,7 +510,7 @@ def test_every_training_document_gives_gradients_once(tmp_path):
     model = gru_lm.Model.fresh(np.log(np.full(size, 1 / size)))
 
     class Shared:
-        value = (np.arange(1, size + 1, dtype=np.uint64), model.flat(), model)
+        value = (np.arange(1, size + 1, dtype=np.uint64), model)
 
     seen = 0
     for k in range(gru_lm.ROUNDS):
@@ -519,6 +519,18 @@ def test_every_training_document_gives_gradients_once(tmp_path):
     assert seen == sum(len(t.split()) + 1 for d, t in zip(docs, texts, strict=True) if not gru_lm.held_out(d))
 
 
+def test_listed_words_grow_with_the_tokens(spark, stored, monkeypatch):
+    sizes = [a * b for a, b in map(gru_lm.shape_of, (0, 10**6, 10**8, 10**10))]
+    assert sizes[0] == 2048 and sizes[1] >= 4000 and sizes[2] >= 40000 and sizes[3] >= 400000
+    made, fresh = [], gru_lm.Model.fresh
+    monkeypatch.setattr(gru_lm.Model, "fresh", lambda x, **k: made.append((len(x), int((x > -20).sum()))) or fresh(x, **k))
+    rows = [(i, " ".join(f"w{(i * 37 + k) % 6000}" for k in range(500)), "a", "x") for i in range(1000)]
+    got = gru_lm.score(stored(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))).toPandas()
+    n = int(got.train_tokens[0])
+    assert made == [(math.prod(gru_lm.shape_of(n)),) * 2] and made[0][0] >= 4 * int(n**0.5) - 4 > 2048
+    assert np.isfinite(got.score).all() and got[got.held_out].score.sum() > got[got.held_out].base_score.sum()
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 
