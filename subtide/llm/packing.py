@@ -6,14 +6,19 @@
    a CRC-32 for each ``UNIT`` tokens; the CRC of any cut at units follows from them.
 2. A document of ``WINDOW`` tokens or more fills whole sequences of its own; its rest
    is placed like any other document.
-3. Documents are dealt to shards of about ``SHARD`` by a hash of their row.  A shard
-   holds an inverted index (hashed words, BM25 with the document frequencies of all
+3. Each document asks an index of leaders, one in ``SHARD`` of all documents, for the
+   one that scores best.  Documents in the order of (leader, score) are cut into shards
+   of about ``SHARD``, so related documents meet wherever they lie in the input; a
+   leader's large following is cut between different scores, copies of one text by a
+   hash.  A shard holds an inverted index (hashed words, BM25 with the document frequencies of all
    documents).  The longest unused document seeds a window; its neighbours by score
    fill it, the last of them cut at a unit; what a cut leaves is unused again.
 
 Scale: one shuffle, of term ids and CRCs instead of texts; a shard is small whatever
 the input's size, and rows are dealt evenly.  The document frequencies are a vector
-of fixed length (``TERMS``).
+of fixed length (``TERMS``).  Leaders (some hundred bytes for each ``SHARD``
+documents) and ``BOUNDS`` numbers a shard go through the driver; the work of asking the leaders grows with
+the square of the documents, divided by ``SHARD``.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 documents of their own; no rows give no rows.  Only doc_id and text are read.
@@ -35,10 +40,12 @@ WINDOW = 2048
 UNIT = 16
 END = 1
 SHARD = 2048
+LEADERS, BOUNDS = 64, 64  # leaders at least; documents for each shard that place its bounds
 TERMS = 1 << 16
 K1, B = 1.2, 0.75
 CACHE = 700_000
 TOKENIZER = "byte_bpe_50k.tiktoken"
+TOKENS = "doc_id long, row long, tokens long, crcs binary, terms binary, counts binary"
 #: White space of the tokenizer's pattern (the Unicode property).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
@@ -228,7 +235,10 @@ class Index:
         self.stop = np.cumsum(np.bincount(term, minlength=TERMS))
 
     def scores(self, i: int) -> np.ndarray:
-        t = self.terms[i].astype(np.int64)
+        return self.asked(self.terms[i])
+
+    def asked(self, terms: np.ndarray) -> np.ndarray:
+        t = terms.astype(np.int64)
         if not len(t):
             return np.zeros(self.n)
         a, b = np.where(t > 0, self.stop[t - 1], 0), self.stop[t]
@@ -259,11 +269,54 @@ def fill(tokens: np.ndarray, index: Index) -> list[list[tuple[int, int, int]]]:
     return windows
 
 
+def place(shared, mean: float):
+    """For each document its place in the order: best leader (24 bits), score (14 bits), hash of the row (14 bits)."""
+
+    def run(batches):
+        leaders, idf = shared.value
+        index = Index([t for t, _ in leaders], [c for _, c in leaders], idf, mean)
+        for batch in batches:
+            at = []
+            for row, terms, counts in zip(*(batch.column(c).to_pylist() for c in ("row", "terms", "counts")), strict=True):
+                t, tf = np.frombuffer(terms, "<u2"), np.frombuffer(counts, "<u2").astype(float)
+                found = index.asked(t)
+                best = int(found.argmax())
+                most = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / max(mean, 1e-9)))).sum()  # what its own text scores
+                near = int(min(found[best] / (found[best] + most), 1) * 16383) if found[best] > 0 else 0
+                at.append(best << 28 | near << 14 | zlib.crc32(b"%d" % row) >> 18)
+            yield batch.append_column("place", pa.array(at, pa.int64()))
+
+    return run
+
+
+def shard_of(base: DataFrame, n: int, shards: int, size: int, idf: np.ndarray, mean: float) -> DataFrame:
+    """``base`` with ``shard``: neighbours in the order of (best leader, score) are in one."""
+    if shards == 1:
+        return base.withColumn("shard", F.lit(0).cast("long"))
+    spark = base.sparkSession
+    share = min(1.0, max(1 / size, LEADERS / n))
+    drawn = base.where((F.octet_length("terms") > 0) & (F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    leaders = [(np.frombuffer(r["terms"], "<u2"), np.frombuffer(r["counts"], "<u2")) for r in drawn.select("row", "terms", "counts").orderBy("row").collect()]  # one in ``size``
+    if not leaders:
+        leaders = [(np.zeros(0, np.uint16), np.zeros(0, np.uint16))]
+    shared = spark.sparkContext.broadcast((leaders, idf))
+    placed = C.scratch(base.mapInArrow(place(shared, mean), f"{TOKENS}, place long"), "places")
+    seen = placed.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, BOUNDS / size) * (1 << 30)))  # the same in each run
+    seen = np.sort(np.array([r["place"] for r in seen.select("place").collect()], np.int64))  # BOUNDS a shard
+    edge = spark.sparkContext.broadcast(np.unique(seen[np.arange(1, shards) * len(seen) // shards]) if len(seen) else seen)
+
+    def number(batches):
+        for batch in batches:
+            yield batch.append_column("shard", pa.array(np.searchsorted(edge.value, batch.column("place").to_numpy(), "left"), pa.int64()))
+
+    return placed.mapInArrow(number, f"{TOKENS}, place long, shard long").drop("place")
+
+
 def pack(docs: DataFrame, path: str = TOKENIZER, shard: int = SHARD) -> DataFrame:
     """One row per piece: doc_id, row, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     base = C.documents(docs).withColumn("row", F.monotonically_increasing_id())
-    base = C.scratch(base.mapInArrow(tokenise(path), "doc_id long, row long, tokens long, crcs binary, terms binary, counts binary"), "tokens")
+    base = C.scratch(base.mapInArrow(tokenise(path), TOKENS), "tokens")
     n = base.count()
     if not n:
         return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long")
@@ -271,7 +324,8 @@ def pack(docs: DataFrame, path: str = TOKENIZER, shard: int = SHARD) -> DataFram
     for r in base.select("terms").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS rows at most
         df[r["term"]] = r["n"]
     mean = base.select(F.avg(F.octet_length("terms") / 2)).first()[0] or 1.0
-    shared = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    shared = spark.sparkContext.broadcast(idf)
     shards = max(1, -(-n // shard))
 
     def one(key, table: pa.Table) -> pa.Table:
@@ -289,6 +343,6 @@ def pack(docs: DataFrame, path: str = TOKENIZER, shard: int = SHARD) -> DataFram
             "sequence_id": (np.int64(key[0].as_py()) << np.int64(32)) + w, "offset": p, "row": table.column("row").take(at),
         })
 
-    dealt = base.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long"))
+    dealt = shard_of(base, n, shards, shard, idf, mean)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
     return C.by_group(dealt, ["shard"], one, schema)

@@ -273,6 +273,21 @@ def test_pieces_are_safe_to_cut():
         assert mine.batch([text])[0][0].tolist() == own(text), repr(text)
 
 
+def test_related_documents_share_a_shard_wherever_they_lie(spark, stored):
+    rng = random.Random(4)
+    words = lambda topic: " ".join([f"t{topic}x{rng.randrange(30)}" for _ in range(40)] + [f"common{rng.randrange(50)}" for _ in range(40)])
+    rows = [(i, words(i % 40), "a", "x") for i in range(640)]
+    got = packing.pack(stored(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")), shard=64).toPandas()
+    assert len(got.doc_id.unique()) == 640
+    again = packing.pack(stored(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")), shard=64).toPandas()
+    columns = ["sequence_id", "offset", "doc_id", "start", "length"]
+    assert (again.sort_values(columns)[columns].to_numpy() == got.sort_values(columns)[columns].to_numpy()).all()
+    shard = (got.sequence_id // 2**32).groupby(got.doc_id).first()
+    assert shard.nunique() >= 8 and shard.value_counts().max() <= 2 * 64
+    together = [shard[i] == shard[j] for i in range(640) for j in range(i + 40, 640, 40)]
+    assert np.mean(together) > 0.5  # a tenth by chance
+
+
 def test_retrieval_brings_related_documents():
     terms = [np.array(x, np.uint16) for x in ([1, 2, 3], [4, 5], [1, 2, 9], [7, 8])]
     index = packing.Index(terms, [np.ones(len(t), np.uint16) for t in terms], np.ones(packing.TERMS), 2.5)
