@@ -18,6 +18,9 @@ from subtide.llm import bagminhash, common, line_dedup, mixing, packing, quality
 
 #: Blocks of the mix are long here, so that most documents are drawn whole.
 MIX_BLOCK = 1024
+#: A line goes from a source when more than this share of its documents have it, and so many at least (a
+#: source has far more rows than a site, which share far fewer lines; some copies of one document are left to stage 3).
+LINE_RATIO, LINE_ROWS = 0.01, 10
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_documents(docs)
+    return line_dedup.dedup_documents(docs, LINE_RATIO, LINE_ROWS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -549,6 +549,16 @@ def test_listed_words_grow_with_the_tokens(spark, stored, monkeypatch):
 # --- pipeline -----------------------------------------------------------------------------
 
 
+def test_pipeline_takes_repeated_lines_out(spark, stored):
+    import corpus_pipeline
+
+    rows = [(i, f"own first line {i}\n" + "a line that every source repeats\n" * (i % 25 < 2) + "own copies\n" * (i % 250 == 9) + f"own last line {i}", f"s{i % 2}", "x") for i in range(1000)]
+    d = stored(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("n_chars", F.length("text").cast("long")))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, d, "").collect()}
+    assert got == {i: text.replace("a line that every source repeats\n", "") for i, text, *_ in rows}
+    assert sum(text != got[i] for i, text, *_ in rows) == 80
+
+
 def test_pipeline(spark, stored, docs, labels, tmp_path):
     import corpus_pipeline
 
