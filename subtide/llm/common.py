@@ -8,13 +8,14 @@ whatever the length of one document.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide.session import ship  # noqa: F401
@@ -24,23 +25,49 @@ BLOCK_BYTES = 4 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.environ.get("SUBTIDE_SCRATCH") or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/subtide-{uuid.uuid4().hex}"
 
 
-def scratch(df: DataFrame, name: str, *parts: str) -> DataFrame:
+def scratch_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and its folder there."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    out = df.write.option("compression", "zstd")
-    if parts:
-        out = out.partitionBy(*parts)
-    out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch_at(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch_at`` wrote and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
+    """``row`` and ``doc`` (a struct of all columns), written once: rows numbered by a scan keep their numbers only there.
+
+    Another scan of the same files can be split in another way, when executors come or go.
+    """
+    return scratch(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), name)
+
+
+def summed(df: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """Aggregates by ``keys`` that are to be joined back to many rows of a key.
+
+    They are dealt by one column more, so the join has exchanges of its own on both
+    sides, where adaptive execution can split a hot key's rows over tasks.
+    """
+    return df.groupBy(*keys, F.xxhash64(*keys).alias("dealt_by")).agg(*sums).drop("dealt_by")
 
 
 def by_group(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:

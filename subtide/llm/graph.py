@@ -2,9 +2,12 @@
 
 Alternating large-star and small-star steps: each replaces links by links to the
 smallest neighbour, until nothing changes.  A step aggregates a minimum for each
-node (combined before the shuffle) and joins it back, so no task needs all links of
-a node together, and links reach neither the driver nor one task.  Each round is
-written to the shared folder, which ends its lineage.
+node (combined before the shuffle) and joins it back.  Both sides of that join have
+exchanges of their own, so that adaptive execution can split the links of a hub over
+tasks; links reach neither the driver nor one task.  Each round is written to the
+shared folder, which ends its lineage, and the round before it is removed.
+
+Nodes are of any type with an order (numbers, or structs that sort as wanted).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = both.where("b < a")
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    low = C.summed(both, ["a"], F.min("b").alias("b")).select("a", F.least("b", "a").alias("m"))
     out = both.where("b > a") if large else both
     out = out.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
@@ -29,11 +32,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node that it reaches."""
-    links = C.scratch(links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "links")
+    spark = links.sparkSession
+    links, path = C.scratch_at(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     sign = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     before = sign(links)
     while before[0]:
-        links = C.scratch(_star(_star(links, True), False), "star")
+        links, now_at = C.scratch_at(_star(_star(links, True), False), "star")
+        C.remove(spark, path)
+        path = now_at
         if (now := sign(links)) == before:
             break
         before = now

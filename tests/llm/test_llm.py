@@ -439,6 +439,30 @@ def test_vectors(spark, stored, monkeypatch):
     assert pq_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_vectors_of_any_size_and_repeated_ids(spark, stored):
+    v = [3.0, 1.0, -2.0, 0.5]
+    rows = [(1, v), (2, [x * 1e300 for x in v]), (3, [x * 1e-300 for x in v]), (3, [x * 2 for x in v]), (None, v), (4, [-x for x in v]), (5, [float("inf")] + v[1:])]
+    d = stored(spark.createDataFrame([(i, x, 7) for i, x in rows], "vec_id long, embedding array<double>, label int"))
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in pq_dedup.near_duplicates(d).collect())
+    assert got == Counter([(1, 4, 1), (2, 4, 1), (3, 4, 1), (3, 4, 1), (None, 4, 1), (4, 0, 4), (5, 0, 5)])
+
+
+def test_recall_of_the_probes():
+    """Pairs at just the linking cosine, in random directions, against what the probes of either vector reach."""
+    rng = np.random.default_rng(0)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (1000, 20_000, 60_000):
+        level = int(round(np.log2(n / pq_dedup.LIST)))
+        model = pq_dedup.fit(unit(rng.standard_normal((max(4096, pq_dedup.SAMPLE << level), 64))), 1 << level)
+        x, r = unit(rng.standard_normal((1000, 64))), rng.standard_normal((1000, 64))
+        y = pq_dedup.COSINE * x + (1 - pq_dedup.COSINE**2) ** 0.5 * unit(r - (r * x).sum(1, keepdims=True) * x)
+        (hx, cx, lx, px), (hy, cy, ly, py) = pq_dedup.encode(x, model), pq_dedup.encode(y, model)
+        found = (px == hy[:, None]).any(1) | (py == hx[:, None]).any(1)
+        assert found.mean() >= 0.99
+        for i in range(50):  # the codes lose none of them
+            assert len(pq_dedup.candidates(x[i : i + 1], cy[i : i + 1], ly[i : i + 1], model["coarse"][hy[i]], model)[0])
+
+
 # --- 10: language model -------------------------------------------------------------------
 
 
