@@ -12,8 +12,10 @@ next point comes after the latest entry of the signature.
 Rows of equal words are one class before anything else.  Class representatives whose
 signatures agree in a band are candidates; candidates are gathered into clusters
 (components of stars around each bucket's smallest row), clusters are cut into blocks
-of bounded text, and every pair of a cluster meets in exactly one task, where their
-multisets are compared exactly.  A task returns a spanning forest of its links.
+of bounded text, and every pair of a cluster meets in exactly one task.  There the
+pairs that share a band are compared by their exact multisets, but for those that are
+joined already: a group of thousands of near copies is settled by one pass over it.
+A task returns a spanning forest of its links.
 
 With ``BANDS`` bands of ``ROWS`` rows a pair at the threshold of 0.8 shares a band but
 for 5 in 100,000; pairs that share none still join through a third text.
@@ -103,6 +105,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def sketch(batches):
+    """Adds to the numbered documents what is compared of them; the documents go through as they are."""
     for batch in batches:
         rows = C.texts(batch.column("text"))
         for part in C.blocks(rows):
@@ -113,7 +116,7 @@ def sketch(batches):
             whole = np.maximum(block.n_words - SHINGLE + 1, 0)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(whole > 0, BANDS, 0)))), pa.int32()), pa.array(keys[whole > 0].ravel()))
             same = pa.array([hashlib.md5(b" ".join(x.split())).digest() for x in block.rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row").slice(part.start, n), batch.column("doc_id").slice(part.start, n), same, pa.array(whole), bands], ["row", "doc_id", "same", "shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.start, n) for c in ("row", "doc_id")), same, pa.array(whole), bands], ["row", "doc_id", "same", "shingles", "bands"])
 
 
 def forest(hits: list[tuple[int, np.ndarray]], label: np.ndarray, links: list[tuple[int, int]]) -> None:
@@ -126,11 +129,11 @@ def forest(hits: list[tuple[int, np.ndarray]], label: np.ndarray, links: list[tu
             others = others[label[others] != label[i]]
 
 
-def verify(rows: list[bytes], cluster: np.ndarray, side: np.ndarray, similar: float = SIMILAR) -> list[tuple[int, int]]:
-    """A spanning forest of the links among texts of the same cluster (and, where both sides are there, of different ones).
+def verify(rows: list[bytes], cluster: np.ndarray, side: np.ndarray, bands: np.ndarray, similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """A spanning forest of the links among texts of the same cluster that share a band (and, where both sides are there, are of different ones).
 
     Each text's counts are laid out over the task's shingle numbers, and the overlaps
-    with all longer texts that can reach the threshold are one gather and one sum.
+    with all longer candidates that can reach the threshold are one gather and one sum.
     """
     owner, h, count, base = [], [], [], 0
     for part in C.blocks(rows):
@@ -146,36 +149,51 @@ def verify(rows: list[bytes], cluster: np.ndarray, side: np.ndarray, similar: fl
     start = np.searchsorted(owner, np.arange(n + 1))
     order = np.lexsort((total, cluster))
     order = order[total[order] > 0]
-    # shingles in the order of the texts, so that a run of texts is a run of shingles
-    size = np.diff(start)[order]
-    stop = np.cumsum(size)
-    at = np.repeat(start[order] - stop + size, size) + np.arange(int(size.sum()))
-    number, count = number[at], count[at]
-    begin, total, cluster, side = stop - size, total[order], cluster[order], side[order]
+    # buckets: the texts of each band key, in the order of cluster and size
+    key = bands[order].ravel()
+    text = np.repeat(np.arange(len(order)), bands.shape[1])
+    by_key = np.lexsort((text, key))
+    key, text = key[by_key], text[by_key]
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
+    place = np.empty(len(text), np.int64)
+    place[by_key] = np.arange(len(text))
+    stop_of = np.repeat(edge[1:], np.diff(edge))
+    place = place.reshape(len(order), -1)
     two = len(np.unique(side)) > 1
-    end_of = np.searchsorted(cluster, cluster, "right") if len(cluster) else cluster
-    laid = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
+    size, laid = np.diff(start), np.zeros(int(number.max(initial=-1)) + 1, np.int64)
     label, links = np.arange(len(order)), []
-    for i in range(len(order)):
-        last = min(int(end_of[i]), i + int(np.searchsorted(total[i : end_of[i]], total[i] / similar + 1e-9, "right")))
-        if last <= i + 1:
+    for i, mine in enumerate(order):
+        # the texts behind this one in its buckets that it isn't joined with
+        found = [text[p + 1 : z] for p, z in zip(place[i], stop_of[place[i]], strict=True) if z > p + 1]
+        if not found:
             continue
-        mine = slice(begin[i], stop[i])
-        laid[number[mine]] = count[mine]
-        run = slice(stop[i], stop[last - 1])
-        common = np.add.reduceat(np.minimum(laid[number[run]], count[run]), begin[i + 1 : last] - begin[i + 1])
-        laid[number[mine]] = 0
-        hit = np.flatnonzero(common >= similar * (total[i] + total[i + 1 : last] - common) - 1e-9) + i + 1
+        near = np.concatenate(found)
+        near = np.unique(near[label[near] != label[i]])
+        their = order[near]
+        near = near[(cluster[their] == cluster[mine]) & (total[their] * similar <= total[mine] + 1e-9)]
         if two:
-            hit = hit[side[hit] != side[i]]
-        forest([(i, hit)], label, links)
+            near = near[side[order[near]] != side[mine]]
+        own = slice(start[mine], start[mine + 1])
+        laid[number[own]] = count[own]
+        for a in range(0, len(near), 64):  # what the first ones join need not be compared any more
+            some = near[a : a + 64]
+            some = some[label[some] != label[i]] if a else some
+            if not len(some):
+                continue
+            their = order[some]
+            stop = np.cumsum(size[their])
+            at = np.repeat(start[their] - stop + size[their], size[their]) + np.arange(stop[-1])
+            common = np.add.reduceat(np.minimum(laid[number[at]], count[at]), stop - size[their])
+            forest([(i, some[common >= similar * (total[mine] + total[their] - common) - 1e-9])], label, links)
+        laid[number[own]] = 0
     return [(int(order[a]), int(order[b])) for a, b in links]
 
 
 def compare(key, table: pa.Table) -> pa.Table:
     rows = C.texts(table.column("text"))
     row = table.column("row").to_numpy()
-    links = verify(rows, table.column("cluster").to_numpy(), table.column("side").to_numpy())
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+    links = verify(rows, table.column("cluster").to_numpy(), table.column("side").to_numpy(), bands)
     a, b = (row[[x[k] for x in links]] if links else np.zeros(0, np.int64) for k in (0, 1))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -183,45 +201,50 @@ def compare(key, table: pa.Table) -> pa.Table:
 def classes(docs: DataFrame) -> DataFrame:
     """``row``, ``doc_id``, ``class_id`` (smallest doc_id of the class), ``class_row`` (the row that stays) for the rows of ``docs``.
 
-    ``docs`` has doc_id, text and a stable ``row``.
+    ``docs`` has row, doc_id and text and is a written table, so that rows keep their numbers.
     """
     small = C.scratch(docs.mapInArrow(sketch, "row long, doc_id long, same binary, shingles long, bands array<long>"), "sketches")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("row").alias("row")))
-    heads = C.scratch(small.groupBy("same").agg(best.alias("head")), "heads")
-    leads = heads.select(F.col("head.row").alias("row")).join(small.select("row", "shingles", "bands"), "row")
-    cells = C.scratch(leads.where("shingles > 0").select("row", "shingles", F.explode("bands").alias("key")), "bands")
-    full = cells.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    heads = C.scratch(C.summed(small, ["same"], best.alias("head")), "heads")
+    leads = heads.select(F.col("head.row").alias("row")).join(small.select("row", "shingles", "bands"), "row").where("shingles > 0")
+    leads = C.scratch(leads, "leads")
+    cells = leads.select("row", F.explode("bands").alias("key"))
+    full = C.summed(cells, ["key"], F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     near = cells.join(full, "key").where("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b"))
     member = graph.components(near).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
-    member = C.scratch(member.join(leads.select("row", "shingles"), "row"), "members")
-    sums = member.groupBy("cluster").agg(F.sum("shingles").alias("all"))
-    sums = sums.withColumn("cuts", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int"))
+    member = C.scratch(member.join(leads, "row"), "members")
+    sums = C.summed(member, ["cluster"], F.sum("shingles").alias("all"))
+    sums = C.scratch(sums.withColumn("cuts", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int")), "clusters")
     # small clusters share tasks; a large one is cut, and each pair of its cuts is a task
     tasks = max(1, int((sums.agg(F.sum("all")).first()[0] or 0) // BLOCK_SHINGLES) + 1)
     dealt = member.join(sums, "cluster").withColumn("side", F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("row"), F.col("cuts"))).otherwise(0).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     home = F.when(F.col("cuts") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(tasks)))
-    dealt = dealt.select("row", "cluster", "side", home.alias("home"), F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"))
+    dealt = dealt.select("row", "cluster", "bands", "side", home.alias("home"), F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"))
     # a merge join at every size: Spark prunes the large side by a Bloom filter of the members where that pays
     texts = docs.select("row", "text").hint("merge").join(dealt, "row")
     links = C.by_group(texts, ["home", "p", "q"], compare, "a long, b long")
     joined = graph.components(links)
     lead = heads.select("same", F.col("head.row").alias("lead"), F.col("head").alias("head"))
-    lead = lead.join(joined.withColumnRenamed("node", "lead"), "lead", "left").withColumn("root", F.coalesce("root", "lead"))
-    chosen = lead.groupBy("root").agg(F.min("head").alias("chosen"))
-    lead = lead.join(chosen, "root").select("same", "chosen")
+    lead = C.scratch(lead.join(joined.withColumnRenamed("node", "lead"), "lead", "left").withColumn("root", F.coalesce("root", "lead")), "roots")
+    chosen = C.summed(lead, ["root"], F.min("head").alias("chosen"))
+    lead = C.scratch(lead.join(chosen, "root").select("same", "chosen"), "chosen")
     return small.select("row", "doc_id", "same").join(lead, "same").select("row", "doc_id", F.col("chosen.doc").alias("class_id"), F.col("chosen.row").alias("class_row"))
 
 
+def _parts(held: DataFrame) -> DataFrame:
+    return held.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, kept for every row."""
-    base = C.documents(docs).withColumn("row", F.monotonically_increasing_id())
-    return classes(base).select("doc_id", "class_id", (F.col("row") == F.col("class_row")).alias("kept"))
+    held = C.numbered(docs.select("doc_id", "text"))
+    return classes(_parts(held)).select("doc_id", "class_id", (F.col("row") == F.col("class_row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, all columns as they are."""
-    name = "row_" + "_".join(sorted(docs.columns))  # no column of the input has this name
-    held = docs.withColumn(name, F.monotonically_increasing_id())
-    kept = classes(C.documents(held, F.col(name).alias("row"))).where("row = class_row").select(F.col("row").alias(name))
-    return held.join(kept, name, "left_semi").drop(name)
+    held = C.numbered(docs)
+    kept = classes(_parts(held)).where("row = class_row").select("row")
+    kept = held.join(kept, "row", "left_semi")
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
