@@ -103,21 +103,29 @@ def solve(total: dict[int, np.ndarray], shrink: float = 0.1, pooled: float = 0.2
     mean = {c: total[c][1 : d + 1] / n[c] for c in (0, 1)}
     cov = {c: total[c][d + 1 :].reshape(d, d) / n[c] - np.outer(mean[c], mean[c]) for c in (0, 1)}
     both = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
-    model: dict = {"prior": float(np.log(n[1] / n[0])), "mean": mean, "inverse": {}, "logdet": {}}
+    model: dict = {"prior": float(np.log(n[1] / n[0])), "mean": mean, "factor": {}, "logdet": {}}
     for c in (0, 1):
         k = pooled * min(1.0, 20 * d / n[c])  # less of the pooled covariance, the more rows a class has
         s = (1 - k) * cov[c] + k * both
         s = (1 - shrink) * s + shrink * np.diag(np.diag(s)) + ridge * np.eye(d)
         low = np.linalg.cholesky(s)
-        model["inverse"][c] = np.linalg.solve(low, np.eye(d))  # the cached factor, ready for a product
+        model["factor"][c] = low
         model["logdet"][c] = float(2 * np.log(np.diag(low)).sum())
     return model
 
 
+def mahalanobis(x: np.ndarray, mean: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Squared distances: the rows solved against the Cholesky factor by forward substitution, all rows a statistic at a time."""
+    y = np.empty((x.shape[1], len(x)))
+    for j, part in enumerate((x - mean).T):
+        y[j] = (part - low[j, :j] @ y[:j]) / low[j, j]
+    return (y * y).sum(0)
+
+
 def scores(x: np.ndarray, model: dict | None, share: float = 0.5) -> np.ndarray:
     if model is None:
         return np.full(len(x), share)
-    log = {c: -0.5 * (((x - model["mean"][c]) @ model["inverse"][c].T) ** 2).sum(1) - 0.5 * model["logdet"][c] for c in (0, 1)}
+    log = {c: -0.5 * mahalanobis(x, model["mean"][c], model["factor"][c]) - 0.5 * model["logdet"][c] for c in (0, 1)}
     z = (log[1] - log[0]) * 4 / N_STATS + model["prior"]
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
