@@ -40,7 +40,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -74,7 +74,7 @@ class Anchors:
             h = h[:-step] * mult + h[step:]
             step, mult = 2 * step, np.uint64(int(mult) ** 2 % (1 << 64))
         h = C.mix64(h)
-        bits = np.uint64(max(28, int(len(self.data)).bit_length()))  # alike in all blocks
+        bits = np.uint64(32)  # of the place; the other half of the hash decides, alike in all blocks and for texts up to 4 GB
         low = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
         span = 1
         while 2 * span <= REACH:
@@ -385,7 +385,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     blocks = C.scratch(C.documents(docs).mapInArrow(write_blocks(folder), "block string, seeds array<long>, twice array<boolean>"), "blocks")
     # a seed that a third of all texts share has one row for each block
     seeds = blocks.select("block", F.explode(F.arrays_zip("seeds", "twice")).alias("x")).select("block", "x.seeds", "x.twice")
-    seeds = seeds.withColumn("n", F.count("*").over(Window.partitionBy("seeds"))).where("n > 1 or twice")
+    often = C.summed(seeds, ["seeds"], F.count("*").alias("n"), F.bool_or("twice").alias("again")).where("n > 1 or again").select("seeds")
+    seeds = seeds.join(often, "seeds")
     chosen = C.scratch(seeds.groupBy("block").agg(F.collect_list("seeds").alias("seeds")), "chosen")
     total = chosen.agg(F.sum(F.size("seeds")).alias("n"), F.count("*").alias("blocks")).first()
     tasks = max(1, total["blocks"] or 0)
