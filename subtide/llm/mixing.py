@@ -2,12 +2,13 @@
 
 Tokens (words) of a source form one stream, its documents in a fixed order; the
 stream is cut into blocks of a fixed length.  The mix has as many slots as blocks are
-wanted, dealt to output shards.  Each shard draws the source of each of its slots
-from the target shares (stratified uniforms, so a shard's multinomial counts are
-within one of their means).  The slots of a source are counted through, and the k-th
-takes block ``perm(k mod n)``, where perm is a keyed pseudorandom permutation of the
-source's n block indexes, another one for each pass.  Slots and blocks meet in an
-equi-join by (source, index).
+wanted, dealt to output shards.  A pseudorandom permutation of all slots draws the
+source of each: a shard's source counts are multinomial draws given their totals over
+all shards, which are the targets in blocks, so no source misses its target by chance
+and none is drawn beyond two passes.  The k-th slot of a source takes block
+``perm(k mod n)``, where perm is a keyed pseudorandom permutation of the source's n
+block indexes, another one for each pass.  Slots and blocks meet in an equi-join by
+(source, index).
 
 Scale: prefix sums over documents go by (source, bucket) and then over buckets, so no
 task gets a whole source; slots and blocks are spread by index; only the table of
@@ -15,8 +16,8 @@ sources (a row for each source, bounded by their number) is gathered by one task
 
 Defined results: a null text has size 0; a null source is a source of its own and
 comes last; repeated rows are documents of their own; sources without a word take
-nothing; draws beyond two whole passes of a source are left out, so no word is taken
-more than twice.  Extra columns are not read.
+nothing; a source's slots are two passes at most, so no word is taken more than twice.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -82,30 +83,45 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
     return t.select("source", "source_size", "w", F.when(F.col("free").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("w") * F.col("free"))).alias("target"))
 
 
-def draw(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, size, source_size, target, row) and the pieces of them that are taken (row, from, words, times).
-
-    ``row`` numbers the rows of ``docs``, which must read alike each time (files do).
-    """
+def sized(docs: DataFrame, row: Column | None = None, seed: int = 17) -> DataFrame:
+    """doc_id, source, size, row, bucket of every document, written once: ``row`` numbers the rows, by this scan unless it is given."""
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.monotonically_increasing_id() if row is None else row).alias("row"),
     )
-    base = C.scratch(base.withColumn("bucket", F.pmod(_hash(F.col("row"), seed), F.lit(BUCKETS)).cast("int")), "sizes")
+    return C.scratch(base.withColumn("bucket", F.pmod(_hash(F.col("row"), seed), F.lit(BUCKETS)).cast("int")), "sizes")
 
-    parts = base.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("ahead", F.coalesce(F.sum("part").over(ahead), F.lit(0)))
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, share, most, weights)
+
+def planned(base: DataFrame, share: float, most: float, weights: tuple[float, ...], block: int) -> DataFrame:
+    """Each source's target, block length, number of blocks and range [lo, hi) among all slots."""
+    plan = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     # blocks of `block` words, or shorter where the source is small; the last one of a source can be short
     length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")
     plan = plan.withColumn("length", length).withColumn("blocks", F.expr("(source_size + length - 1) div length"))
-    plan = plan.withColumn("wanted", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("blocks")).otherwise(0.0))
+    wanted = F.round(F.col("target") / F.col("source_size") * F.col("blocks"))
+    plan = plan.withColumn("wanted", F.when(F.col("source_size") > 0, F.least(wanted, F.floor(most * F.col("blocks")))).otherwise(0).cast("long"))
     line = Window.orderBy(F.col("source").isNull(), "source")
-    plan = plan.withColumn("stop", F.sum("wanted").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("whole", F.sum("wanted").over(Window.partitionBy()))
-    plan = C.scratch(plan.withColumn("from", F.col("stop") - F.col("wanted")), "plan")
+    plan = plan.withColumn("hi", F.sum("wanted").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("wanted"))
+    return C.scratch(plan, "plan")
+
 
+def slots(plan: DataFrame, seed: int = 17) -> DataFrame:
+    """(shard, source, index): the block that each slot of each output shard takes."""
+    total = int(plan.agg(F.max("hi")).first()[0] or 0)
+    wide = max(1, -(-total // CELLS))
+    cells = plan.where("wanted > 0").select("source", "blocks", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {wide}"), F.expr(f"(hi - 1) div {wide}"))).alias("cell"))
+    drawn = plan.sparkSession.range(total).select(F.expr(f"id div {SHARD}").alias("shard"), permute(F.col("id"), F.lit(total).cast("long"), _hash(seed, 7)).alias("at"))
+    drawn = drawn.withColumn("cell", F.expr(f"at div {wide}")).join(cells, "cell").where("at >= lo and at < hi")
+    drawn = drawn.select("shard", "source", "blocks", (F.col("at") - F.col("lo")).alias("k"))
+    return drawn.select("shard", "source", permute(F.pmod("k", "blocks"), F.col("blocks"), _hash(F.col("source"), F.expr("k div blocks"), seed)).alias("index"))
+
+
+def draw(base: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, size, source_size, target, row) and the pieces of them that are taken (row, from, words, times), from ``sized`` ones."""
+    plan = planned(base, share, most, weights, block)
+    parts = base.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
+    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("ahead", F.coalesce(F.sum("part").over(ahead), F.lit(0)))
     within = Window.partitionBy("source", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     b, p = base.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))), parts
@@ -119,32 +135,14 @@ def draw(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tup
     since = F.greatest(F.col("index") * F.col("length") - F.col("start"), F.lit(0))
     pieces = pieces.select("row", "source", "index", since.alias("from"), words.alias("words"))
 
-    # slots: a stratified uniform each, its source by the cell of the unit interval it lies in
-    total = plan.agg(F.max(F.ceil("whole"))).first()[0] or 0
-    cells = plan.where("wanted > 0").select("source", "blocks", (F.col("from") / F.col("whole")).alias("lo"), (F.col("stop") / F.col("whole")).alias("hi"))
-    last = F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))
-    cells = cells.select("source", "blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("long"), last.cast("long"))).alias("cell"))
-    slots = docs.sparkSession.range(int(total)).select(F.expr(f"id div {SHARD}").alias("shard"), F.expr(f"id % {SHARD}").alias("at"))
-    width = F.least(F.lit(SHARD), F.lit(int(total)) - F.col("shard") * SHARD)
-    jitter = F.pmod(_hash(F.col("shard"), F.col("at"), seed), F.lit(1 << 30)) / float(1 << 30)
-    slots = slots.withColumn("u", (F.col("at") + jitter) / width).withColumn("cell", F.floor(F.col("u") * CELLS))
-    drawn = slots.join(cells, "cell").where("u >= lo and u < hi").select("source", "blocks", "shard", "at")
-    counts = drawn.groupBy("source", "shard").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("source", "shard").orderBy("at")) - 1
-    numbered = drawn.withColumn("rank", rank).alias("d").join(counts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.shard") == F.col("c.shard")))
-    numbered = numbered.select("d.source", "d.blocks", (F.col("rank") + F.col("earlier")).alias("k")).where(F.col("k") < 2 * F.col("blocks"))
-    turn = F.expr("k div blocks")
-    taken = numbered.select("source", permute(F.pmod("k", "blocks"), F.col("blocks"), _hash(F.col("source"), turn, seed)).alias("index"))
-    taken = taken.groupBy("source", "index").agg(F.count("*").alias("times"))
-
+    taken = slots(plan, seed).groupBy("source", "index").agg(F.count("*").alias("times"))
     got = pieces.alias("p").join(taken.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.index") == F.col("t.index")))
     return d.select("doc_id", "size", "source_size", "target", "row"), got.select("row", "from", "words", "times")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken and the row number ``row`` of every document."""
-    d, got = draw(docs, **options)
+    d, got = draw(sized(docs), **options)
     taken = got.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return d.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "row")
 
@@ -154,11 +152,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Words keep the white space that follows them; ``n_chars``, if there, is counted anew.
     """
-    name = "row_" + "_".join(sorted(docs.columns))  # no column of the input has this name
-    _, got = draw(docs, **options)
-    runs = got.groupBy(F.col("row").alias(name)).agg(F.array_sort(F.collect_list(F.struct("from", "words", "times"))).alias("runs"))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias(name))
-    out = held.join(runs, name).select("doc", "runs", F.regexp_extract_all(F.col("doc.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)).alias("list"), F.explode(F.array(F.lit(1), F.lit(2))).alias("turn"))
+    held = C.numbered(docs)
+    _, got = draw(sized(held.select("doc.doc_id", "doc.source", "doc.text", "row"), F.col("row")), **options)
+    runs = got.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("from", "words", "times"))).alias("runs"))
+    out = held.join(runs, "row").select("doc", "runs", F.regexp_extract_all(F.col("doc.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)).alias("list"), F.explode(F.array(F.lit(1), F.lit(2))).alias("turn"))
     chosen = F.filter("runs", lambda x: x["times"] >= F.col("turn"))
     slices = F.transform(chosen, lambda x: F.slice("list", (x["from"] + 1).cast("int"), x["words"].cast("int")))
     out = out.where(F.size(chosen) > 0).select("doc", F.array_join(F.flatten(slices), "").alias("mixed"))
