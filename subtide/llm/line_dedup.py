@@ -1,14 +1,16 @@
 """Line dedup by site-relative frequency.
 
 Rows (pages, documents) are grouped by host.  A line is boilerplate of a host when
-more than ``ratio`` of the host's rows contain it, and ``min_pages`` rows at least;
-boilerplate lines are dropped from the host's rows.  Lines compare after trimming
+more than ``ratio`` of the host's rows contain it, and ``min_pages`` rows at least (on
+one or two pages nothing tells the site's lines from the page's own); boilerplate
+lines are dropped from the host's rows.  Lines compare after trimming
 spaces and tabs; blank lines are never counted or dropped.
 
 Everything is DataFrame expressions.  Each row counts a line once (distinct within
 the row, then map-side partial sums).  The rows of a host hold ``n`` lines each on
 average, so at most ``n / ratio`` lines of a host can be boilerplate: the lists that
-are joined back are short whatever the host's size.  That join is on (host, salt).
+are joined back are short whatever the host's size.  That join is on (host, salt), with
+salts dealt to rows in turn, and adaptive execution can split a salt of a host further.
 
 Defined results: a null text has no lines and stays null; a null host is the group
 of the empty host; repeated rows count as rows of their own; a host with fewer than
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 RATIO = 0.2
-MIN_PAGES = 5
+MIN_PAGES = 3
 SALTS = 32
 
 #: Fixed patterns in the syntax that Java and RE2 share.
@@ -56,7 +58,7 @@ def site_lines(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO,
     totals = base.groupBy("host").agg(F.count("*").alias("total"))
     common = counts.join(totals, "host").where(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.collect_list("key").alias("drop"))
     common = common.select("host", "drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    salted = base.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     joined = salted.join(common, ["host", "salt"], "left")
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: _blank(x) | ~F.array_contains("drop", _key(x))))
     return joined.select("row", "host", "lines", kept.alias("kept"))
