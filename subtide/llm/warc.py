@@ -218,16 +218,18 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, keep_raw: bool = False) ->
     spark = pages.sparkSession
     folder = C.shared_dir(spark)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    # the response of a payload: smallest id, then first row; only payloads that occur twice are joined back
+    base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
+    base = C.scratch(base, "pages")
+    # the response of a payload: smallest id, then first row; digests meet here, and payloads only go to their row
+    digests = base.where(F.col("size") >= min_bytes).select("row", "page_id", "sha1")
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("row").alias("row"))
-    first = base.where(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
+    first = C.summed(digests, ["sha1"], F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
+    again = C.scratch(digests.join(first, "sha1").where(F.col("row") != F.col("first.row")).select("row", "first"), "revisits")
     name = lambda page, row: F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), row.cast("string"))
-    revisit = F.col("first").isNotNull() & (F.col("row") != F.col("first.row")) & (F.octet_length("html") >= min_bytes)
-    rows = base.join(first, "sha1", "left").select(
+    rows = base.join(again, "row", "left").select(
         name(F.col("page_id"), F.col("row")).alias("name"), "url", "sha1", "html",
-        F.when(revisit, "revisit").otherwise("response").alias("kind"),
-        F.when(revisit, name(F.col("first.page"), F.col("first.row"))).alias("refers_to"),
+        F.when(F.col("first").isNotNull(), "revisit").otherwise("response").alias("kind"),
+        F.when(F.col("first").isNotNull(), name(F.col("first.page"), F.col("first.row"))).alias("refers_to"),
     )
     raw = C.scratch(rows.mapInArrow(write_monolithic(f"{folder}/raw"), "archive string, records long"), "raw")
     n = max(1, min(raw.count(), spark.sparkContext.defaultParallelism * 4))
