@@ -1,7 +1,7 @@
 """Quality rules: base word rules, then a hashed n-gram logistic regression with calibrated probabilities.
 
-The classifier hashes word 1- and 2-grams and byte 3- and 4-grams (characters of
-ASCII text) into ``2**BITS`` weights.  A document's features are the relative
+The classifier hashes word 1- and 2-grams and character 3- and 4-grams (of code
+points) into ``2**BITS`` weights.  A document's features are the relative
 frequencies of each family, so its score is a bias plus the mean weight over its
 n-grams: one gather and one mean for a whole text.  It learns from a bounded,
 class-stratified sample of labelled rows (``max_labelled``); Platt scaling on a
@@ -35,23 +35,37 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each character of UTF-8 bytes begins, and its bytes as one number."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(at, len(data)))
+    code = data[at].astype(np.uint32)
+    for k in (1, 2, 3):
+        long = np.flatnonzero(size > k)
+        code[long] |= data[at[long] + k].astype(np.uint32) << np.uint32(8 * k)
+    return at, code
+
+
 def ngrams(block: C.TextBlock):
     """Of each family: the hashed feature of every n-gram, and each document's bounds among them."""
     n = len(block.rows)
     yield (block.word >> _SHIFT).astype(np.int32), block.first
     at, h = block.windows(2)
     yield (h >> _SHIFT).astype(np.int32), np.concatenate((np.searchsorted(block.owner[at], np.arange(n)), [len(at)]))
+    at, char = characters(block.data)
+    char = char * np.uint32(0x9E3779B1)
+    start, stop = np.searchsorted(at, block.start), np.searchsorted(at, block.stop)
     for width in (3, 4):
-        if len(block.data) < width:
+        if len(char) < width:
             yield np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
             continue
-        last = len(block.data) - width + 1
-        code = block.data[:last].astype(np.uint32)
+        last = len(char) - width + 1
+        code = char[:last].copy()
         for k in range(1, width):
-            code = (code << np.uint32(8)) | block.data[k : k + last]
-        code = (code * np.uint32(2654435761) + np.uint32(width * 0x1F35)) * np.uint32(0x85EBCA6B)
+            code = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B) + char[k : k + last]
+        code = (code ^ (code >> np.uint32(13))) * np.uint32(0xC2B2AE35) + np.uint32(width)
         # n-grams over a document's end are left out through its bounds
-        yield (code >> np.uint32(32 - BITS)).astype(np.int32), np.stack((block.start, np.maximum(block.stop - width + 1, block.start)))
+        yield (code >> np.uint32(32 - BITS)).astype(np.int32), np.stack((start, np.maximum(stop - width + 1, start)))
 
 
 def _bounds(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +93,28 @@ def sparse_rows(block: C.TextBlock, which: np.ndarray) -> list[tuple[np.ndarray,
     return [(np.concatenate([x[0] for x in row]).astype(np.int32), np.concatenate([x[1] for x in row])) for row in out]
 
 
+def platt(z: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of least weighted log loss: Newton steps, halved until they lower the loss."""
+
+    def loss(a: float, b: float) -> float:
+        x = a * z + b
+        return float((weight * (np.logaddexp(0, x) - target * x)).sum() + 0.5e-4 * (a - 1) ** 2)
+
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        d, h = weight * (p - target), weight * p * (1 - p) + 1e-9
+        grad = np.array([(d * z).sum() + 1e-4 * (a - 1), d.sum()])
+        hess = np.array([[(h * z * z).sum() + 1e-4, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
+        step, now = np.linalg.solve(hess, grad), loss(a, b)
+        while loss(a - step[0], b - step[1]) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(a), float(b)
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float, updates: int = 24_000, seed: int = 7) -> dict:
     """Adagrad on the logistic loss, classes weighted evenly, as many epochs as make ``updates``; then Platt scaling on every fifth row."""
     w, g = np.zeros(FAMILIES << BITS, np.float32), np.full(FAMILIES << BITS, 1e-6, np.float32)
@@ -100,16 +136,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float,
     n1, n0 = max(yy.sum(), 1), max((1 - yy).sum(), 1)
     target = np.where(yy == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     weight = np.where(yy == 1, prior / n1, (1 - prior) / n0)
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps on the weighted log loss
-        p = 1 / (1 + np.exp(-np.clip(a * zz + b, -30, 30)))
-        d, h = weight * (p - target), weight * p * (1 - p) + 1e-9
-        grad = np.array([(d * zz).sum() + 1e-4 * (a - 1), d.sum()])
-        hess = np.array([[(h * zz * zz).sum() + 1e-4, (h * zz).sum()], [(h * zz).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
-            break
+    a, b = platt(zz, target, weight)
     return {"w": w.reshape(FAMILIES, -1), "bias": bias, "a": float(max(a, 1e-3)), "b": float(b)}
 
 
