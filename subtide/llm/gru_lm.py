@@ -47,7 +47,8 @@ SUFFIXES = 512
 LANES, STEPS, PIECE = 192, 16, 1024
 ROUNDS = 4
 RATE = 0.1
-WORKERS = 64
+WORKER_BLOCKS, WORKERS = 4, 1024  # a training task takes so many blocks; more from WORKERS tasks on
+PIECE_SIZE = 1 << 16
 BLOCK = 12 << 20
 END_HASH = np.uint64(0x5EED0FE2D0C5)
 OTHER = 0  # the entry of all unlisted words
@@ -395,7 +396,8 @@ def train_round(folder: str, shared, number: int, rounds: int):
                     trainer.documents(entry, given, e.start, e.size)
                     seen += int(e.size.sum())
         if seen:
-            for k, piece in enumerate(np.array_split(model.flat(), 16)):
+            flat = model.flat()
+            for k, piece in enumerate(np.array_split(flat, -(-len(flat) // PIECE_SIZE))):
                 yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "weight": pa.array([float(seen)]), "piece": pa.array([piece.astype(np.float32).tobytes()], pa.binary())})
 
     return run
@@ -470,7 +472,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     mass[0] = rest[0] + ADD * (rest[1] + 1)
     mass[1 : 1 + len(top)] = [r["c"] for r in top]
     model = Model.fresh(np.log(mass / mass.sum()), classes=classes)
-    parts = max(1, min(WORKERS, blocks.count(), spark.sparkContext.defaultParallelism * 2))
+    parts = int(np.clip(-(-blocks.count() // WORKER_BLOCKS), 1, WORKERS))  # the same on any cluster
     spread = blocks.select("block").repartition(parts, "block")
     for k in range(rounds if n else 0):
         shared = spark.sparkContext.broadcast((number, model))
