@@ -6,19 +6,20 @@
    a CRC-32 for each ``UNIT`` tokens; the CRC of any cut at units follows from them.
 2. A document of ``WINDOW`` tokens or more fills whole sequences of its own; its rest
    is placed like any other document.
-3. Each document asks an index of leaders, one in ``SHARD`` of all documents, for the
-   one that scores best.  Documents in the order of (leader, score) are cut into shards
-   of about ``SHARD``, so related documents meet wherever they lie in the input; a
-   leader's large following is cut between different scores, copies of one text by a
-   hash.  A shard holds an inverted index (hashed words, BM25 with the document frequencies of all
-   documents).  The longest unused document seeds a window; its neighbours by score
-   fill it, the last of them cut at a unit; what a cut leaves is unused again.
-
-Scale: one shuffle, of term ids and CRCs instead of texts; a shard is small whatever
-the input's size, and rows are dealt evenly.  The document frequencies are a vector
-of fixed length (``TERMS``).  Leaders (some hundred bytes for each ``SHARD``
-documents) and ``BOUNDS`` numbers a shard go through the driver; the work of asking the leaders grows with
-the square of the documents, divided by ``SHARD``.
+3. Each document asks an index of ``LEADERS`` documents, numbered so that like ones are
+   close, with those of its terms that weigh most there, and documents are sorted by
+   (best leader, second one, own term of most weight): a lexical order in which related
+   documents are close wherever they lie in the input.  The order is cut into shards of about ``SHARD`` documents.
+4. A shard holds an inverted index of whole texts (words as 32-bit hashes, BM25 with
+   the frequencies and mean length of all documents).  The longest unused document
+   seeds a window; its neighbours by score fill it, the last of them cut at a unit;
+   what a cut leaves is unused again.
+
+Scale: one shuffle, of term hashes and CRCs instead of texts; a shard is small whatever
+the input's size, and rows are dealt evenly.  Placing takes the same work for each
+document at every size.  Document frequencies are a vector of ``2 ** DF_BITS`` buckets,
+added up on executors in pieces; rare words of a bucket share their sum.  The leaders
+and ``BOUNDS`` numbers a shard go through the driver.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 documents of their own; no rows give no rows.  Only doc_id and text are read.
@@ -26,7 +27,6 @@ documents of their own; no rows give no rows.  Only doc_id and text are read.
 
 from __future__ import annotations
 
-import base64
 import zlib
 
 import numpy as np
@@ -40,32 +40,24 @@ WINDOW = 2048
 UNIT = 16
 END = 1
 SHARD = 2048
-LEADERS, BOUNDS = 64, 64  # leaders at least; documents for each shard that place its bounds
-TERMS = 1 << 16
+LEADERS, ASKED, BOUNDS = 256, 32, 16  # leaders; terms that ask them; documents for each shard that place its bounds
+DF_BITS, DF_PIECE = 18, 4096
 K1, B = 1.2, 0.75
 CACHE = 700_000
-TOKENIZER = "byte_bpe_50k.tiktoken"
-TOKENS = "doc_id long, row long, tokens long, crcs binary, terms binary, counts binary"
+TOKENIZER = "byte_bpe_50k.json"
+TOKENS = "doc_id long, row long, tokens long, crcs binary, terms binary, counts binary, words long"
 #: White space of the tokenizer's pattern (the Unicode property).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
 def load_encoder(path: str):
-    """str -> list of ids, from a ranks file (.tiktoken) or a tokenizer file (.json)."""
+    """list of str -> their ids, by a tokenizer file of the installed ones (or a path)."""
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    path = path if "/" in path else public_tokenizers.path(path)
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True  # their strings in a text are ordinary text
-        return lambda text: own.encode(text, add_special_tokens=False).ids
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    own = Tokenizer.from_file(path if "/" in path else public_tokenizers.path(path))
+    own.encode_special_tokens = True  # their strings in a text are ordinary text
+    return lambda some: [own.encode(x, add_special_tokens=False).ids for x in some]
 
 
 class _Known(dict):
@@ -93,20 +85,21 @@ class Tokens:
         self.n, self.new, self.open = 0, [], []
         self.head, self.tail = _Known(self, ""), _Known(self, " ")
         self.ids, self.at, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.term, self.unsafe = np.zeros(0, np.uint16), np.zeros(0, bool)
+        self.terms, self.term_at, self.term_size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.unsafe = np.zeros(0, bool)
 
     def _learn(self) -> None:
-        got = [self.encode(x) for x in self.new]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint16, int(size.sum()))
-        terms = np.fromiter((zlib.crc32(x.strip(WHITE).encode()) & (TERMS - 1) for x in self.new), np.uint16, len(got))
+        got, words = self.encode(self.new), [x.split() for x in self.new]
+        size, many = (np.fromiter(map(len, x), np.int64, len(x)) for x in (got, words))
         self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(size) - size))
-        self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, flat))
-        self.term, self.unsafe = np.concatenate((self.term, terms)), np.concatenate((self.unsafe, np.array(self.open, bool)))
+        self.term_at = np.concatenate((self.term_at, len(self.terms) + np.cumsum(many) - many))
+        self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, np.fromiter((i for x in got for i in x), np.uint16, int(size.sum()))))
+        self.term_size, self.terms = np.concatenate((self.term_size, many)), np.concatenate((self.terms, np.fromiter((zlib.crc32(w.encode()) for x in words for w in x), np.uint32, int(many.sum()))))
+        self.unsafe = np.concatenate((self.unsafe, np.array(self.open, bool)))
         self.n, self.new, self.open = self.n + len(got), [], []
 
-    def batch(self, rows: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text its ids, the term of each piece and the tokens up to each piece's end."""
+    def batch(self, rows: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids and the term of each of its words."""
         if self.n > self.limit:
             self.clear()
         numbers = []
@@ -121,17 +114,20 @@ class Tokens:
             self._learn()
         out = []
         for text, k in zip(rows, numbers, strict=True):
-            size = self.size[k]
-            stops = np.cumsum(size)
             if self.unsafe[k[:-1]].any():  # white space before a space: not a safe place to cut
-                ids = np.array(self.encode(text), np.uint16)
-                stops = np.minimum(stops, len(ids))
+                ids = np.array(self.encode([text])[0], np.uint16)
             else:
-                ids = self.ids[np.repeat(self.at[k] - stops + size, size) + np.arange(stops[-1])]
-            out.append((ids, self.term[k], stops))
+                ids = _ranges(self.ids, self.at[k], self.size[k])
+            out.append((ids, _ranges(self.terms, self.term_at[k], self.term_size[k])))
         return out
 
 
+def _ranges(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``at``, one after another."""
+    stop = np.cumsum(size)
+    return flat[np.repeat(at - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+
+
 _TOKENS: dict[str, Tokens] = {}
 
 
@@ -192,62 +188,75 @@ def tokenise(path: str = TOKENIZER):
             rows = batch.column("text").to_pylist()
             for a in range(0, len(rows), 256):
                 some = [x or "" for x in rows[a : a + 256]]
-                n, crcs, terms, counts = [], [], [], []
-                for ids, term, stops in tokens.batch(some):
+                n, crcs, terms, counts, words = [], [], [], [], []
+                for ids, term in tokens.batch(some):
                     ids = np.append(ids, np.uint16(END))
-                    rest = len(ids) - len(ids) % WINDOW
-                    ids_of_rest = term[np.searchsorted(stops, rest, "right") :]
-                    found, count = np.unique(ids_of_rest, return_counts=True)
+                    found, count = np.unique(term, return_counts=True)
                     n.append(len(ids))
                     crcs.append(unit_crcs(ids).tobytes())
-                    terms.append(found.astype("<u2").tobytes())
+                    terms.append(found.astype("<u4").tobytes())
                     counts.append(np.minimum(count, 65535).astype("<u2").tobytes())
+                    words.append(len(term))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, len(some)), batch.column("row").slice(a, len(some)), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (crcs, terms, counts))],
-                    ["doc_id", "row", "tokens", "crcs", "terms", "counts"],
+                    [batch.column("doc_id").slice(a, len(some)), batch.column("row").slice(a, len(some)), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (crcs, terms, counts)), pa.array(words, pa.int64())],
+                    ["doc_id", "row", "tokens", "crcs", "terms", "counts", "words"],
                 )
 
     return run
 
 
+def bucket(terms: np.ndarray) -> np.ndarray:
+    """The bucket of document frequencies of each term."""
+    return terms >> np.uint32(32 - DF_BITS)
+
+
 def frequencies(batches):
-    """Documents of each term, a dense vector for each task."""
-    df = np.zeros(TERMS, np.int64)
+    """Documents of each bucket of terms in a task, in pieces."""
+    df = np.zeros(1 << DF_BITS, np.uint32)
     for batch in batches:
         for x in batch.column("terms").to_pylist():
-            df[np.frombuffer(x, "<u2")] += 1
-    found = np.flatnonzero(df)
-    yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.int32()), "n": pa.array(df[found])})
+            df[bucket(np.frombuffer(x, "<u4"))] += 1  # once for each document
+    for k, piece in enumerate(df.reshape(-1, DF_PIECE)):
+        yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "piece": pa.array([piece.astype("<u4").tobytes()], pa.binary())})
+
+
+def add_up(key, table: pa.Table) -> pa.Table:
+    total = np.zeros(DF_PIECE, np.int64)
+    for x in table.column("piece"):
+        total += np.frombuffer(x.as_py(), "<u4")
+    return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "piece": pa.array([total.tobytes()], pa.binary())})
 
 
 class Index:
-    """BM25 over the documents of a shard."""
+    """BM25 over some documents: an inverted index of the terms that they have."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        self.n, self.terms = len(terms), terms
+        self.n = len(terms)
         doc = np.repeat(np.arange(self.n), [len(x) for x in terms])
-        term = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
+        term = np.concatenate(terms) if terms else np.zeros(0, np.uint32)
         tf = np.concatenate(counts).astype(float) if counts else np.zeros(0)
         size = np.bincount(doc, tf, self.n)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1e-9)))
+        weight = idf[bucket(term)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1e-9)))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.stop = np.cumsum(np.bincount(term, minlength=TERMS))
+        self.vocabulary, first = np.unique(term[order], return_index=True)
+        self.edge = np.append(first, len(term))
 
-    def scores(self, i: int) -> np.ndarray:
-        return self.asked(self.terms[i])
+    def known(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the terms are in the index, and their numbers there."""
+        if not len(self.vocabulary):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        here = np.flatnonzero(self.vocabulary[at] == terms)
+        return here, at[here]
 
-    def asked(self, terms: np.ndarray) -> np.ndarray:
-        t = terms.astype(np.int64)
-        if not len(t):
-            return np.zeros(self.n)
-        a, b = np.where(t > 0, self.stop[t - 1], 0), self.stop[t]
-        size = b - a
-        at = np.repeat(b - np.cumsum(size), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+    def asked(self, number: np.ndarray) -> np.ndarray:
+        """The score of every document for some of the index's terms."""
+        size = self.edge[number + 1] - self.edge[number]
+        return np.bincount(_ranges(self.doc, self.edge[number], size), _ranges(self.weight, self.edge[number], size), self.n)
 
 
-def fill(tokens: np.ndarray, index: Index) -> list[list[tuple[int, int, int]]]:
+def fill(tokens: np.ndarray, terms: list[np.ndarray], index: Index) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, start, length) that use each document's rest once."""
     start, left = tokens - tokens % WINDOW, tokens % WINDOW
     windows = [[(i, a, WINDOW)] for i in range(len(tokens)) for a in range(0, start[i], WINDOW)]
@@ -257,7 +266,7 @@ def fill(tokens: np.ndarray, index: Index) -> list[list[tuple[int, int, int]]]:
             window, room, ranked = [(int(seed), int(start[seed]), int(left[seed]))], WINDOW - int(left[seed]), None
             left[seed] = 0
             if room >= UNIT:
-                ranked = index.scores(seed)
+                ranked = index.asked(index.known(terms[seed])[1])
                 open_ = np.flatnonzero(left)
                 for j in open_[np.argsort(-ranked[open_], kind="stable")] if len(open_) else ():
                     take = int(left[j]) if left[j] <= room else room - room % UNIT
@@ -269,8 +278,21 @@ def fill(tokens: np.ndarray, index: Index) -> list[list[tuple[int, int, int]]]:
     return windows
 
 
+def toured(leaders: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The leaders in an order in which each is followed by the most alike of those left, so that numbers near each other mean texts near each other."""
+    index = Index([t for t, _ in leaders], [c for _, c in leaders], idf, mean)
+    alike = np.stack([index.asked(index.known(t)[1]) for t, _ in leaders])
+    alike = alike + alike.T
+    out, left = [0], np.ones(len(leaders), bool)
+    left[0] = False
+    while left.any():
+        out.append(int(np.where(left, alike[out[-1]], -1).argmax()))
+        left[out[-1]] = False
+    return [leaders[i] for i in out]
+
+
 def place(shared, mean: float):
-    """For each document its place in the order: best leader (24 bits), score (14 bits), hash of the row (14 bits)."""
+    """For each document its place in the lexical order: best leader, second one (10 bits each), term of most weight (24 bits), hash of the row (14 bits)."""
 
     def run(batches):
         leaders, idf = shared.value
@@ -278,31 +300,37 @@ def place(shared, mean: float):
         for batch in batches:
             at = []
             for row, terms, counts in zip(*(batch.column(c).to_pylist() for c in ("row", "terms", "counts")), strict=True):
-                t, tf = np.frombuffer(terms, "<u2"), np.frombuffer(counts, "<u2").astype(float)
-                found = index.asked(t)
-                best = int(found.argmax())
-                most = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / max(mean, 1e-9)))).sum()  # what its own text scores
-                near = int(min(found[best] / (found[best] + most), 1) * 16383) if found[best] > 0 else 0
-                at.append(best << 28 | near << 14 | zlib.crc32(b"%d" % row) >> 18)
+                t, tf = np.frombuffer(terms, "<u4"), np.frombuffer(counts, "<u2").astype(float)
+                weight = idf[bucket(t)] * tf / (tf + K1)
+                here, number = index.known(t)
+                if len(here) > ASKED:
+                    most = np.argpartition(-weight[here], ASKED)[:ASKED]
+                    number = number[most]
+                found = index.asked(number)
+                first = int(found.argmax())
+                found[first] = -1
+                second, own = int(found.argmax()), int(t[weight.argmax()]) >> 8 if len(t) else 0
+                at.append(first << 48 | second << 38 | own << 14 | zlib.crc32(b"%d" % row) >> 18)
             yield batch.append_column("place", pa.array(at, pa.int64()))
 
     return run
 
 
-def shard_of(base: DataFrame, n: int, shards: int, size: int, idf: np.ndarray, mean: float) -> DataFrame:
-    """``base`` with ``shard``: neighbours in the order of (best leader, score) are in one."""
+def _drawn(column: str, share: float, salt: int):
+    """A share of the rows by hash: the same in each run."""
+    return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+
+
+def shard_of(base: DataFrame, n: int, shards: int, idf: np.ndarray, mean: float) -> DataFrame:
+    """``base`` with ``shard``: neighbours in the lexical order are in one."""
     if shards == 1:
         return base.withColumn("shard", F.lit(0).cast("long"))
     spark = base.sparkSession
-    share = min(1.0, max(1 / size, LEADERS / n))
-    drawn = base.where((F.octet_length("terms") > 0) & (F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    leaders = [(np.frombuffer(r["terms"], "<u2"), np.frombuffer(r["counts"], "<u2")) for r in drawn.select("row", "terms", "counts").orderBy("row").collect()]  # one in ``size``
-    if not leaders:
-        leaders = [(np.zeros(0, np.uint16), np.zeros(0, np.uint16))]
-    shared = spark.sparkContext.broadcast((leaders, idf))
+    drawn = base.where(F.col("words") > 0).where(_drawn("row", 2 * LEADERS / n, 0))
+    leaders = [(np.frombuffer(r["terms"], "<u4"), np.frombuffer(r["counts"], "<u2")) for r in drawn.orderBy(F.xxhash64("row"), "row").limit(LEADERS).select("terms", "counts").collect()]
+    shared = spark.sparkContext.broadcast((toured(leaders or [(np.zeros(0, np.uint32), np.zeros(0, np.uint16))], idf, mean), idf))
     placed = C.scratch(base.mapInArrow(place(shared, mean), f"{TOKENS}, place long"), "places")
-    seen = placed.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, BOUNDS / size) * (1 << 30)))  # the same in each run
-    seen = np.sort(np.array([r["place"] for r in seen.select("place").collect()], np.int64))  # BOUNDS a shard
+    seen = np.sort(placed.where(_drawn("row", BOUNDS * shards / n, 1)).select("place").toArrow().column("place").to_numpy())
     edge = spark.sparkContext.broadcast(np.unique(seen[np.arange(1, shards) * len(seen) // shards]) if len(seen) else seen)
 
     def number(batches):
@@ -315,25 +343,24 @@ def shard_of(base: DataFrame, n: int, shards: int, size: int, idf: np.ndarray, m
 def pack(docs: DataFrame, path: str = TOKENIZER, shard: int = SHARD) -> DataFrame:
     """One row per piece: doc_id, row, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
     base = C.documents(docs).withColumn("row", F.monotonically_increasing_id())
     base = C.scratch(base.mapInArrow(tokenise(path), TOKENS), "tokens")
-    n = base.count()
+    n, mean = base.agg(F.count("*"), F.avg("words")).first()
     if not n:
-        return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long")
-    df = np.zeros(TERMS)
-    for r in base.select("terms").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS rows at most
-        df[r["term"]] = r["n"]
-    mean = base.select(F.avg(F.octet_length("terms") / 2)).first()[0] or 1.0
+        return spark.createDataFrame([], schema)
+    pieces = base.select("terms").mapInArrow(frequencies, "k int, piece binary")
+    pieces = sorted(C.by_group(pieces, ["k"], add_up, "k int, piece binary").collect(), key=lambda r: r["k"])  # 2 ** DF_BITS numbers
+    df = np.concatenate([np.frombuffer(r["piece"], np.int64) for r in pieces])
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     shared = spark.sparkContext.broadcast(idf)
-    shards = max(1, -(-n // shard))
 
     def one(key, table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("row", "ascending")])
         tokens = table.column("tokens").to_numpy()
         read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-        crcs = read("crcs", "<u4")
-        windows = fill(tokens, Index(read("terms", "<u2"), read("counts", "<u2"), shared.value, mean))
+        crcs, terms = read("crcs", "<u4"), read("terms", "<u4")
+        windows = fill(tokens, terms, Index(terms, read("counts", "<u2"), shared.value, mean))
         flat = [(i, a, k, w, p) for w, window in enumerate(windows) for (i, a, k), p in zip(window, np.cumsum([0] + [x[2] for x in window]), strict=False)]
         i, a, k, w, p = (np.array(x, np.int64) for x in zip(*flat, strict=True))
         crc = join_crcs([crcs[d][s // UNIT : -(-(s + m) // UNIT)] for d, s, m in zip(i, a, k, strict=True)], k)
@@ -343,6 +370,4 @@ def pack(docs: DataFrame, path: str = TOKENIZER, shard: int = SHARD) -> DataFram
             "sequence_id": (np.int64(key[0].as_py()) << np.int64(32)) + w, "offset": p, "row": table.column("row").take(at),
         })
 
-    dealt = shard_of(base, n, shards, shard, idf, mean)
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
-    return C.by_group(dealt, ["shard"], one, schema)
+    return C.by_group(shard_of(base, n, -(-n // shard), idf, mean), ["shard"], one, schema)
