@@ -1,13 +1,11 @@
 """Lexical retrieval packing: sequences of related documents, from a sharded BM25 index.
 
-1. Tokenise.  Texts are cut before single spaces, where a byte-level BPE of this
-   pattern can never merge, and the pieces' ids are looked up in a bounded cache;
-   texts with a space after other white space are encoded in one go.  Ids are kept as
-   a CRC-32 for each ``UNIT`` tokens; the CRC of any cut at units follows from them.
+1. Tokenise.  Ids are kept as a CRC-32 for each ``UNIT`` tokens; the CRC of any cut at
+   units follows from them.
 2. A document of ``WINDOW`` tokens or more fills whole sequences of its own; its rest
    is placed like any other document.
 3. Each document asks an index of ``LEADERS`` documents, numbered so that like ones are
-   close, with those of its terms that weigh most there, and documents are sorted by
+   close, and documents are sorted by
    (best leader, second one, own term of most weight): a lexical order in which related
    documents are close wherever they lie in the input.  The order is cut into shards of about ``SHARD`` documents.
 4. A shard holds an inverted index of whole texts (words as 32-bit hashes, BM25 with
@@ -27,6 +25,7 @@ documents of their own; no rows give no rows.  Only doc_id and text are read.
 
 from __future__ import annotations
 
+import base64
 import zlib
 
 import numpy as np
@@ -40,86 +39,74 @@ WINDOW = 2048
 UNIT = 16
 END = 1
 SHARD = 2048
-LEADERS, ASKED, BOUNDS = 256, 32, 16  # leaders; terms that ask them; documents for each shard that place its bounds
+LEADERS, BOUNDS = 256, 16  # leaders; documents for each shard that place its bounds
+ROW_FROM = 16  # terms of more than 1 / ROW_FROM of an index's documents
 DF_BITS, DF_PIECE = 18, 4096
 K1, B = 1.2, 0.75
-CACHE = 700_000
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks; a quarter of the time
 TOKENS = "doc_id long, row long, tokens long, crcs binary, terms binary, counts binary, words long"
-#: White space of the tokenizer's pattern (the Unicode property).
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def load_encoder(path: str):
-    """list of str -> their ids, by a tokenizer file of the installed ones (or a path)."""
+    """list of str -> their ids, and the bytes of each id, from a ranks file (.tiktoken) or a tokenizer file (.json) of one vocabulary."""
     import public_tokenizers
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    own = Tokenizer.from_file(path if "/" in path else public_tokenizers.path(path))
-    own.encode_special_tokens = True  # their strings in a text are ordinary text
-    return lambda some: [own.encode(x, add_special_tokens=False).ids for x in some]
+    path = path if "/" in path else public_tokenizers.path(path)
+    with open(path.removesuffix(".json").removesuffix(".tiktoken") + ".tiktoken", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    names = {i: x for x, i in ranks.items()}
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
 
-
-class _Known(dict):
-    """Piece -> number; new pieces are numbered as they come."""
-
-    def __init__(self, owner: "Tokens", prefix: str) -> None:
-        self.owner, self.prefix = owner, prefix
-
-    def __missing__(self, piece: str) -> int:
-        o = self.owner
-        self[piece] = k = o.n + len(o.new)
-        o.new.append(self.prefix + piece)
-        o.open.append(not piece or piece[-1] in WHITE)
-        return k
+        own = Tokenizer.from_file(path)
+        own.encode_special_tokens = True  # their strings in a text are ordinary text
+        return lambda some: [own.encode(x, add_special_tokens=False).ids for x in some], names
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda some: [own.encode_ordinary(x) for x in some], names
 
 
 class Tokens:
-    """Encodes texts through a bounded cache of pieces."""
-
-    def __init__(self, path: str = TOKENIZER, limit: int = CACHE) -> None:
-        self.encode, self.limit = load_encoder(path), limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.n, self.new, self.open = 0, [], []
-        self.head, self.tail = _Known(self, ""), _Known(self, " ")
-        self.ids, self.at, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.terms, self.term_at, self.term_size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.unsafe = np.zeros(0, bool)
-
-    def _learn(self) -> None:
-        got, words = self.encode(self.new), [x.split() for x in self.new]
-        size, many = (np.fromiter(map(len, x), np.int64, len(x)) for x in (got, words))
-        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(size) - size))
-        self.term_at = np.concatenate((self.term_at, len(self.terms) + np.cumsum(many) - many))
-        self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, np.fromiter((i for x in got for i in x), np.uint16, int(size.sum()))))
-        self.term_size, self.terms = np.concatenate((self.term_size, many)), np.concatenate((self.terms, np.fromiter((zlib.crc32(w.encode()) for x in words for w in x), np.uint32, int(many.sum()))))
-        self.unsafe = np.concatenate((self.unsafe, np.array(self.open, bool)))
-        self.n, self.new, self.open = self.n + len(got), [], []
-
-    def batch(self, rows: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its ids and the term of each of its words."""
-        if self.n > self.limit:
-            self.clear()
-        numbers = []
-        for text in rows:
-            pieces = text.split(" ")
-            first = self.head[pieces[0]]
-            pieces[0] = ""
-            k = np.fromiter(map(self.tail.__getitem__, pieces), np.int64, len(pieces))
-            k[0] = first
-            numbers.append(k)
-        if self.new:
-            self._learn()
-        out = []
-        for text, k in zip(rows, numbers, strict=True):
-            if self.unsafe[k[:-1]].any():  # white space before a space: not a safe place to cut
-                ids = np.array(self.encode([text])[0], np.uint16)
-            else:
-                ids = _ranges(self.ids, self.at[k], self.size[k])
-            out.append((ids, _ranges(self.terms, self.term_at[k], self.term_size[k])))
-        return out
+    """Ids of texts, and the terms that their tokens make up.
+
+    A term is a run of letters, digits and what no text separates: tokens that begin with
+    white space or a mark begin one, and so do tokens after a mark.  It is hashed from its
+    tokens without their leading space; a word that stands after no space can be cut into
+    other tokens and then is another term.
+    """
+
+    def __init__(self, path: str = TOKENIZER) -> None:
+        self.encode, names = load_encoder(path)
+        self.opens, self.closes, self.word = np.ones(1 << 16, bool), np.ones(1 << 16, bool), np.zeros(1 << 16, bool)
+        number = {x: i for i, x in names.items()}
+        bare = np.arange(1 << 16)
+        for i, x in names.items():
+            y = x.lstrip(WHITE_BYTES)
+            mark = [bool(y) and c < 128 and not chr(c).isalnum() for c in (y[:1] + y[-1:])]
+            self.word[i] = bool(y) and not mark[0]
+            self.opens[i], self.closes[i] = y != x or not y or mark[0], not y or mark[-1]
+            bare[i] = number.get(y, i)
+        self.code = C.mix64(bare.astype(np.uint64) + np.uint64(1))
+
+    def batch(self, rows: list[str]) -> list[np.ndarray]:
+        return [np.array(x + [END], np.uint16) for x in self.encode(rows)]
+
+    def terms(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, hash and count of each distinct term, by text and hash."""
+        flat = np.concatenate(ids)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        stop = np.cumsum(size)
+        first = np.concatenate(([True], self.closes[flat[:-1]])) | self.opens[flat]
+        first[stop[:-1]] = True
+        begin = np.flatnonzero(first)
+        at = np.arange(len(flat)) - np.repeat(begin, np.diff(np.append(begin, len(flat))))
+        h = np.add.reduceat(self.code[flat] * (2 * at.astype(np.uint64) + np.uint64(1)), begin)
+        keep = self.word[flat[begin]]
+        keep &= ~np.isin(begin, stop - 1)  # not the end token
+        owner = np.repeat(np.arange(len(ids)), size)[begin[keep]]
+        key, count = np.unique(owner.astype(np.uint64) << np.uint64(32) | C.mix64(h[keep]) >> np.uint64(32), return_counts=True)
+        return (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32), count
 
 
 def _ranges(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -187,18 +174,13 @@ def tokenise(path: str = TOKENIZER):
         for batch in batches:
             rows = batch.column("text").to_pylist()
             for a in range(0, len(rows), 256):
-                some = [x or "" for x in rows[a : a + 256]]
-                n, crcs, terms, counts, words = [], [], [], [], []
-                for ids, term in tokens.batch(some):
-                    ids = np.append(ids, np.uint16(END))
-                    found, count = np.unique(term, return_counts=True)
-                    n.append(len(ids))
-                    crcs.append(unit_crcs(ids).tobytes())
-                    terms.append(found.astype("<u4").tobytes())
-                    counts.append(np.minimum(count, 65535).astype("<u2").tobytes())
-                    words.append(len(term))
+                ids = tokens.batch([x or "" for x in rows[a : a + 256]])
+                owner, term, count = tokens.terms(ids)
+                edge = np.searchsorted(owner, np.arange(len(ids) + 1))
+                term, count, words = term.astype("<u4"), np.minimum(count, 65535).astype("<u2"), np.bincount(owner, count, len(ids)).astype(np.int64)
+                pieces = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, len(some)), batch.column("row").slice(a, len(some)), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (crcs, terms, counts)), pa.array(words, pa.int64())],
+                    [batch.column("doc_id").slice(a, len(ids)), batch.column("row").slice(a, len(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([unit_crcs(x).tobytes() for x in ids], pa.binary()), pieces(term), pieces(count), pa.array(words)],
                     ["doc_id", "row", "tokens", "crcs", "terms", "counts", "words"],
                 )
 
@@ -241,6 +223,14 @@ class Index:
         self.doc, self.weight = doc[order], weight[order]
         self.vocabulary, first = np.unique(term[order], return_index=True)
         self.edge = np.append(first, len(term))
+        # terms of many documents as rows, which add up faster than postings
+        size = np.diff(self.edge)
+        common = np.flatnonzero(size * ROW_FROM > self.n)
+        self.row = np.full(len(size), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n))
+        at = _ranges(np.arange(len(term)), self.edge[common], size[common])
+        self.rows[np.repeat(np.arange(len(common)), size[common]), self.doc[at]] = self.weight[at]
 
     def known(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the terms are in the index, and their numbers there."""
@@ -252,8 +242,11 @@ class Index:
 
     def asked(self, number: np.ndarray) -> np.ndarray:
         """The score of every document for some of the index's terms."""
-        size = self.edge[number + 1] - self.edge[number]
-        return np.bincount(_ranges(self.doc, self.edge[number], size), _ranges(self.weight, self.edge[number], size), self.n)
+        row = self.row[number]
+        rare = number[row < 0]
+        size = self.edge[rare + 1] - self.edge[rare]
+        out = np.bincount(_ranges(self.doc, self.edge[rare], size), _ranges(self.weight, self.edge[rare], size), self.n)
+        return out + self.rows[row[row >= 0]].sum(0)
 
 
 def fill(tokens: np.ndarray, terms: list[np.ndarray], index: Index) -> list[list[tuple[int, int, int]]]:
@@ -292,26 +285,22 @@ def toured(leaders: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean:
 
 
 def place(shared, mean: float):
-    """For each document its place in the lexical order: best leader, second one (10 bits each), term of most weight (24 bits), hash of the row (14 bits)."""
+    """For each document its place in the lexical order, or the shard that the place is in: best leader, second one (10 bits each), term of most weight (24 bits), hash of the row (14 bits)."""
 
     def run(batches):
-        leaders, idf = shared.value
+        leaders, idf, edge = shared.value
         index = Index([t for t, _ in leaders], [c for _, c in leaders], idf, mean)
         for batch in batches:
             at = []
             for row, terms, counts in zip(*(batch.column(c).to_pylist() for c in ("row", "terms", "counts")), strict=True):
-                t, tf = np.frombuffer(terms, "<u4"), np.frombuffer(counts, "<u2").astype(float)
-                weight = idf[bucket(t)] * tf / (tf + K1)
-                here, number = index.known(t)
-                if len(here) > ASKED:
-                    most = np.argpartition(-weight[here], ASKED)[:ASKED]
-                    number = number[most]
-                found = index.asked(number)
+                t, tf = np.frombuffer(terms, "<u4"), np.frombuffer(counts, "<u2")
+                own = int(t[(idf[bucket(t)] * (tf / (tf + K1))).argmax()]) >> 8 if len(t) else 0
+                found = index.asked(index.known(t)[1])
                 first = int(found.argmax())
                 found[first] = -1
-                second, own = int(found.argmax()), int(t[weight.argmax()]) >> 8 if len(t) else 0
-                at.append(first << 48 | second << 38 | own << 14 | zlib.crc32(b"%d" % row) >> 18)
-            yield batch.append_column("place", pa.array(at, pa.int64()))
+                at.append(first << 48 | int(found.argmax()) << 38 | own << 14 | zlib.crc32(b"%d" % row) >> 18)
+            at = np.array(at, np.int64)
+            yield batch.append_column("shard", pa.array(at if edge is None else np.searchsorted(edge, at, "left")))
 
     return run
 
@@ -328,16 +317,11 @@ def shard_of(base: DataFrame, n: int, shards: int, idf: np.ndarray, mean: float)
     spark = base.sparkSession
     drawn = base.where(F.col("words") > 0).where(_drawn("row", 2 * LEADERS / n, 0))
     leaders = [(np.frombuffer(r["terms"], "<u4"), np.frombuffer(r["counts"], "<u2")) for r in drawn.orderBy(F.xxhash64("row"), "row").limit(LEADERS).select("terms", "counts").collect()]
-    shared = spark.sparkContext.broadcast((toured(leaders or [(np.zeros(0, np.uint32), np.zeros(0, np.uint16))], idf, mean), idf))
-    placed = C.scratch(base.mapInArrow(place(shared, mean), f"{TOKENS}, place long"), "places")
-    seen = np.sort(placed.where(_drawn("row", BOUNDS * shards / n, 1)).select("place").toArrow().column("place").to_numpy())
-    edge = spark.sparkContext.broadcast(np.unique(seen[np.arange(1, shards) * len(seen) // shards]) if len(seen) else seen)
-
-    def number(batches):
-        for batch in batches:
-            yield batch.append_column("shard", pa.array(np.searchsorted(edge.value, batch.column("place").to_numpy(), "left"), pa.int64()))
-
-    return placed.mapInArrow(number, f"{TOKENS}, place long, shard long").drop("place")
+    leaders = toured(leaders or [(np.zeros(0, np.uint32), np.zeros(0, np.uint16))], idf, mean)
+    dealt = lambda some, edge: some.mapInArrow(place(spark.sparkContext.broadcast((leaders, idf, edge)), mean), f"{TOKENS}, shard long")
+    seen = dealt(base.where(_drawn("row", BOUNDS * shards / n, 1)), None).select("shard").toArrow().column("shard").to_numpy()
+    seen = np.sort(seen)
+    return dealt(base, np.unique(seen[np.arange(1, shards) * len(seen) // shards]) if len(seen) else seen)
 
 
 def pack(docs: DataFrame, path: str = TOKENIZER, shard: int = SHARD) -> DataFrame:
