@@ -3,7 +3,7 @@
 Tokens are the words of the text with A-Z in lower case, and one end.  Counts of all
 tokens of the training documents give the base score.  The network predicts the
 most frequent entries (one of them stands for all other words), ``PER_ROOT`` times the
-square root of the training tokens, ``CLASSES * WIDE`` at least, with a class-factored
+square root of the training tokens but ``CLASSES * WIDE`` at least, with a class-factored
 softmax of about as many classes as entries in a class, P(class | state) P(entry | class, state), whose biases start
 at the corpus's unigram; an unlisted word w adds its share (c(w) + 0.1) / Z of all
 unlisted words and one unseen kind, so scores are log probabilities over the same
@@ -44,12 +44,12 @@ ADD = 0.1
 CLASSES, WIDE, PER_ROOT = 32, 64, 4
 EMBED, HIDDEN = 16, 24
 SUFFIXES = 512
-LANES, STEPS, PIECE = 192, 16, 1024
+LANES, STEPS, PIECE = 512, 16, 1024
 ROUNDS = 4
-RATE = 0.1
-WORKER_BLOCKS, WORKERS = 4, 1024  # a training task takes so many blocks; more from WORKERS tasks on
+RATE = 0.15
+WORKER_BLOCKS, WORKERS = 2, 1024  # a training task takes so many blocks; more from WORKERS tasks on
 PIECE_SIZE = 1 << 16
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 END_HASH = np.uint64(0x5EED0FE2D0C5)
 OTHER = 0  # the entry of all unlisted words
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -82,6 +82,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _softmax(p: np.ndarray) -> np.ndarray:
+    """Of each row, in place."""
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    return p
+
+
+def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(kind.astype(np.int16) if classes < 1 << 15 else kind, kind="stable")
+    return order, np.concatenate(([0], np.cumsum(np.bincount(kind, minlength=classes))))
+
+
 def shape_of(tokens: int) -> tuple[int, int]:
     """Classes and entries in each for so many training tokens."""
     size = int(PER_ROOT * tokens**0.5)
@@ -139,14 +152,15 @@ class Model:
         s = states @ self.classes.T + self.class_bias
         s -= s.max(1, keepdims=True)
         out = s[np.arange(len(s)), kind] - np.log(np.exp(s).sum(1))
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(classes + 1))
-        for k in range(classes):
-            at = order[edge[k] : edge[k + 1]]
-            if len(at):
-                s = states[at] @ self.entries[k].T + self.entry_bias[k]
-                s -= s.max(1, keepdims=True)
-                out[at] += s[np.arange(len(at)), target[at] % wide] - np.log(np.exp(s).sum(1))
+        order, edge = _by_class(kind, classes)
+        states, place = states[order], target[order] % wide
+        for k in np.flatnonzero(np.diff(edge)):
+            mine = slice(edge[k], edge[k + 1])
+            s = states[mine] @ self.entries[k].T
+            s += self.entry_bias[k]
+            s -= s.max(1, keepdims=True)
+            right = s[np.arange(len(s)), place[mine]]
+            out[order[mine]] += right - np.log(np.exp(s, out=s).sum(1))
         return out
 
 
@@ -159,9 +173,12 @@ class Trainer:
 
     def _update(self, name: str, at, grad: np.ndarray) -> None:
         g, p = self.g[name], getattr(self.m, name)
-        if at is None:
+        if at is None or isinstance(at, (int, np.integer)):
+            g, p = (g, p) if at is None else (g[at], p[at])
             g += grad * grad
-            p -= RATE * grad / np.sqrt(g)
+            grad *= RATE
+            grad /= np.sqrt(g)
+            p -= grad
         else:
             g[at] += grad * grad
             p[at] -= RATE * grad / np.sqrt(g[at])
@@ -183,27 +200,24 @@ class Trainer:
         s_at, y = states[at], target.ravel()[at]
         classes, wide = m.entry_bias.shape
         kind, scale = y // wide, np.float32(1 / n)
-        p = s_at @ m.classes.T + m.class_bias
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
+        p = _softmax(s_at @ m.classes.T + m.class_bias)
         p[np.arange(len(at)), kind] -= 1
         p *= scale
         back = p @ m.classes
         steps = [("classes", None, p.T @ s_at), ("class_bias", None, p.sum(0))]
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(classes + 1))
-        for k in range(classes):
-            mine = order[edge[k] : edge[k + 1]]
-            if not len(mine):
-                continue
-            own = s_at[mine]
-            p = own @ m.entries[k].T + m.entry_bias[k]
-            p = np.exp(p - p.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(mine)), y[mine] % wide] -= 1
+        order, edge = _by_class(kind, classes)
+        own, place, sorted_back = s_at[order], y[order] % wide, np.empty((len(at), HIDDEN), np.float32)
+        for k in np.flatnonzero(np.diff(edge)):
+            mine = slice(edge[k], edge[k + 1])
+            p = own[mine] @ m.entries[k].T
+            p += m.entry_bias[k]
+            p = _softmax(p)
+            p[np.arange(len(p)), place[mine]] -= 1
             p *= scale
-            back[mine] += p @ m.entries[k]
-            steps += [("entries", k, p.T @ own), ("entry_bias", k, p.sum(0))]
+            np.matmul(p, m.entries[k], out=sorted_back[mine])
+            self._update("entries", k, p.T @ own[mine])
+            self._update("entry_bias", k, p.sum(0))
+        back[order] += sorted_back
         d_states = np.zeros((t * n, HIDDEN), np.float32)
         d_states[at] = back
         d_states = d_states.reshape(t, n, HIDDEN)
@@ -243,7 +257,7 @@ class Trainer:
         skip = (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * PIECE
         a, n = start[doc] + skip, np.minimum(size[doc] - skip, PIECE)
         windows = -(-n // STEPS)
-        lanes = int(min(LANES, max(8, windows.sum() // windows.max())))
+        lanes = int(min(LANES, max(8, windows.sum() // (4 * windows.max()), windows.sum() // 64)))  # so many windows at least: few documents teach too
         heap = [(0, k) for k in range(lanes)]
         place = np.zeros((2, len(n)), np.int64)
         for i in np.argsort(-n, kind="stable"):

@@ -265,13 +265,16 @@ def test_packing(spark, stored, docs):
     assert packing.pack(d.limit(0)).count() == 0
 
 
-def test_pieces_are_safe_to_cut():
+def test_ids_are_those_of_the_tokenizer_file(spark, sf_dir):
+    """The ranks file against the tokenizer file, over whole texts of a table and odd strings; terms are words."""
     rng = random.Random(2)
-    mine, own = packing.Tokens(limit=50), packing.load_encoder("byte_bpe_50k.json")
-    for _ in range(300):
-        text = "".join(rng.choice(["a", "Wort", " ", "  ", "\n", "\t", " ", "’s", "!", "好", "é", "12", " \n"]) for _ in range(rng.randint(0, 30)))
-        ids, terms = mine.batch([text])[0]
-        assert ids.tolist() == own([text])[0] and terms.tolist() == [zlib.crc32(w.encode()) for w in text.split()], repr(text)
+    mine, own = packing.Tokens(), packing.load_encoder("byte_bpe_50k.json")[0]
+    some = ["".join(rng.choice(["a", "Wort", " ", "  ", "\n", "\t", " ", "’s", "!", "好", "é", "12", " \n", "<|endoftext|>"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + some
+    for x, y in zip(mine.batch(texts), own(texts), strict=True):
+        assert x.tolist() == y + [1]
+    owner, term, count = mine.terms(mine.batch(["a zorbulated apples, apples; zorbulated! ( apples", "a apples zorbulated", "", "!?"]))
+    assert owner.tolist() == [0, 0, 0, 1, 1, 1] and sorted(count[:3].tolist()) == [1, 2, 3] and set(term[:3]) == set(term[3:])
 
 
 def test_related_documents_share_a_shard_wherever_they_lie(spark, stored):
@@ -499,6 +502,21 @@ def test_base_scores_and_model(spark, stored, docs):
     assert gru_lm.score(d.limit(0)).count() == 0
 
 
+def test_the_model_beats_the_counts_on_held_out_documents(spark, stored):
+    """Texts of a small grammar: what follows a word is known from it, but not from the counts."""
+    rng = random.Random(6)
+    after = {w: [f"w{rng.randrange(120)}" for _ in range(3)] for w in (f"w{i}" for i in range(120))}
+
+    def text():
+        out = [f"w{rng.randrange(120)}"]
+        for _ in range(150):
+            out.append(rng.choice(after[out[-1]]))
+        return " ".join(out)
+
+    got = gru_lm.score(stored(spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string"))).where("held_out").toPandas()
+    assert (got.score / got.n_tokens).mean() > (got.base_score / got.n_tokens).mean() + 0.2
+
+
 def test_model_learns_and_is_a_distribution():
     rng = np.random.default_rng(0)
     size = gru_lm.CLASSES * gru_lm.WIDE
