@@ -81,16 +81,23 @@ def verified_names(names: DataFrame, texts: DataFrame, han: str = "han", text: s
 def split_names(lines: DataFrame, part: Sequence[str], line: str, words: str, longest: int = 4, letters: int = 6) -> DataFrame:
     """Runs of 2 to ``longest`` words (an array) of a line that are written as one word elsewhere in the group: the first place of each.
 
-    Runs are made within a row; one equi-join with the group's distinct words finds them.
+    A group (a document) is one row after one aggregate: its runs and its words meet
+    there, and only the hits come out as rows.
     """
-    grams = lines.select(*part, line, F.col(words).alias("w"), F.explode(F.sequence(F.lit(2), F.lit(longest))).alias("k")).where(F.size("w") >= F.col("k"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.slice("w", i, F.col("k")))
-    runs = F.transform(runs, lambda r, i: F.struct(i.alias("at"), F.array_join(r, "").alias("text"), F.array_join(r, " ").alias("shown")))
-    grams = grams.select(*part, line, F.explode(F.filter(runs, lambda r: F.length(r["text"]) <= letters)).alias("r")).select(*part, line, "r.*")
-    joined = lines.select(*part, F.explode(F.array_distinct(words)).alias("text")).where(F.length("text") <= letters).distinct()
-    hits = grams.join(joined, [*part, "text"])
-    first = F.min(F.struct(line, "at", "shown")).alias("f")
-    return hits.groupBy(*part, "text").agg(first, F.count("*").alias("n")).select(*part, "text", "n", F.col(f"f.{line}").alias(line), "f.shown")
+    groups = lines.groupBy(*part).agg(F.collect_list(F.struct(F.col(line).alias("line"), F.col(words).alias("w"))).alias("lines"))
+    groups = groups.withColumn("joined", F.array_distinct(F.filter(F.flatten(F.transform("lines", lambda x: x["w"])), lambda w: F.length(w) <= letters)))
+
+    def runs_of(k: int) -> Column:
+        of_line = lambda x: F.transform(F.sequence(F.lit(1), F.size(x["w"]) - (k - 1)), lambda i: F.struct(x["line"].alias("line"), i.alias("at"), F.slice(x["w"], i, F.lit(k)).alias("r")))
+        return F.flatten(F.transform(F.filter("lines", lambda x: F.size(x["w"]) >= k), of_line))
+
+    runs = F.flatten(F.array(*[runs_of(k) for k in range(2, longest + 1)]))
+    runs = F.filter(F.transform(runs, lambda r: F.struct(r["line"].alias("line"), r["at"].alias("at"), F.array_join(r["r"], "").alias("text"), F.array_join(r["r"], " ").alias("shown"))), lambda r: F.length(r["text"]) <= letters)
+    groups = groups.select(*part, "joined", runs.alias("runs"))
+    groups = groups.withColumn("both", F.array_intersect(F.transform("runs", lambda r: r["text"]), F.col("joined"))).where(F.size("both") > 0)
+    hits = groups.select(*part, F.explode(F.filter("runs", lambda r: F.array_contains("both", r["text"]))).alias("r")).select(*part, "r.*")
+    first = F.min(F.struct("line", "at", "shown")).alias("f")
+    return hits.groupBy(*part, "text").agg(first, F.count("*").alias("n")).select(*part, "text", "n", F.col("f.line").alias(line), "f.shown")
 
 
 def summary(findings: DataFrame) -> DataFrame:

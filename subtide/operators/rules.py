@@ -197,10 +197,10 @@ def name_findings(cues: DataFrame) -> DataFrame:
                         runs.append([])
                     else:
                         runs[-1].append(w)
-                rows += [(d, o * 10_000 + k, n, r) for k, r in enumerate(runs) if r]
+                rows += [(d, {"ordinal": o, "run": k}, n, r) for k, r in enumerate(runs) if r]
             yield pd.DataFrame(rows, columns=["doc_id", "line", "cue_index", "w"])
 
-    runs = cues.select("doc_id", "ordinal", "cue_index", "zh").mapInPandas(run, "doc_id string, line long, cue_index int, w array<string>")
+    runs = cues.select("doc_id", "ordinal", "cue_index", "zh").mapInPandas(run, "doc_id string, line struct<ordinal:long,run:long>, cue_index int, w array<string>")
     hits = relational.split_names(runs, ["doc_id"], "line", "w")
     at = runs.select("doc_id", "line", "cue_index")
     found = _finding("NAME_INCONSISTENT", F.concat("text", F.lit(" is written "), "shown", F.lit(" here")), F.col("shown"), F.col("cue_index"))

@@ -109,9 +109,11 @@ def translate(cues: DataFrame, cache: DataFrame, call: Provider = null_provider,
 
     d = sequence.neighbours(cues, ["doc_id"], ["pos"], "zh", span)
     d = d.withColumn("id", F.xxhash64("doc_id", "pos")).withColumn("payload", F.to_json(F.struct(F.col("zh").alias("text"), F.col("context_before").alias("before"), F.lit(target).alias("target"))))
-    got = cached_answers(d.select("id", "payload"), cache, "translate", model, call, size)
+    # cues of one payload share an answer, so items are payloads: a clash of two hashes can't mix up or repeat cues
+    items = d.groupBy("payload").agg(F.min("id").alias("id"))
+    got = cached_answers(items.dropDuplicates(["id"]), cache, "translate", model, call, size).join(items, "id").select("payload", "answer", "cached")
     line = F.nullif(F.trim(F.get_json_object("answer", "$.text")), F.lit(""))
-    out = d.join(got, "id", "left").withColumn("line", line)
+    out = d.join(got.dropDuplicates(["payload"]), "payload", "left").withColumn("line", line)
     source = F.when(F.col("line").isNull(), "kept").when(F.col("cached"), "cache").otherwise("provider")
     return out.select("doc_id", "pos", F.coalesce("line", "zh").alias("line"), source.alias("source"))
 

@@ -15,7 +15,10 @@ ASS_EVENTS = "\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, Margi
 
 
 def render(tokens: Column, field: str = "zh") -> Column:
-    """A line from tokens, as an expression: words apart by a space, a space on either side of a turn mark, tags on their token."""
+    """A line from tokens, as an expression: words apart by a space, a space on either side of a turn mark, tags on their token.
+
+    Without tags each gap follows from a token and the one before it; only a line with tags is a fold.
+    """
     word = lambda t: t["kind"] == "word"
     own = lambda t: F.trim(F.coalesce(t["zh"], F.lit("")))
     said = lambda t: F.coalesce(F.nullif(F.trim(F.coalesce(t["pinyin"], F.lit(""))), F.lit("")), own(t))
@@ -33,7 +36,12 @@ def render(tokens: Column, field: str = "zh") -> Column:
         plain = F.struct(F.concat(acc["line"], F.when(F.coalesce(gap, F.lit(False)), " ").otherwise(""), acc["waiting"], x["text"]).alias("line"), F.lit("").alias("waiting"), x["kind"].alias("last"))
         return F.when(x["kind"] == "markup", tag).otherwise(plain)
 
-    return F.aggregate(items, zero, step, lambda acc: F.concat(acc["line"], acc["waiting"]))
+    folded = F.aggregate(items, zero, step, lambda acc: F.concat(acc["line"], acc["waiting"]))
+    kinds = F.transform(items, lambda x: x["kind"])
+    before = F.concat(F.array(none), F.slice(kinds, F.lit(1), F.greatest(F.size(kinds) - 1, F.lit(0))))
+    apart = lambda last, kind: last.isNotNull() & ((kind == "marker") | (last == "marker") | ((last == "word") & (kind == "word")))
+    parts = F.zip_with(items, before, lambda x, last: F.when(x["text"].isNotNull(), F.concat(F.when(apart(last, x["kind"]), " ").otherwise(""), x["text"])))
+    return F.when(F.exists(kinds, lambda k: k == "markup"), folded).otherwise(F.array_join(parts, ""))
 
 
 def shown(cues: DataFrame) -> DataFrame:
@@ -105,13 +113,9 @@ def write_changed(files: DataFrame, path: str) -> DataFrame:
     """Append files (doc_id, text) whose content isn't the newest one there; old versions stay.  Returns all versions."""
     spark = files.sparkSession
     new = files.withColumn("hash", F.sha2("text", 256)).withColumn("at", F.current_timestamp())
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-        old.limit(1).count()
-    except Exception as e:  # only a missing path means that there is no version yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-        old = spark.createDataFrame([], new.schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    old = spark.read.schema(new.schema).parquet(path) if there else spark.createDataFrame([], new.schema)
     last = old.groupBy("doc_id").agg(F.max_by("hash", "at").alias("hash"))
     new.join(last, ["doc_id", "hash"], "left_anti").write.mode("append").parquet(path)
     return spark.read.schema(new.schema).parquet(path)
