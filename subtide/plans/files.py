@@ -8,6 +8,9 @@ two lines, the number and the stamp, not of the kind of fault.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from subtide import resources as R
 from subtide.functions import text
 from subtide.operators import relational as rel
 from subtide.operators import rules
-from subtide.plans import names, report
+from subtide.plans import names, report, review, stages
 from subtide.sources import sinks, srt
 
 from .catalogue import LINES, lines, query, table, turn_cues
@@ -361,6 +364,91 @@ def uncertain_tokens(spark, sf_dir):
     return rel.uncertain(d.select("doc_id", "pos", F.array(token).alias("tokens"))).select("doc_id", "pos")
 
 
+# --- proofreading, edits and reruns --------------------------------------------------------
+
+
+def proofreader(task: str, items: list[dict]) -> list[dict]:
+    """Answers by the length of a line: sometimes none, sometimes one that isn't allowed."""
+    if task == "T3":
+        return [{"id": x["id"], "case": ("upper", "lower", "maybe")[len(x["word"]) % 3]} for x in items if len(x["line"]) % 5]
+    return [{"id": x["id"], "punct": ("。", "none", "，", "?", "！")[len(x["line"]) % 5]} for x in items if len(x["line"]) % 7]
+
+
+def open_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as cues whose first word's case is open in every second cue."""
+    flagged = lambda t, i: t.withField("flags", F.when((i == 0) & (F.col("pos") % 2 == 0), F.array(F.lit("CASE_AMBIG"))).otherwise(t["flags"]))
+    return turn_cues(spark, sf_dir).select("doc_id", "pos", F.transform("tokens", flagged).alias("tokens"))
+
+
+def _none(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "task string, model string, key string, value string")
+
+
+#: doc_id, pos, line, first word, names or not, and the answers of ``proofreader`` within the limits.
+_OPEN = """o AS (SELECT doc_id, pos, line, w, CASE WHEN asked3 AND r3 <= 120 AND length(line) % 5 <> 0 THEN ['upper', 'lower', 'maybe'][length(w) % 3 + 1] END AS said,
+  CASE WHEN line <> '' AND r4 <= 150 AND length(line) % 7 <> 0 THEN ['。', 'none', '，', '?', '！'][length(line) % 5 + 1] END AS mark, line <> '' AND r4 <= 150 AS asked4, asked3 AND r3 <= 120 AS asked3
+  FROM (SELECT *, row_number() OVER (PARTITION BY asked3 ORDER BY doc_id, pos) AS r3, row_number() OVER (PARTITION BY line <> '' ORDER BY doc_id, pos) AS r4 FROM (
+  SELECT conv_id AS doc_id, turn AS pos, array_to_string(t, ' ') AS line, t[1] AS w, turn % 2 = 0 AND len(t) > 0 AS asked3 FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS t FROM conversations))))"""
+
+
+@query(f"WITH {_OPEN} SELECT doc_id, pos, CASE WHEN said IS NULL THEN 'unanswered' WHEN said = 'maybe' THEN 'rejected' WHEN said = 'lower' THEN 'confirmed' ELSE 'applied' END AS status FROM o WHERE asked3")
+def case_proposals(spark, sf_dir):
+    items = review.case_items(open_cues(spark, sf_dir))
+    return review.judge_case(names.answered(items, _none(spark), "T3", "m", proofreader)).select("doc_id", "pos", "status")
+
+
+@query(f"WITH {_OPEN} SELECT doc_id, pos, line, CASE WHEN mark IS NULL THEN 'unanswered' WHEN mark = 'none' THEN 'confirmed' WHEN mark = '?' THEN 'rejected' ELSE 'applied' END AS status, CASE WHEN mark NOT IN ('none', '?') THEN mark END AS mark FROM o WHERE asked4")
+def end_mark_proposals(spark, sf_dir):
+    items = review.end_items(open_cues(spark, sf_dir))
+    return review.judge_ends(names.answered(items, _none(spark), "T4", "m", proofreader)).select("doc_id", "pos", "line", "status", "mark")
+
+
+@query(f"""WITH {_OPEN}, p AS (SELECT *, coalesce(said = 'upper', false) AS decided, CASE WHEN mark NOT IN ('none', '?') THEN mark END AS added, lag(CASE WHEN mark NOT IN ('none', '?') THEN mark END) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM o)
+SELECT doc_id, pos, line || coalesce(added, '') AS zh, CASE WHEN w IS NULL THEN '' WHEN decided OR (before IN ('。', '！') AND length(w) <= 9) THEN upper(w[1]) || lower(w[2:]) ELSE lower(w) END AS first,
+  w IS NOT NULL AND NOT decided AND coalesce(before IN ('。', '！'), false) AND length(w) <= 9 AS recased FROM p""")
+def proofread_cues(spark, sf_dir):
+    """Words of more than nine letters are names, whose case stays."""
+    c = turn_cues(spark, sf_dir).select("doc_id", "pos", "tokens")
+    ambig = lambda t, i: t.withField("flags", F.when((i == 0) & (F.col("pos") % 2 == 0), F.array_union(t["flags"], F.array(F.lit("CASE_AMBIG")))).otherwise(t["flags"]))
+    c = c.withColumn("tokens", F.transform("tokens", ambig))
+    done, _ = review.proofread(c, _none(spark), proofreader, "m")
+    first = F.try_element_at(F.filter("tokens", lambda t: t["kind"] == "word"), F.lit(1))["pinyin"]
+    return done.select("doc_id", "pos", sinks.render(F.col("tokens")).alias("zh"), F.coalesce(first, F.lit("")).alias("first"), "recased")
+
+
+@query("""SELECT doc_id, string_agg(number || chr(10) || stamp || chr(10) || zh || chr(10) || lower(zh) || chr(10) || chr(10), '' ORDER BY turn) AS zh_file, string_agg(number || chr(10) || stamp || chr(10) || 'Dòng ' || turn || chr(10) || chr(10), '' ORDER BY turn) AS vi_file
+FROM (SELECT *, """ + f"{_STAMP('a')} || ' --> ' || {_STAMP('b')}" + f""" AS stamp FROM {_SHOWN}) GROUP BY doc_id""")
+def editor_save(spark, sf_dir):
+    c = turn_cues(spark, sf_dir)
+    rows = c.select("doc_id", "pos", "start", "end", F.concat(F.lit(" "), sinks.render(F.col("tokens"))).alias("zh"), F.concat(sinks.render(F.col("tokens"), "pinyin"), F.lit("  ")).alias("pinyin"), F.concat(F.lit("Dòng  "), F.col("pos").cast("string")).alias("vi"))
+    zh, vi = review.edited_files(rows)
+    return zh.withColumnRenamed("text", "zh_file").join(vi.withColumnRenamed("text", "vi_file"), "doc_id")
+
+
+@query("""SELECT 'first' AS lap, * FROM (VALUES (1, 'read', 'run'), (2, 'count', 'run'), (3, 'rank', 'run')) t(number, key, done) UNION ALL SELECT 'again', * FROM (VALUES (1, 'read', 'reused'), (2, 'count', 'reused'), (3, 'rank', 'reused')) t(number, key, done)
+UNION ALL SELECT 'names', * FROM (VALUES (1, 'read', 'reused'), (2, 'count', 'run'), (3, 'rank', 'run')) t(number, key, done) UNION ALL SELECT 'short', * FROM (VALUES (1, 'read', 'reused'), (2, 'count', 'reused'), (3, 'rank', 'skipped')) t(number, key, done)""")
+def stage_reruns(spark, sf_dir):
+    """What four laps over one folder did: a first run, the same again, one with another name table, one without the last stage."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stages-')}"
+    folder, d = f"{base}/stages-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    plan = [stages.Stage(1, "read", lambda t: t.where("lang is not null")), stages.Stage(2, "count", lambda t: t.groupBy("lang").agg(F.count("*").alias("n"))), stages.Stage(3, "rank", lambda t: t.orderBy("n"), "rank")]
+    out = []
+    for lap, known, skip in (("first", 0, ()), ("again", 0, ()), ("names", 1, ()), ("short", 1, ("rank",))):
+        force = 2 if stages.changed_since(spark, folder, "names", spark.range(known)) else None
+        out += [(lap, *x) for x in stages.run(d, plan, folder, force, skip)[1]]
+    return spark.createDataFrame(out, "lap string, number int, key string, done string")
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang")
+def stage_results(spark, sf_dir):
+    """The table of the last stage, after a second lap that is forced from the second stage on."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stages-')}"
+    folder, d = f"{base}/stages-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    plan = [stages.Stage(1, "read", lambda t: t.where("lang is not null")), stages.Stage(2, "source", lambda t: t.where("source is not null")), stages.Stage(3, "count", lambda t: t.groupBy("lang").agg(F.count("*").alias("n")))]
+    stages.run(d, plan, folder)
+    return stages.run(d, plan, folder, force_from=2)[0]
+
+
 # --- column functions ---------------------------------------------------------------------
 
 

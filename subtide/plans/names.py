@@ -103,17 +103,25 @@ def reading_options(zh: str, readings: Mapping[str, Sequence[str]], most: int =
     return list(dict.fromkeys(out))[:most]
 
 
+def answered(items: DataFrame, cache: DataFrame, task: str, model: str, call: Provider, size: int = 25) -> DataFrame:
+    """Items (payload and other columns) with ``answer`` and ``cached``: null where nobody answers.
+
+    Items of one payload share an answer: services are asked by payload, so a clash of two
+    hashes can neither mix items up nor repeat them.
+    """
+    asked = items.groupBy("payload").agg(F.xxhash64("payload").alias("id"))
+    got = cached_answers(asked.dropDuplicates(["id"]), cache, task, model, call, size).join(asked.dropDuplicates(["id"]), "id").select("payload", "answer", "cached")
+    return items.join(got.dropDuplicates(["payload"]), "payload", "left")
+
+
 def translate(cues: DataFrame, cache: DataFrame, call: Provider = null_provider, model: str = "none", size: int = 25, span: int = 5, target: str = "vi") -> DataFrame:
     """doc_id, pos, line, source (cache, provider or kept) for cues (doc_id, pos, zh), with the lines before as context."""
     from subtide.operators import sequence
 
     d = sequence.neighbours(cues, ["doc_id"], ["pos"], "zh", span)
-    d = d.withColumn("id", F.xxhash64("doc_id", "pos")).withColumn("payload", F.to_json(F.struct(F.col("zh").alias("text"), F.col("context_before").alias("before"), F.lit(target).alias("target"))))
-    # cues of one payload share an answer, so items are payloads: a clash of two hashes can't mix up or repeat cues
-    items = d.groupBy("payload").agg(F.min("id").alias("id"))
-    got = cached_answers(items.dropDuplicates(["id"]), cache, "translate", model, call, size).join(items, "id").select("payload", "answer", "cached")
+    d = d.withColumn("payload", F.to_json(F.struct(F.col("zh").alias("text"), F.col("context_before").alias("before"), F.lit(target).alias("target"))))
     line = F.nullif(F.trim(F.get_json_object("answer", "$.text")), F.lit(""))
-    out = d.join(got.dropDuplicates(["payload"]), "payload", "left").withColumn("line", line)
+    out = answered(d, cache, "translate", model, call, size).withColumn("line", line)
     source = F.when(F.col("line").isNull(), "kept").when(F.col("cached"), "cache").otherwise("provider")
     return out.select("doc_id", "pos", F.coalesce("line", "zh").alias("line"), source.alias("source"))
 

@@ -102,13 +102,6 @@ def bundle(cues: DataFrame) -> DataFrame:
     return shown(cues).groupBy("doc_id").agg(body.alias("bundle"))
 
 
-def checkpoint_stage(df: DataFrame, folder: str, number: int, key: str) -> DataFrame:
-    """A stage's table; written again from stage n on when an earlier one changed."""
-    path = f"{folder}/S{number}_{key}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def write_changed(files: DataFrame, path: str) -> DataFrame:
     """Append files (doc_id, text) whose content isn't the newest one there; old versions stay.  Returns all versions."""
     spark = files.sparkSession
