@@ -16,8 +16,11 @@ def test_against_sql(spark, sf_dir, name):
     for t in ("documents", "conversations", "part", "benchmark", "labels", "events", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = catalogue.QUERIES[name](spark, sf_dir)
-    want = con.execute(catalogue.ORACLE_SQL[name]).fetch_arrow_table().select(got.columns).to_pylist()
-    assert sorted(map(str, (r.asDict() for r in got.collect()))) == sorted(map(str, want)) and want
+    rows = con.execute(catalogue.ORACLE_SQL[name])
+    columns = [d[0] for d in rows.description]
+    want = [dict(zip(columns, r, strict=True)) for r in rows.fetchall()]
+    ordered = lambda some: sorted(str([r[c] for c in got.columns]) for r in some)
+    assert ordered(r.asDict() for r in got.collect()) == ordered(want) and want
 
 
 def test_every_rule_has_a_query():
