@@ -645,3 +645,87 @@ def test_pipeline(spark, stored, docs, labels, tmp_path):
             n = d.groupBy("sequence_id").agg(F.sum("length").alias("n"))
             assert n.where("n > 2048").count() == 0 and d.select("row").distinct().count() == before.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == sizes["packing"]
+
+
+# --- rows, shared folders and odd inputs ---------------------------------------------------
+
+
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path, docs, monkeypatch):
+    """Executors that come or go change how a scan is cut: here the cut changes after the first written table."""
+    path = str(tmp_path / "t.parquet")
+    docs.withColumn("text", F.concat("text", F.lit(" "), F.repeat(F.sha2("text", 256), 40))).coalesce(1).write.option("parquet.block.size", 1 << 16).parquet(path)
+    d = spark.read.parquet(path)
+    key = "spark.sql.files.maxPartitionBytes"
+
+    def results():
+        near = sorted(tuple(r) for r in bagminhash.near_duplicates(d).collect())
+        mix = sorted(tuple(r) for r in mixing.mixed(d, block=64).select("doc_id", "text").collect())
+        return near, mix
+
+    want, before, real = results(), spark.conf.get(key), common.scratch_at
+
+    def scratch_at(*a):
+        out = real(*a)
+        spark.conf.set(key, str(1 << 16))
+        return out
+
+    monkeypatch.setattr(common, "scratch_at", scratch_at)
+    try:
+        first = sorted(tuple(r) for r in bagminhash.near_duplicates(d).collect())
+        spark.conf.set(key, before)
+        second = sorted(tuple(r) for r in mixing.mixed(d, block=64).select("doc_id", "text").collect())
+    finally:
+        spark.conf.set(key, before)
+    assert want[0] == first and want[1] == second and second
+
+
+def test_a_cluster_needs_its_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = Conf  # noqa: N815
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, stored, tmp_path, labels):
+    import corpus_pipeline
+
+    odd_docs = odd(spark).withColumn("lang", F.lit(None).cast("string")).withColumn("n_chars", F.lit(None).cast("long"))
+    rows = odd_docs.union(odd_docs.withColumn("text", F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")) for i in range(80)])))
+    for name, docs in (("odd", rows), ("none", rows.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.limit(0).write.parquet(f"{folder}/labels.parquet")
+        assert corpus_pipeline.run(spark, folder).count() >= (name == "odd")
+
+
+def test_lines_and_mixes_of_odd_rows(spark, stored):
+    d = stored(odd(spark))
+    out = line_dedup.dedup_documents(d)
+    assert out.count() == len(ODD) and out.columns == d.columns and line_dedup.dedup_documents(d.limit(0)).count() == 0
+    assert mixing.mixed(d.limit(0)).count() == 0 and mixing.mixed(d).columns == d.columns
+    pages = stored(spark.createDataFrame([(1, "http://h/a", "<p>x</p>"), (1, "http://h/a", "<p>x</p>"), (2, "http://h/b", "<p>x</p><p>" + "long " * 200_000 + "</p>"), (None, None, None)], "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("kept", F.lit(1)))
+    got = sorted((r["page_id"] or 0, r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_pages(pages).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 2, 1)]
+
+
+def test_statistics_of_a_text():
+    """A few of the discriminant's statistics, counted plainly."""
+    rows = ["Hello, World! the end.\nHello\nHello\n", "", "a a a a a a", "ÄÖ 12 ##"]
+    x = quality_qda.statistics([r.encode() for r in rows])
+    odds = lambda part, whole: math.log((part + 0.5) / (max(whole - part, 0) + 0.5))
+    names, k = list(quality_qda._CLASS), len(quality_qda._CLASS)
+    for i, r in enumerate(rows):
+        raw, words = r.encode(), r.split()
+        for j, members in enumerate(quality_qda._CLASS.values()):
+            assert x[i, j] == pytest.approx(odds(sum(b in members for b in raw), len(raw))), names[j]
+        assert x[i, k] == pytest.approx(math.log1p(len(raw))) and x[i, k + 1] == pytest.approx(math.log1p(len(words)))
+        assert x[i, k + 4] == pytest.approx(odds(len(set(words)), len(words)))
