@@ -4,8 +4,9 @@ Tokens are the words of the text with A-Z in lower case, and one end.  Counts of
 tokens of the training documents give the base score.  The network predicts the
 most frequent entries (one of them stands for all other words), ``PER_ROOT`` times the
 square root of the training tokens but ``CLASSES * WIDE`` at least, with a class-factored
-softmax of about as many classes as entries in a class, P(class | state) P(entry | class, state), whose biases start
-at the corpus's unigram; an unlisted word w adds its share (c(w) + 0.1) / Z of all
+softmax, P(class | state) P(entry | class, state), whose biases start
+at the corpus's unigram.  Classes have equal sums of square roots of frequencies, which makes
+the least work: few frequent words in a class, many rare ones.  An unlisted word w adds its share (c(w) + 0.1) / Z of all
 unlisted words and one unseen kind, so scores are log probabilities over the same
 kinds as the base.  Training is truncated backpropagation over windows of ``STEPS``
 tokens with the state carried on, data-parallel: in each of ``ROUNDS`` rounds the
@@ -47,9 +48,10 @@ SUFFIXES = 512
 LANES, STEPS, PIECE = 512, 16, 1024
 ROUNDS = 4
 RATE = 0.15
-WORKER_BLOCKS, WORKERS = 2, 1024  # a training task takes so many blocks; more from WORKERS tasks on
+WORKER_BLOCKS, WORKERS = 1, 1024  # a training task takes so many blocks; more from WORKERS tasks on
 PIECE_SIZE = 1 << 16
-BLOCK = 8 << 20
+BLOCK = 16 << 20
+LOGITS = 1 << 17
 END_HASH = np.uint64(0x5EED0FE2D0C5)
 OTHER = 0  # the entry of all unlisted words
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -79,15 +81,31 @@ class Encoded:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _softmax(p: np.ndarray) -> np.ndarray:
-    """Of each row, in place."""
-    p -= p.max(1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
-    return p
+def _exps(states: np.ndarray, weights: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits at ``at``, exponentials of all logits and their sums by row; rows are moved by their largest logit only where sums would leave the numbers' range."""
+    s = states @ weights.T
+    right = s[np.arange(len(s)), at]
+    with np.errstate(over="ignore"):
+        p = np.exp(s, out=s)
+    total = p @ np.ones(p.shape[1], p.dtype)
+    if not (1e-25 < total.min() and total.max() < 1e25):
+        s = states @ weights.T
+        top = s.max(1)
+        right, p = right - top, np.exp(s - top[:, None])
+        total = p.sum(1)
+    return right, p, total
+
+
+def _chunks(rows: int, width: int):
+    """Slices of rows whose logits stay in a core's cache."""
+    step = max(256, LOGITS // width)
+    return (slice(a, min(a + step, rows)) for a in range(0, rows, step))
 
 
 def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +113,19 @@ def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([0], np.cumsum(np.bincount(kind, minlength=classes))))
 
 
+def class_edges(p: np.ndarray) -> np.ndarray:
+    """Where classes begin in entries of probabilities ``p``, and the number of entries.
+
+    A class costs one logit for every token, an entry one for each token of its class:
+    their sum is least for classes of width 1 / sqrt(p).
+    """
+    root = np.cumsum(np.sqrt(p / p.sum()))
+    inner = np.searchsorted(root, root[-1] * np.arange(1, int(root[-1])) / int(root[-1]))
+    return np.unique(np.concatenate(([0], inner, [len(p)])))
+
+
 def shape_of(tokens: int) -> tuple[int, int]:
-    """Classes and entries in each for so many training tokens."""
+    """Two factors of the number of entries for so many training tokens."""
     size = int(PER_ROOT * tokens**0.5)
     if size <= CLASSES * WIDE:
         return CLASSES, WIDE
@@ -107,22 +136,25 @@ def shape_of(tokens: int) -> tuple[int, int]:
 class Model:
     """Parameters: embeddings (entries, then suffixes of unlisted words), one GRU layer, class and entry outputs."""
 
-    NAMES = ("embed", "inputs", "bias", "recur", "classes", "class_bias", "entries", "entry_bias")
+    NAMES = ("embed", "inputs", "bias", "recur", "classes", "entries")
 
-    def __init__(self, **arrays: np.ndarray) -> None:
+    def __init__(self, edge: np.ndarray, **arrays: np.ndarray) -> None:
+        """The last column of ``classes`` and ``entries`` has their biases; class k has the entries from ``edge[k]`` on."""
+        self.edge, self.class_of = edge, np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         for k in self.NAMES:
             setattr(self, k, arrays[k])
 
     @classmethod
-    def fresh(cls, log_unigram: np.ndarray, seed: int = 1, classes: int = CLASSES) -> "Model":
+    def fresh(cls, log_unigram: np.ndarray, seed: int = 1) -> "Model":
         rng = np.random.default_rng(seed)
         f = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
-        p = np.exp(log_unigram).reshape(classes, -1)
-        mass, wide = p.sum(1), p.shape[1]
+        p = np.exp(log_unigram)
+        edge = class_edges(p)
+        mass = np.add.reduceat(p, edge[:-1])
+        biased = lambda x: np.concatenate((np.zeros((len(x), HIDDEN)), np.log(x)[:, None]), 1).astype(np.float32)
         return cls(
-            embed=f(classes * wide + SUFFIXES, EMBED, scale=0.3), inputs=f(EMBED, 3 * HIDDEN, scale=EMBED**-0.5), bias=np.zeros(3 * HIDDEN, np.float32),
-            recur=f(HIDDEN, 3 * HIDDEN, scale=0.5 * HIDDEN**-0.5), classes=np.zeros((classes, HIDDEN), np.float32), class_bias=np.log(mass).astype(np.float32),
-            entries=np.zeros((classes, wide, HIDDEN), np.float32), entry_bias=np.log(p / mass[:, None]).astype(np.float32),
+            edge, embed=f(len(p) + SUFFIXES, EMBED, scale=0.3), inputs=f(EMBED, 3 * HIDDEN, scale=EMBED**-0.5), bias=np.zeros(3 * HIDDEN, np.float32),
+            recur=f(HIDDEN, 3 * HIDDEN, scale=0.5 * HIDDEN**-0.5), classes=biased(mass), entries=biased(p / np.repeat(mass, np.diff(edge))),
         )
 
     def flat(self) -> np.ndarray:
@@ -134,33 +166,47 @@ class Model:
             a = getattr(self, k)
             out[k] = flat[at : at + a.size].reshape(a.shape).astype(np.float32)
             at += a.size
-        return Model(**out)
+        return Model(self.edge, **out)
 
     def step(self, x: np.ndarray, h: np.ndarray):
-        """One step from projected inputs: gates and the new state."""
-        u = h @ self.recur
+        """One step from projected inputs: gates and the new state.
+
+        Fastest where a gate's numbers of all lanes lie together, as ``projected`` lays them.
+        """
+        u = (self.recur.T @ h.T).T
         zr = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         m = u[:, 2 * HIDDEN :]
-        c = np.tanh(x[:, 2 * HIDDEN :] + r * m)
-        return z, r, m, c, c + z * (h - c)
+        c = r * m
+        c += x[:, 2 * HIDDEN :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return z, r, m, c, new
+
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        """What embeddings add to the gates, by gate and lane."""
+        out = self.inputs.T @ x.T
+        out += self.bias[:, None]
+        return out
 
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target entry after its state."""
-        classes, wide = self.entry_bias.shape
-        kind = target // wide
-        s = states @ self.classes.T + self.class_bias
-        s -= s.max(1, keepdims=True)
-        out = s[np.arange(len(s)), kind] - np.log(np.exp(s).sum(1))
-        order, edge = _by_class(kind, classes)
-        states, place = states[order], target[order] % wide
-        for k in np.flatnonzero(np.diff(edge)):
-            mine = slice(edge[k], edge[k + 1])
-            s = states[mine] @ self.entries[k].T
-            s += self.entry_bias[k]
-            s -= s.max(1, keepdims=True)
-            right = s[np.arange(len(s)), place[mine]]
-            out[order[mine]] += right - np.log(np.exp(s, out=s).sum(1))
+        states = np.concatenate((states, np.ones((len(states), 1), states.dtype)), 1)
+        kind, out = self.class_of[target], np.empty(len(states), states.dtype)
+        for c in _chunks(len(states), len(self.classes)):
+            right, _, total = _exps(states[c], self.classes, kind[c])
+            out[c] = right - np.log(total)
+        order, first = _by_class(kind, len(self.classes))
+        states, place, gain = states[order], (target - self.edge[kind])[order], np.zeros(len(states), states.dtype)
+        for k in np.flatnonzero(np.diff(first)):
+            mine = self.entries[self.edge[k] : self.edge[k + 1]]
+            for c in _chunks(first[k + 1] - first[k], len(mine)) if len(mine) > 1 else ():
+                at = slice(first[k] + c.start, first[k] + c.stop)
+                right, _, total = _exps(states[at], mine, place[at])
+                gain[at] = right - np.log(total)
+        out[order] += gain
         return out
 
 
@@ -173,7 +219,7 @@ class Trainer:
 
     def _update(self, name: str, at, grad: np.ndarray) -> None:
         g, p = self.g[name], getattr(self.m, name)
-        if at is None or isinstance(at, (int, np.integer)):
+        if at is None or isinstance(at, slice):
             g, p = (g, p) if at is None else (g[at], p[at])
             g += grad * grad
             grad *= RATE
@@ -186,57 +232,63 @@ class Trainer:
     def window(self, ids: np.ndarray, target: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Learn from (steps, lanes) inputs and targets where ``real``; gives the state after the last step."""
         m, (t, n) = self.m, ids.shape
-        x = m.embed[ids]
-        inputs = x @ m.inputs + m.bias
+        x = m.embed[ids.ravel()]
+        inputs = m.projected(x).reshape(-1, t, n)
         kept = []
         for k in range(t):
-            z, r, u, c, new = m.step(inputs[k], h)
+            z, r, u, c, new = m.step(inputs[:, k].T, h)
             kept.append((h, z, r, u, c))
             h = new
-        states = np.stack([x_[0] for x_ in kept[1:]] + [h]).reshape(t * n, HIDDEN)
         at = np.flatnonzero(real.ravel())
         if not len(at):
             return h
-        s_at, y = states[at], target.ravel()[at]
-        classes, wide = m.entry_bias.shape
-        kind, scale = y // wide, np.float32(1 / n)
-        p = _softmax(s_at @ m.classes.T + m.class_bias)
-        p[np.arange(len(at)), kind] -= 1
-        p *= scale
-        back = p @ m.classes
-        steps = [("classes", None, p.T @ s_at), ("class_bias", None, p.sum(0))]
-        order, edge = _by_class(kind, classes)
-        own, place, sorted_back = s_at[order], y[order] % wide, np.empty((len(at), HIDDEN), np.float32)
-        for k in np.flatnonzero(np.diff(edge)):
-            mine = slice(edge[k], edge[k + 1])
-            p = own[mine] @ m.entries[k].T
-            p += m.entry_bias[k]
-            p = _softmax(p)
-            p[np.arange(len(p)), place[mine]] -= 1
-            p *= scale
-            np.matmul(p, m.entries[k], out=sorted_back[mine])
-            self._update("entries", k, p.T @ own[mine])
-            self._update("entry_bias", k, p.sum(0))
-        back[order] += sorted_back
-        d_states = np.zeros((t * n, HIDDEN), np.float32)
-        d_states[at] = back
-        d_states = d_states.reshape(t, n, HIDDEN)
-        d_in = np.empty((t, n, 3 * HIDDEN), np.float32)
-        d_rec = np.zeros_like(m.recur)
-        d = np.zeros((n, HIDDEN), np.float32)
+        states = np.ones((t, n, HIDDEN + 1), h.dtype)
+        for k in range(t):
+            states[k, :, :-1] = kept[k + 1][0] if k + 1 < t else h
+        s_at, y = states.reshape(t * n, -1)[at], target.ravel()[at]
+        kind, scale = m.class_of[y], np.float32(1 / n)
+        order, first = _by_class(kind, len(m.classes))  # from here on by class
+        s_at, kind, place = s_at[order], kind[order], y[order] - m.edge[kind[order]]
+        back, d_classes = np.empty((len(at), HIDDEN), h.dtype), 0
+        for c in _chunks(len(at), len(m.classes)):
+            _, p, total = _exps(s_at[c], m.classes, kind[c])
+            p *= (scale / total)[:, None]
+            p[np.arange(len(p)), kind[c]] -= scale
+            np.matmul(p, m.classes[:, :-1], out=back[c])
+            d_classes = d_classes + p.T @ s_at[c]
+        steps = [("classes", None, d_classes)]
+        for k in np.flatnonzero(np.diff(first)):
+            own = slice(m.edge[k], m.edge[k + 1])
+            if own.stop - own.start == 1:
+                continue  # certain, once the class is known
+            mine, rows = m.entries[own], slice(first[k], first[k + 1])
+            _, p, total = _exps(s_at[rows], mine, place[rows])
+            p *= (scale / total)[:, None]
+            p[np.arange(len(p)), place[rows]] -= scale
+            back[rows] += p @ mine[:, :-1]
+            self._update("entries", own, p.T @ s_at[rows])
+        d_states = np.zeros((t * n, HIDDEN), h.dtype)
+        d_states[at[order]] = back
+        d_states = np.ascontiguousarray(d_states.T).reshape(HIDDEN, t, n)
+        # by hidden unit, step and lane
+        old, z, r, u, c = (np.stack([step[j].T for step in kept], 1) for j in range(5))
+        of_c = (1 - z) * (1 - c * c)
+        of_z = (old - c) * z * (1 - z)
+        of_r = u * r * (1 - r)
+        du, dc, d = np.empty((3 * HIDDEN, t, n), h.dtype), np.empty((HIDDEN, t, n), h.dtype), np.zeros((HIDDEN, n), h.dtype)
         for k in range(t - 1, -1, -1):
-            old, z, r, u, c = kept[k]
-            d = d + d_states[k]
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (old - c) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            d_in[k, :, :HIDDEN], d_in[k, :, HIDDEN : 2 * HIDDEN], d_in[k, :, 2 * HIDDEN :] = dz, dr, dc
-            du = np.concatenate((dz, dr, dc * r), 1)
-            d_rec += old.T @ du
-            d = d * z + du @ m.recur.T
-        flat_in, flat_x = d_in.reshape(t * n, -1), x.reshape(t * n, EMBED)
-        steps += [("recur", None, d_rec), ("inputs", None, flat_x.T @ flat_in), ("bias", None, flat_in.sum(0))]
-        dx = flat_in @ m.inputs.T
+            d += d_states[:, k]
+            np.multiply(d, of_c[:, k], out=dc[:, k])
+            np.multiply(d, of_z[:, k], out=du[:HIDDEN, k])
+            np.multiply(dc[:, k], of_r[:, k], out=du[HIDDEN : 2 * HIDDEN, k])
+            np.multiply(dc[:, k], r[:, k], out=du[2 * HIDDEN :, k])
+            d *= z[:, k]
+            d += m.recur @ du[:, k]
+        d_rec = old.reshape(HIDDEN, -1) @ du.reshape(3 * HIDDEN, -1).T
+        du[2 * HIDDEN :] = dc
+        d_in = du.reshape(3 * HIDDEN, -1)
+        steps += [("recur", None, d_rec), ("inputs", None, x.T @ d_in.T), ("bias", None, d_in.sum(1))]
+        dx = d_in.T @ m.inputs.T
         order = np.argsort(ids.ravel(), kind="stable")
         sorted_ids = ids.ravel()[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
@@ -289,31 +341,29 @@ def given_end(model: Model) -> int:
     return len(model.embed) - 1
 
 
-def score_documents(model: Model, entry: np.ndarray, given: np.ndarray, start: np.ndarray, size: np.ndarray, lanes: int = 1024, steps: int = 64) -> np.ndarray:
-    """Natural log probability of each whole document's entries."""
+def score_documents(model: Model, entry: np.ndarray, given: np.ndarray, start: np.ndarray, size: np.ndarray, lanes: int = 4096, tokens: int = 1 << 15) -> np.ndarray:
+    """Natural log probability of each whole document's entries, from windows of about ``tokens`` tokens of all lanes."""
     out = np.zeros(len(start))
-    table = (model.embed @ model.inputs + model.bias).astype(np.float32)
     order = np.argsort(-size, kind="stable")
     for a in range(0, len(order), lanes):
         mine = order[a : a + lanes]
         s, n = start[mine], size[mine]
-        h = np.zeros((len(mine), HIDDEN), np.float32)
-        for w in range(0, int(n[0]), steps):
-            live = int(np.searchsorted(-n, -w, "left"))  # sizes fall: those that reach beyond w
-            long = min(steps, int(n[0]) - w)
-            h, states, wanted, lane = h[:live], [], [], []
-            for k in range(w, w + long):
-                now = int(np.searchsorted(-n, -k, "left"))
-                if now < len(h):
-                    h = h[:now]
-                at = s[:now] + k
-                x = np.full(now, given_end(model)) if k == 0 else given[at - 1]
-                h = model.step(table[x], h)[4]
-                states.append(h)
-                wanted.append(entry[at])
-                lane.append(np.arange(now))
-            got = model.log_probs(np.concatenate(states), np.concatenate(wanted))
-            out[mine] += np.bincount(np.concatenate(lane), got, len(mine))
+        h, w = np.zeros((len(mine), HIDDEN), np.float32), 0
+        while w < n[0]:
+            long = min(max(1, tokens // len(h)), int(n[0]) - w)
+            now = np.searchsorted(-n, -np.arange(w, w + long), "left")  # sizes fall: the lanes that reach beyond each step
+            stop = np.cumsum(now)
+            lane = np.arange(stop[-1]) - np.repeat(stop - now, now)
+            at = s[lane] + np.repeat(np.arange(w, w + long), now)
+            x = given[at - 1]
+            if w == 0:
+                x[: now[0]] = given_end(model)
+            inputs, states = model.projected(model.embed[x]), np.empty((len(at), HIDDEN), np.float32)
+            for k, j in zip((stop - now).tolist(), stop.tolist(), strict=True):
+                h = model.step(inputs[:, k:j].T, h[: j - k])[4]
+                states[k:j] = h
+            out[mine] += np.bincount(lane, model.log_probs(states, entry[at]), len(mine))
+            w += long
     return out
 
 
@@ -438,16 +488,17 @@ def score_block(folder: str, shared, n: int, v: int, rest: tuple[int, int]):
         order = np.argsort(known)
         known, count = known[order], count[order]
         docs, rows = _read_block(folder, key[0].as_py())
-        out: list[list] = [[] for _ in range(5)]
+        size, seen, base, other, entries, inputs = [], [], [], [], [], []
         for part in C.blocks(rows):
             e, entry, given = encode(rows[part], listed)
             c = count[np.searchsorted(known, e.hash)]
-            sums = lambda x: np.add.reduceat(x, e.start)  # noqa: B023, E731
-            other = np.where(entry == OTHER, other_of(c), 0.0)
-            net = score_documents(model, entry, given, e.start, e.size) / np.log(10)
-            for k, x in enumerate((e.size, sums((c > 0).astype(np.int64)), sums(base_of(c)), net + sums(other))):
-                out[k].append(x)
-        tokens, seen, base, score = (np.concatenate(x) for x in out[:4])
+            size.append(e.size)
+            for out, x in ((seen, (c > 0).astype(np.int64)), (base, base_of(c)), (other, np.where(entry == OTHER, other_of(c), 0.0))):
+                out.append(np.add.reduceat(x, e.start))
+            entries.append(entry.astype(np.int32))
+            inputs.append(given.astype(np.int32))
+        tokens, seen, base, other, entry, given = map(np.concatenate, (size, seen, base, other, entries, inputs))
+        score = other + score_documents(model, entry, given, np.cumsum(tokens) - tokens, tokens) / np.log(10)
         return pa.table({
             "doc_id": pa.array(docs, pa.int64()), "held_out": [held_out(d) for d in docs], "n_tokens": tokens, "n_known": seen,
             "train_tokens": np.full(len(docs), n), "base_score": base, "score": score,
@@ -485,7 +536,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     mass = np.full(size, 1e-7)
     mass[0] = rest[0] + ADD * (rest[1] + 1)
     mass[1 : 1 + len(top)] = [r["c"] for r in top]
-    model = Model.fresh(np.log(mass / mass.sum()), classes=classes)
+    model = Model.fresh(np.log(mass / mass.sum()))
     parts = int(np.clip(-(-blocks.count() // WORKER_BLOCKS), 1, WORKERS))  # the same on any cluster
     spread = blocks.select("block").repartition(parts, "block")
     for k in range(rounds if n else 0):
