@@ -87,17 +87,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _exps(states: np.ndarray, weights: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits at ``at``, exponentials of all logits and their sums by row; rows are moved by their largest logit only where sums would leave the numbers' range."""
+def _exps(states: np.ndarray, weights: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """Logits at ``at`` (if given), exponentials of all logits and their sums by row; rows are moved by their largest logit only where sums would leave the numbers' range."""
     s = states @ weights.T
-    right = s[np.arange(len(s)), at]
+    right = None if at is None else s[np.arange(len(s)), at]
     with np.errstate(over="ignore"):
         p = np.exp(s, out=s)
     total = p @ np.ones(p.shape[1], p.dtype)
     if not (1e-25 < total.min() and total.max() < 1e25):
         s = states @ weights.T
         top = s.max(1)
-        right, p = right - top, np.exp(s - top[:, None])
+        right, p = None if at is None else right - top, np.exp(s - top[:, None])
         total = p.sum(1)
     return right, p, total
 
@@ -251,7 +251,7 @@ class Trainer:
         s_at, kind, place = s_at[order], kind[order], y[order] - m.edge[kind[order]]
         back, d_classes = np.empty((len(at), HIDDEN), h.dtype), 0
         for c in _chunks(len(at), len(m.classes)):
-            _, p, total = _exps(s_at[c], m.classes, kind[c])
+            _, p, total = _exps(s_at[c], m.classes)
             p *= (scale / total)[:, None]
             p[np.arange(len(p)), kind[c]] -= scale
             np.matmul(p, m.classes[:, :-1], out=back[c])
@@ -262,7 +262,7 @@ class Trainer:
             if own.stop - own.start == 1:
                 continue  # certain, once the class is known
             mine, rows = m.entries[own], slice(first[k], first[k + 1])
-            _, p, total = _exps(s_at[rows], mine, place[rows])
+            _, p, total = _exps(s_at[rows], mine)
             p *= (scale / total)[:, None]
             p[np.arange(len(p)), place[rows]] -= scale
             back[rows] += p @ mine[:, :-1]
@@ -289,7 +289,7 @@ class Trainer:
         d_in = du.reshape(3 * HIDDEN, -1)
         steps += [("recur", None, d_rec), ("inputs", None, x.T @ d_in.T), ("bias", None, d_in.sum(1))]
         dx = d_in.T @ m.inputs.T
-        order = np.argsort(ids.ravel(), kind="stable")
+        order = np.argsort(ids.ravel().astype(np.uint16 if len(m.embed) <= 1 << 16 else ids.dtype), kind="stable")
         sorted_ids = ids.ravel()[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
         steps.append(("embed", sorted_ids[first], np.add.reduceat(dx[order], first, axis=0)))
