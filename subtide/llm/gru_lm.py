@@ -48,7 +48,8 @@ SUFFIXES = 512
 LANES, STEPS, PIECE = 512, 16, 1024
 ROUNDS = 4
 RATE = 0.15
-WORKER_BLOCKS, WORKERS = 1, 1024  # a training task takes so many blocks; more from WORKERS tasks on
+WORKER_BLOCKS, WORKERS = 2, 1024  # a training task takes so many blocks; more from WORKERS tasks on
+SHARED_BY = 3  # and so many tokens for each parameter at least: what tasks send is then no more than the texts
 PIECE_SIZE = 1 << 16
 BLOCK = 16 << 20
 LOGITS = 1 << 17
@@ -449,16 +450,24 @@ def train_round(folder: str, shared, number: int, rounds: int):
     def run(batches):
         hashes, start = shared.value
         model, listed = start.like(start.flat()), Listed(hashes)
-        trainer, seen = Trainer(model), 0
+        trainer, seen, rows, held = Trainer(model), 0, [], 0
+
+        def learn():
+            e, entry, given = encode(rows, listed)
+            trainer.documents(entry, given, e.start, e.size)
+            return int(e.size.sum())
+
         for batch in batches:
             for block in batch.column("block").to_pylist():
-                docs, rows = _read_block(folder, block)
-                draw = [zlib.crc32(f"round {d}".encode()) / 2**32 for d in docs]
-                rows = [x for d, x, u in zip(docs, rows, draw, strict=True) if not held_out(d) and number <= u * rounds < number + 1]
-                for part in C.blocks(rows):
-                    e, entry, given = encode(rows[part], listed)
-                    trainer.documents(entry, given, e.start, e.size)
-                    seen += int(e.size.sum())
+                for doc, text in zip(*_read_block(folder, block), strict=True):
+                    if not held_out(doc) and number <= zlib.crc32(f"round {doc}".encode()) / 2**32 * rounds < number + 1:
+                        rows.append(text)
+                        held += len(text)
+                        if held >= C.BLOCK_BYTES:  # documents of some blocks together: wide windows
+                            seen += learn()
+                            rows, held = [], 0
+        if rows:
+            seen += learn()
         if seen:
             flat = model.flat()
             for k, piece in enumerate(np.array_split(flat, -(-len(flat) // PIECE_SIZE))):
@@ -537,8 +546,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     mass[0] = rest[0] + ADD * (rest[1] + 1)
     mass[1 : 1 + len(top)] = [r["c"] for r in top]
     model = Model.fresh(np.log(mass / mass.sum()))
-    parts = int(np.clip(-(-blocks.count() // WORKER_BLOCKS), 1, WORKERS))  # the same on any cluster
-    spread = blocks.select("block").repartition(parts, "block")
+    parts = int(np.clip(min(-(-blocks.count() // WORKER_BLOCKS), n // (SHARED_BY * len(model.flat()))), 1, WORKERS))  # the same on any cluster
+    spread = blocks.select("block").repartitionByRange(parts, "block")
     for k in range(rounds if n else 0):
         shared = spark.sparkContext.broadcast((number, model))
         pieces = spread.mapInArrow(train_round(folder, shared, k, rounds), "k int, weight double, piece binary")
