@@ -10,8 +10,11 @@ and none is drawn beyond two passes.  The k-th slot of a source takes block
 block indexes, another one for each pass.  Slots and blocks meet in an equi-join by
 (source, index).
 
-Scale: prefix sums over documents go by (source, bucket) and then over buckets, so no
-task gets a whole source; slots and blocks are spread by index; only the table of
+Reruns agree on any cluster: documents are ordered by a hash of their content, so file
+splits and cores change nothing.
+
+Scale: prefix sums over documents go by (source, bucket) and then over buckets, whose
+number grows with the rows, so no task gets a whole source; slots and blocks are spread by index; only the table of
 sources (a row for each source, bounded by their number) is gathered by one task.
 
 Defined results: a null text has size 0; a null source is a source of its own and
@@ -34,8 +37,8 @@ MOST = 2.0
 BLOCK = 64
 LEAST_BLOCKS = 512
 SHARD = 8192
-CELLS = 4096
-BUCKETS = 4096
+CELL = 1 << 16  # slots of a cell, and rows of a bucket, at most (on average)
+CELLS = 4096  # cells and buckets of small inputs, so that they are spread as well
 WALKS = 16
 
 
@@ -84,12 +87,21 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
 
 
 def sized(docs: DataFrame, row: Column | None = None, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, row, bucket of every document, written once: ``row`` numbers the rows, by this scan unless it is given."""
+    """doc_id, source, size, row, key, bucket of every document, written once.
+
+    ``row`` (by this scan unless it is given) only names a row within this run.  Order and
+    buckets come from the content: rows that differ have other keys, and for equal rows
+    it doesn't matter which of them comes first.
+    """
+    doc, source, text = F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")
+    content = [x for c in (doc, source, text) for x in (c.isNull(), c)]
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.monotonically_increasing_id() if row is None else row).alias("row"),
+        doc.alias("doc_id"), source.alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"), F.array(_hash(seed, *content), _hash(seed + 1, *content)).alias("key"),
     )
-    return C.scratch(base.withColumn("bucket", F.pmod(_hash(F.col("row"), seed), F.lit(BUCKETS)).cast("int")), "sizes")
+    base = C.scratch(base, "sizes")
+    buckets = max(CELLS, -(-base.count() // CELL))
+    return base.withColumn("bucket", F.pmod(F.element_at("key", 1), F.lit(buckets)))
 
 
 def planned(base: DataFrame, share: float, most: float, weights: tuple[float, ...], block: int) -> DataFrame:
@@ -108,7 +120,7 @@ def planned(base: DataFrame, share: float, most: float, weights: tuple[float, ..
 def slots(plan: DataFrame, seed: int = 17) -> DataFrame:
     """(shard, source, index): the block that each slot of each output shard takes."""
     total = int(plan.agg(F.max("hi")).first()[0] or 0)
-    wide = max(1, -(-total // CELLS))
+    wide = min(CELL, max(1, -(-total // CELLS)))
     cells = plan.where("wanted > 0").select("source", "blocks", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {wide}"), F.expr(f"(hi - 1) div {wide}"))).alias("cell"))
     drawn = plan.sparkSession.range(total).select(F.expr(f"id div {SHARD}").alias("shard"), permute(F.col("id"), F.lit(total).cast("long"), _hash(seed, 7)).alias("at"))
     drawn = drawn.withColumn("cell", F.expr(f"at div {wide}")).join(cells, "cell").where("at >= lo and at < hi")
@@ -122,7 +134,7 @@ def draw(base: DataFrame, share: float = SHARE, most: float = MOST, weights: tup
     parts = base.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("ahead", F.coalesce(F.sum("part").over(ahead), F.lit(0)))
-    within = Window.partitionBy("source", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     b, p = base.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))), parts
     b = b.join(p, same(b, p) & (b["bucket"] == p["bucket"])).select("doc_id", b["source"], "size", "row", (F.col("before") + F.col("ahead")).alias("start"))
@@ -141,10 +153,10 @@ def draw(base: DataFrame, share: float = SHARE, most: float = MOST, weights: tup
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the row number ``row`` of every document."""
+    """doc_id, size, source_size, target, taken of every document."""
     d, got = draw(sized(docs), **options)
     taken = got.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return d.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "row")
+    return d.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
