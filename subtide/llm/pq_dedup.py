@@ -24,7 +24,8 @@ of two, which changes no cosine and keeps squares in range.
 
 Scale: a query's vector goes to each list that it probes, so the shuffle is the table
 times the probes; work is linear in the table up to ``LIST * LISTS`` vectors a label,
-and then grows with the longer lists.  The driver holds the sample and the centroids.
+and then grows with the longer lists.  The driver holds the sample and the centroids (at
+4,096 lists 131,072 vectors), and distances between them ``DISTANCES`` at a time.
 
 Defined results: vectors that are null, zero or hold null or non-finite parts, and
 null labels, link with nothing; vectors of different lengths don't compare; repeated
@@ -49,21 +50,32 @@ SAMPLE = 32
 SUBSPACES = 16
 CODES = 128
 BLOCK = 2048
+DISTANCES = 1 << 21  # distances held at a time, 16 MB
 CHUNK = 256  # queries that are looked up at a time
 NODE = "struct<none: boolean, vec: bigint, row: bigint>"
 
 
-def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest centroid of each row, and all squared distances but for the row's own square."""
-    d = (c * c).sum(1)[None, :] - 2 * x @ c.T
-    return d.argmin(1), d
+def slices(rows: int, centroids: int) -> list[slice]:
+    """Rows whose distances to all centroids are held at a time."""
+    step = max(1, DISTANCES // max(1, centroids))
+    return [slice(a, a + step) for a in range(0, rows, step)]
+
+
+def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances, but for the row's own square."""
+    return (c * c).sum(1)[None, :] - 2 * x @ c.T
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Index of the nearest centroid of each row."""
+    return np.concatenate([distances(x[s], c).argmin(1) for s in slices(len(x), len(c))] or [np.zeros(0, np.int64)])
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = nearest(x, c)[0]
+        near = nearest(x, c)
         order = np.argsort(near, kind="stable")
         found, first = np.unique(near[order], return_index=True)
         c[found] = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
@@ -73,7 +85,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 5) -> np.ndarray:
 def fit(x: np.ndarray, lists: int) -> dict:
     """Coarse centroids and a codebook for each subspace of the residuals."""
     coarse = kmeans(x, lists)
-    rest = x - coarse[nearest(x, coarse)[0]]
+    rest = x - coarse[nearest(x, coarse)]
     cuts = np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))
     return {"coarse": coarse, "cuts": cuts, "books": [kmeans(rest[:, s], CODES, 4, 11 + i) for i, s in enumerate(cuts)]}
 
@@ -84,9 +96,15 @@ def probes(lists: int) -> int:
 
 def encode(u: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """List, codes, least look-up sum of a candidate, and lists to probe (own list first) of each row."""
-    near, d = nearest(u, model["coarse"])
+    parts = [_encode(u[s], model) for s in slices(len(u), len(model["coarse"]))]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _encode(u: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    d = distances(u, model["coarse"])
+    near = d.argmin(1)
     rest = u - model["coarse"][near]
-    codes = np.stack([nearest(rest[:, s], b)[0] for s, b in zip(model["cuts"], model["books"], strict=True)], 1).astype(np.uint8)
+    codes = np.stack([nearest(rest[:, s], b) for s, b in zip(model["cuts"], model["books"], strict=True)], 1).astype(np.uint8)
     coded = model["coarse"][near] + np.concatenate([b[codes[:, i]] for i, b in enumerate(model["books"])], 1)
     far = np.sqrt(2 - 2 * COSINE) + np.sqrt(((u - coded) ** 2).sum(1))
     # |q - coded|^2 = 1 - 2 q.coded + |coded|^2 is at most far^2

@@ -207,6 +207,22 @@ def test_mix(spark, stored, docs):
     assert (got.taken <= 2 * got["size"]).all() and mixing.mix(d.limit(0)).count() == 0
 
 
+def test_mix_is_the_same_over_other_file_splits_and_cores(spark, stored, docs):
+    d = docs.union(odd(spark))
+    a, b = str(stored(d.repartition(9)).inputFiles()[0]).rsplit("/", 1)[0], str(stored(d.orderBy(F.desc("text")).coalesce(1)).inputFiles()[0]).rsplit("/", 1)[0]
+    seen = []
+    for path, size, parts in ((a, "128m", "4"), (a, "4k", "13"), (b, "20k", "1")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = mixing.mix(spark.read.parquet(path))
+        assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+        seen.append(sorted(map(repr, got.collect())))
+        seen[-1] += sorted(map(repr, mixing.mixed(spark.read.parquet(path), block=64).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_mixed_documents_hold_the_words_that_were_taken(docs):
     got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block=64).collect()}
     out = defaultdict(int)
@@ -484,6 +500,22 @@ def test_recall_of_the_probes():
             assert len(pq_dedup.candidates(x[i : i + 1], cy[i : i + 1], ly[i : i + 1], model["coarse"][hy[i]], model)[0])
 
 
+def test_fit_at_all_lists_stays_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((16_384, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    model = pq_dedup.fit(x, pq_dedup.LISTS)
+    near, codes, least, probe = pq_dedup.encode(x[:10_000], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 27 and probe.shape == (10_000, pq_dedup.probes(pq_dedup.LISTS))
+    d = ((x[:300, None, :] - model["coarse"][None, :, :]) ** 2).sum(2)
+    assert np.array_equal(near[:300], d.argmin(1)) and all(set(p) == set(np.argsort(r)[: len(p)]) for p, r in zip(probe[:300], d, strict=True))
+
+
 # --- 10: language model -------------------------------------------------------------------
 
 
