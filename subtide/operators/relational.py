@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subtide import resources as R
+from subtide.operators import matching
 
 #: A side is broadcast by hint only below this many rows (counted first); above, Spark chooses.
 BROADCAST_ROWS = 100_000
@@ -73,9 +74,8 @@ def glossary(names: DataFrame, limit: int = 120) -> DataFrame:
 
 
 def verified_names(names: DataFrame, texts: DataFrame, han: str = "han", text: str = "text") -> DataFrame:
-    """Names that occur in a text.  The names (a small table) go to the texts, and each name comes back once."""
-    found = texts.select(F.col(text).alias("_text")).join(small(names.select(han).distinct()), F.contains("_text", F.col(han))).select(han).distinct()
-    return names.join(found, han, "left_semi")
+    """Names that occur in a text."""
+    return names.join(matching.counts(names, texts, han, text).select(F.col("name").alias(han)), han, "left_semi")
 
 
 def split_names(lines: DataFrame, part: Sequence[str], line: str, words: str, longest: int = 4, letters: int = 6) -> DataFrame:
@@ -156,11 +156,6 @@ def peaks(samples: DataFrame, part: Sequence[str], window: Column, value: str) -
     return per.withColumn("level", F.when(top > 0, F.rint(F.col("peak") * 255 / top).cast("int")).otherwise(0))
 
 
-def occurrences(text: Column, part: Column) -> Column:
-    """Occurrences of a part in a text that don't overlap."""
-    return F.when(F.length(part) > 0, F.floor((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part))).otherwise(0)
-
-
 def case_agreement(fixed: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of lines whose first letter has the reference's case."""
     first = lambda c: F.regexp_extract(c, r"\p{L}", 0)

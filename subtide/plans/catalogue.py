@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from subtide import resources as R
 from subtide.functions import text
+from subtide.operators import matching
 from subtide.operators import relational as rel
 from subtide.operators import rules
 from subtide.operators import sequence as seq
@@ -291,8 +292,7 @@ def name_split_ngrams(spark, sf_dir):
 SELECT name, sum((length(text) - length(replace(text, name, ''))) // length(name))::BIGINT AS n FROM b, documents WHERE contains(text, name) GROUP BY name""")
 def name_counts(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.split("text", " ")[0].alias("name")).where(F.length("name") >= 4).distinct()
-    d = table(spark, sf_dir, "documents").select("text").join(rel.small(b), F.contains("text", "name"))
-    return d.groupBy("name").agg(F.sum(rel.occurrences(F.col("text"), F.col("name"))).cast("long").alias("n"))
+    return matching.counts(b, table(spark, sf_dir, "documents")).select("name", "n")
 
 
 @query("SELECT item_id FROM benchmark WHERE EXISTS (SELECT 1 FROM documents WHERE contains(documents.text, benchmark.text))")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subtide.functions import lang, text
-from subtide.operators import relational
+from subtide.operators import matching, relational
 from subtide.session import ship
 
 Provider = Callable[[str, list[dict]], list[dict]]  # (task, items) -> answers with their ids
@@ -76,11 +76,9 @@ def detect_names(texts: DataFrame, proposals: DataFrame, readings: Mapping[str,
         ok = lambda h, s, p: len(s) == len(p) and "".join(s) == h and all(lang.fits_reading(a, b, readings) for a, b in zip(s, p, strict=True))
         return pd.Series([ok(h, list(s if s is not None else []), list(p if p is not None else [])) for h, s, p in zip(han, split, pinyin, strict=True)])
 
-    found = relational.verified_names(proposals.dropDuplicates(["han"]), texts)
-    found = found.where(readable("han", "split", "pinyin"))
-    pairs = texts.select("text").join(relational.small(found.select("han")), F.contains("text", F.col("han")))
-    counts = pairs.groupBy("han").agg(F.sum(relational.occurrences(F.col("text"), F.col("han"))).alias("count"))
-    return found.drop("count").join(counts, "han").orderBy(F.col("count").desc(), "han")
+    found = proposals.dropDuplicates(["han"]).where(readable("han", "split", "pinyin")).drop("count")
+    counts = matching.counts(found, texts, "han").select(F.col("name").alias("han"), F.col("n").alias("count"))
+    return found.join(counts, "han").orderBy(F.col("count").desc(), "han")
 
 
 def merge_names(existing: DataFrame, found: DataFrame, ai_overrides: bool = False) -> DataFrame:

@@ -14,34 +14,32 @@ ASS_STYLE = "Style: {name},{font},{size},{colour},&H000000FF,&H00000000,&H800000
 ASS_EVENTS = "\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
 
 
+#: Code points that no text has stand before each token while a line is put together: word, mark, turn, tag that opens.
+_WORD, _MARK, _TURN, _OPENS = "\ufdd0\ufdd1\ufdd2\ufdd3"
+_TEXT = f"[^{_WORD}{_MARK}{_TURN}{_OPENS}]*"
+_NEXT = f"(?:{_OPENS}{_TEXT})*"
+#: A token that is apart from the next one: a word from a word or a turn, a mark from a turn, a turn from anything.
+_APART = f"({_WORD}{_TEXT}(?={_NEXT}[{_WORD}{_TURN}])|{_MARK}{_TEXT}(?={_NEXT}{_TURN})|{_TURN}{_TEXT}(?={_NEXT}[{_WORD}{_MARK}{_TURN}]))"
+
+
 def render(tokens: Column, field: str = "zh") -> Column:
-    """A line from tokens, as an expression: words apart by a space, a space on either side of a turn mark, tags on their token.
+    """A line from tokens: words apart by a space, a space on either side of a turn mark, tags on their token.
 
-    Without tags each gap follows from a token and the one before it; only a line with tags is a fold.
+    Tokens are written one after another with a code for their kind, in one pass; spaces
+    are put in where the codes ask for them.  A closing tag has no code, so it belongs to what is before it.
     """
-    word = lambda t: t["kind"] == "word"
-    own = lambda t: F.trim(F.coalesce(t["zh"], F.lit("")))
-    said = lambda t: F.coalesce(F.nullif(F.trim(F.coalesce(t["pinyin"], F.lit(""))), F.lit("")), own(t))
-    content = lambda t: F.when(t["kind"] == "marker", "-").when(word(t) & F.lit(field == "pinyin"), said(t)).otherwise(own(t))
-    items = F.filter(F.transform(tokens, lambda t: F.struct(t["kind"].alias("kind"), content(t).alias("text"))), lambda x: x["text"] != "")
-    none = F.lit(None).cast("string")
-    zero = F.struct(F.lit("").alias("line"), F.lit("").alias("waiting"), none.alias("last"))
-
-    def step(acc: Column, x: Column) -> Column:
-        closing = x["text"].startswith("</") & acc["last"].isNotNull() & (acc["waiting"] == "")
-        tag = F.when(closing, F.struct(F.concat(acc["line"], x["text"]).alias("line"), acc["waiting"].alias("waiting"), acc["last"].alias("last"))).otherwise(
-            F.struct(acc["line"].alias("line"), F.concat(acc["waiting"], x["text"]).alias("waiting"), acc["last"].alias("last"))
-        )
-        gap = F.when(x["kind"] == "marker", acc["last"].isNotNull()).otherwise((acc["last"] == "marker") | ((acc["last"] == "word") & (x["kind"] == "word")))
-        plain = F.struct(F.concat(acc["line"], F.when(F.coalesce(gap, F.lit(False)), " ").otherwise(""), acc["waiting"], x["text"]).alias("line"), F.lit("").alias("waiting"), x["kind"].alias("last"))
-        return F.when(x["kind"] == "markup", tag).otherwise(plain)
-
-    folded = F.aggregate(items, zero, step, lambda acc: F.concat(acc["line"], acc["waiting"]))
-    kinds = F.transform(items, lambda x: x["kind"])
-    before = F.concat(F.array(none), F.slice(kinds, F.lit(1), F.greatest(F.size(kinds) - 1, F.lit(0))))
-    apart = lambda last, kind: last.isNotNull() & ((kind == "marker") | (last == "marker") | ((last == "word") & (kind == "word")))
-    parts = F.zip_with(items, before, lambda x, last: F.when(x["text"].isNotNull(), F.concat(F.when(apart(last, x["kind"]), " ").otherwise(""), x["text"])))
-    return F.when(F.exists(kinds, lambda k: k == "markup"), folded).otherwise(F.array_join(parts, ""))
+
+    def coded(t: Column) -> Column:
+        own = F.trim(F.coalesce(t["zh"], F.lit("")))
+        said = F.coalesce(F.nullif(F.trim(t["pinyin"]), F.lit("")), own) if field == "pinyin" else own
+        part = lambda code, text: F.when(text != "", F.concat(F.lit(code), text)).otherwise("")
+        return (
+            F.when(t["kind"] == "word", part(_WORD, said)).when(t["kind"] == "punct", part(_MARK, own)).when(t["kind"] == "marker", _TURN + "-")
+            .when(t["kind"] == "markup", F.when(own.startswith("</"), own).otherwise(part(_OPENS, own))).otherwise(part(_MARK, own))
+        )
+
+    line = F.array_join(F.transform(tokens, coded), "")
+    return F.translate(F.regexp_replace(line, _APART, "$1 "), _WORD + _MARK + _TURN + _OPENS, "")
 
 
 def shown(cues: DataFrame) -> DataFrame:
