@@ -462,7 +462,7 @@ def vi_spacing(spark, sf_dir):
 FROM (SELECT *, coalesce(lag(tok) OVER (PARTITION BY doc_id, line_no ORDER BY k), '') AS prev FROM {_TOKENS}) GROUP BY doc_id, line_no""")
 def render_line(spark, sf_dir):
     found = F.regexp_extract_all("line", F.lit(r"[\p{L}0-9]+|[.!?,;:]"), F.lit(0))
-    kinds = F.transform(found, lambda x: F.struct(F.when(x.rlike(r"[\p{L}0-9]"), "word").otherwise("punct").alias("kind"), x.alias("zh"), F.lit(None).cast("string").alias("pinyin")))
+    kinds = F.transform(found, lambda x: F.struct(F.when(F.instr(F.lit(".!?,;:"), x) > 0, "punct").otherwise("word").alias("kind"), x.alias("zh"), F.lit(None).cast("string").alias("pinyin")))
     return lines(spark, sf_dir).where(F.size(found) > 0).select("doc_id", "line_no", sinks.render(kinds).alias("zh"))
 
 
@@ -500,26 +500,6 @@ def check_sample(spark, sf_dir):
     return rules.check(sample(spark), READINGS).groupBy("code").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES (1, '不', 'bú', '是'), (3, '不', 'bù', '好'), (5, '不', 'bù', '。')) t(k, zh, pinyin, next)""")
-def sandhi_lookahead(spark, sf_dir):
-    rows = [("a", 1, "word", "不", "bù"), ("a", 2, "word", "是", "shì"), ("a", 3, "word", "不", "bù"), ("a", 4, "word", "好", "hǎo"), ("a", 5, "word", "不", "bù"), ("a", 6, "punct", "。", None), ("a", 7, "word", "是", "shì")]
-    d = spark.createDataFrame(rows, "doc_id string, k int, kind string, zh string, pinyin string")
-    out = seq.sandhi(seq.look_ahead(d, ["doc_id"], ["k"], next=F.col("zh")), ["doc_id"], ["k"])
-    return out.where("zh = '不'").select("k", "zh", "pinyin", "next")
-
-
-@query("""SELECT * FROM (VALUES (1, '哪儿', 'nǎr'), (3, '女', 'nǚ'), (4, '儿', 'ér'), (5, '好', 'hǎo')) t(k, zh, pinyin)""")
-def erhua_lookback(spark, sf_dir):
-    rows = [("a", 1, "word", "哪", "nǎ"), ("a", 2, "word", "儿", "ér"), ("a", 3, "word", "女", "nǚ"), ("a", 4, "word", "儿", "ér"), ("a", 5, "word", "好", "hǎo")]
-    return seq.erhua_back(spark.createDataFrame(rows, "doc_id string, k int, kind string, zh string, pinyin string"), ["doc_id"], ["k"]).select("k", "zh", "pinyin")
-
-
-@query("""SELECT * FROM (VALUES (1, '“'), (2, '”'), (3, '“'), (4, '”'), (5, '“')) t(k, side)""")
-def quote_parity(spark, sf_dir):
-    d = spark.createDataFrame([("a", 1, '"'), ("a", 2, '"'), ("a", 3, "“"), ("a", 4, '"'), ("a", 5, '"')], "doc_id string, k int, mark string")
-    return seq.quote_side(d, ["doc_id"], ["k"]).select("k", "side")
-
-
 @query("""SELECT * FROM (VALUES ('sample', 5, 5, 3, 0, 2)) t(doc_id, cues, blocks, kept_pinyin, new_pinyin, resegmented)""")
 def fix_sample(spark, sf_dir):
     return fix.fix(sample(spark), fix.Language(readings=READINGS)).select("doc_id", "cues", "blocks", "kept_pinyin", "new_pinyin", "resegmented")
