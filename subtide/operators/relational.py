@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subtide import resources as R
-from subtide.operators import matching
+from subtide.operators import matching, scan
 
 #: A side is broadcast by hint only below this many rows (counted first); above, Spark chooses.
 BROADCAST_ROWS = 100_000
@@ -55,8 +55,10 @@ def requested_only(answers: DataFrame, requested: DataFrame, key: str = "id") ->
     return answers.join(requested.select(key), key, "left_semi")
 
 
-def batches(items: DataFrame, part: Sequence[str], order: Sequence[str], size: int = 25) -> DataFrame:
-    """Batch numbers from 0, ``size`` items each."""
+def batches(items: DataFrame, part: Sequence[str], order: Sequence[str], size: int = 25, few_keys: bool = False) -> DataFrame:
+    """Batch numbers from 0, ``size`` items each.  ``few_keys``: the key has few values, so their rows are counted in ranges."""
+    if few_keys:
+        return scan.numbered(items, part, order, "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size))
     return items.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1) / size))
 
 
@@ -126,10 +128,9 @@ def linear_percentile(column: str | Column, q: float) -> Column:
     return F.percentile(column, F.lit(q))
 
 
-def nearest_rank(column: str | Column, p: float) -> Column:
-    """The value at the half-even rounded rank."""
-    values = F.array_sort(F.collect_list(column))
-    return F.element_at(values, F.rint((F.count(column) - 1) * p).cast("int") + 1)
+def nearest_ranks(df: DataFrame, part: Sequence[str], value: str, **shares: float) -> DataFrame:
+    """``part`` and for each share the value at its half-even rounded rank, without gathering a group."""
+    return scan.nearest_ranks(df, part, value, shares)
 
 
 def cue_stats(cues: DataFrame, part: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:

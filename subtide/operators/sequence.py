@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subtide import resources as R
+from subtide.operators import scan
 
 Names = Sequence[str]
 
@@ -143,8 +144,10 @@ def enforce_timing(cues: DataFrame, part: Names, order: Names, cfg: dict | None
     return groups.select(*part, F.posexplode(folded).alias("_k", "cue")).select(*part, (F.col("_k") + 1).alias("index"), "cue.start", "cue.end")
 
 
-def overlaps(df: DataFrame, part: Names, order: Names, start: str = "start", end: str = "end") -> DataFrame:
-    """Rows that start before the latest end so far; ``before`` has it."""
+def overlaps(df: DataFrame, part: Names, order: Names, start: str = "start", end: str = "end", few_keys: bool = False) -> DataFrame:
+    """Rows that start before the latest end so far; ``before`` has it.  ``few_keys``: the key has few values, so their rows are scanned in ranges."""
+    if few_keys:
+        return scan.running(df, part, order, {"before": ("max", F.col(end))}).where(F.col(start) < F.col("before"))
     return df.withColumn("before", F.max(end).over(_before(part, order))).where(F.col(start) < F.col("before"))
 
 

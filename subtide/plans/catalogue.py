@@ -161,7 +161,7 @@ def timeline_repair(spark, sf_dir):
 
 @query(f"""SELECT word, event_id, start, before FROM (SELECT *, max("end") OVER (PARTITION BY word ORDER BY start, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {WORDS}) WHERE start < before""")
 def overlap_findings(spark, sf_dir):
-    return seq.overlaps(words(spark, sf_dir), ["word"], ["start", "event_id"]).select("word", "event_id", "start", "before")
+    return seq.overlaps(words(spark, sf_dir), ["word"], ["start", "event_id"], few_keys=True).select("word", "event_id", "start", "before")
 
 
 @query("""SELECT user_id, event_id, coalesce(last, 0) + 1 AS expected FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events) WHERE event_id <> coalesce(last, 0) + 1""")
@@ -244,7 +244,12 @@ def cue_percentiles(spark, sf_dir):
 
 @query(f"""SELECT doc_id, list_sort(list(length(line)))[(round_even((count(*) - 1) * 0.95, 0))::INT + 1] AS p95 FROM {LINES} GROUP BY doc_id""")
 def nearest_rank_p95(spark, sf_dir):
-    return lines(spark, sf_dir).withColumn("n", F.length("line").cast("long")).groupBy("doc_id").agg(rel.nearest_rank(F.col("n"), 0.95).alias("p95"))
+    return rel.nearest_ranks(lines(spark, sf_dir).withColumn("n", F.length("line").cast("long")), ["doc_id"], "n", p95=0.95)
+
+
+@query(f"""SELECT lang, l[(round_even((len(l) - 1) * 0.5, 0))::INT + 1] AS median, l[(round_even((len(l) - 1) * 0.95, 0))::INT + 1] AS p95 FROM (SELECT lang, list_sort(list(length(line))) AS l FROM {LINES} GROUP BY lang)""")
+def nearest_ranks_by_lang(spark, sf_dir):
+    return rel.nearest_ranks(lines(spark, sf_dir).withColumn("n", F.length("line").cast("long")), ["lang"], "n", median=0.5, p95=0.95)
 
 
 @query(f"""WITH m AS (SELECT lang, quantile_cont(len(regexp_extract_all(line, '[^ ]+')), 0.5)::DOUBLE AS measured FROM {LINES} GROUP BY lang)
@@ -371,7 +376,7 @@ def known_error_except(spark, sf_dir):
 
 @query("SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 25 AS batch FROM documents")
 def batch_ids(spark, sf_dir):
-    return rel.batches(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"])
+    return rel.batches(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"], few_keys=True)
 
 
 @query("SELECT l.doc_id, d.lang, unnest(list_concat(CASE WHEN quality = 0 THEN ['AI_APPLIED'] ELSE [] END, CASE WHEN toxic = 1 THEN ['HETERONYM'] ELSE [] END)) AS flag FROM labels l JOIN documents d USING (doc_id)")

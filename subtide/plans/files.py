@@ -8,16 +8,14 @@ two lines, the number and the stamp, not of the kind of fault.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide import resources as R
+from subtide import shared
 from subtide.functions import text
 from subtide.operators import relational as rel
-from subtide.operators import rules
+from subtide.operators import rules, scan
 from subtide.plans import names, report, review, stages
 from subtide.sources import sinks, srt
 
@@ -358,7 +356,8 @@ def glossary_names(spark, sf_dir):
 
 @query("""SELECT doc_id, pos FROM (SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id))::INT AS pos, length(lang) AS n, quality FROM labels JOIN documents USING (doc_id)) WHERE quality = 0 ORDER BY n, doc_id LIMIT 120""")
 def uncertain_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").withColumn("pos", F.expr("cast(row_number() over (partition by lang order by doc_id) as int)"))
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    d = scan.numbered(d, ["lang"], ["doc_id"], "pos").withColumn("pos", F.col("pos").cast("int"))
     flags = F.when(F.col("quality") == 0, F.array(F.lit("HETERONYM"))).otherwise(F.array(F.lit("NAME")))
     token = F.struct(F.lit("word").alias("kind"), F.col("lang").alias("zh"), F.lit("x").alias("pinyin"), F.lit(1.0).alias("confidence"), F.lit("ai").alias("source"), flags.alias("flags"))
     return rel.uncertain(d.select("doc_id", "pos", F.array(token).alias("tokens"))).select("doc_id", "pos")
@@ -429,8 +428,7 @@ def editor_save(spark, sf_dir):
 UNION ALL SELECT 'names', * FROM (VALUES (1, 'read', 'reused'), (2, 'count', 'run'), (3, 'rank', 'run')) t(number, key, done) UNION ALL SELECT 'short', * FROM (VALUES (1, 'read', 'reused'), (2, 'count', 'reused'), (3, 'rank', 'skipped')) t(number, key, done)""")
 def stage_reruns(spark, sf_dir):
     """What four laps over one folder did: a first run, the same again, one with another name table, one without the last stage."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stages-')}"
-    folder, d = f"{base}/stages-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    folder, d = shared.folder(spark), table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     plan = [stages.Stage(1, "read", lambda t: t.where("lang is not null")), stages.Stage(2, "count", lambda t: t.groupBy("lang").agg(F.count("*").alias("n"))), stages.Stage(3, "rank", lambda t: t.orderBy("n"), "rank")]
     out = []
     for lap, known, skip in (("first", 0, ()), ("again", 0, ()), ("names", 1, ()), ("short", 1, ("rank",))):
@@ -442,8 +440,7 @@ def stage_reruns(spark, sf_dir):
 @query("SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang")
 def stage_results(spark, sf_dir):
     """The table of the last stage, after a second lap that is forced from the second stage on."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stages-')}"
-    folder, d = f"{base}/stages-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    folder, d = shared.folder(spark), table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     plan = [stages.Stage(1, "read", lambda t: t.where("lang is not null")), stages.Stage(2, "source", lambda t: t.where("source is not null")), stages.Stage(3, "count", lambda t: t.groupBy("lang").agg(F.count("*").alias("n")))]
     stages.run(d, plan, folder)
     return stages.run(d, plan, folder, force_from=2)[0]
