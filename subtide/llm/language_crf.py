@@ -44,6 +44,7 @@ LEXICON = 1 << 16
 BITS = 17
 EPOCHS, BATCH, RATE, DECAY = 3, 128, 0.25, 1e-6
 CHUNK = 32
+SCORED = 1 << 20  # bytes of text that are scored at a time
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -223,7 +224,7 @@ def marginals(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.nda
 
 
 def _blocks(rows: list[bytes], n: int):
-    yield from C.blocks(rows, max(1 << 16, C.BLOCK_BYTES * 16 // max(n * n, 16)))
+    yield from C.blocks(rows, max(1 << 16, SCORED * 16 // max(n * n, 16)))
 
 
 def _lower(column: pa.Array) -> list[bytes]:
