@@ -8,7 +8,8 @@ its letters' probability (``classify``).
 Features of a word, in lower case: hashed n-grams of 2 to 4 bytes of the word with a
 space on each side, prefix and suffix of four bytes, and the lexicon's log odds of each
 language, whose weights are learned too.  The lexicon counts every word of every
-document that may be learned from; its entries are the ``LEXICON`` most frequent words.
+document that may be learned from; its entries are the most frequent
+words, ``LEXICON`` of them at most (equally frequent ones are all in it or all out).
 
 The field is fitted on a bounded sample of labelled rows: for each language the ``DOCS``
 documents of smallest hash, ``SPANS`` spans of ``SPAN`` words from all over each.  Half of
@@ -327,6 +328,17 @@ def _fit(model: Model, spans: list[tuple[int, list[bytes]]], seed: int) -> None:
         step(0, found, down / len(batches[b]))
 
 
+def _least(words: DataFrame, most: int) -> int:
+    """The least count with which at most ``most`` words are that frequent (to a hundredth, where counts are large)."""
+    step = F.when(F.col("all") < 4096, F.col("all")).otherwise(F.floor(F.exp(F.ceil(F.ln("all") * 64) / 64)))
+    total, above = 0, 1 << 62
+    for r in sorted(words.groupBy(step.cast("long").alias("at")).agg(F.count("*").alias("n"), F.min("all").alias("least")).collect(), key=lambda r: -r["at"]):  # a few thousand rows
+        if (total := total + r["n"]) > most:
+            return above
+        above = int(r["least"])
+    return 0
+
+
 def train(docs: DataFrame, lexicon: int = LEXICON, sample: int = DOCS, seed: int = 7) -> Model:
     """The field and its lexicon from text and lang of the documents that aren't held out."""
     taught = _taught(docs)
@@ -337,8 +349,8 @@ def train(docs: DataFrame, lexicon: int = LEXICON, sample: int = DOCS, seed: int
     counts = C.scratch(_counted(taught), "counts")
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     number = {x: i for i, x in enumerate(langs)}
-    by_word = counts.groupBy("word").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    most = by_word.orderBy(F.desc("all"), "word").limit(lexicon).select("word", "by").collect()  # the model's bounded lexicon
+    by_word = C.scratch(counts.groupBy("word").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")), "words")
+    most = by_word.where(F.col("all") >= _least(by_word, lexicon)).select("word", "by").collect()  # at most as many as the lexicon has entries
     known = np.array([r["word"] for r in most], np.int64).view(np.uint64)
     odds = np.zeros((len(most), len(langs)), np.float64)
     for i, r in enumerate(most):

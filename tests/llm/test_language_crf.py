@@ -100,3 +100,15 @@ def test_nothing_to_learn_from(spark):
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
     one = language_crf.classify(spark.createDataFrame([(i, "some words", "aa") for i in range(8)], schema)).collect()
     assert {(r.lang_pred, r.score) for r in one} == {("aa", 1.0)}
+
+
+def test_lexicon_has_the_most_frequent_words(spark, model_and_docs):
+    from collections import Counter
+
+    _, docs, rows = model_and_docs
+    count = Counter(w for d, x, lang in rows if lang and zlib.crc32(str(d).encode()) % 4 != 2 for w in x.lower().split())
+    for most in (0, 1, 10, 200, 1 << 16):
+        least = min((n for n in count.values() if sum(m >= n for m in count.values()) <= most), default=1 << 62)
+        assert len(language_crf.train(docs, lexicon=most, sample=5).known) == sum(n >= least for n in count.values()) <= most
+    big = spark.createDataFrame([(i, n) for i, n in enumerate([3, 4096, 5000, 5001, 9000, 10**9])], "word long, all long")
+    assert [big.where(F.col("all") >= language_crf._least(big, k)).count() for k in range(7)] == [0, 1, 2, 2, 4, 5, 6]
