@@ -17,7 +17,7 @@ from subtide.functions import text
 from subtide.operators import relational as rel
 from subtide.operators import rules, scan
 from subtide.plans import names, report, review, stages
-from subtide.sources import sinks, srt
+from subtide.sources import sinks, srt, versions
 
 from .catalogue import LINES, lines, query, table, turn_cues
 
@@ -446,6 +446,16 @@ def stage_results(spark, sf_dir):
     return stages.run(d, plan, folder, force_from=2)[0]
 
 
+@query("""SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN upper(source) ELSE source END AS text FROM documents WHERE doc_id % 7 <> 0)""")
+def versioned_files(spark, sf_dir):
+    """Files after four commits: two thirds of them, all with a fifth changed, the same again, and without a seventh."""
+    path, d = shared.folder(spark), table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("text"))
+    changed = d.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text")))
+    for some in (d.where("doc_id % 3 <> 0"), changed, changed, changed.where("doc_id % 7 <> 0")):
+        versions.commit(some, path, replace=some is not changed)
+    return versions.current(spark, path).select("doc_id", "text", F.col("_version").alias("version"))
+
+
 # --- column functions ---------------------------------------------------------------------
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subtide.functions import text
+from subtide.sources import versions
 
 #: Fixed parts of an ASS file.
 ASS_HEAD = "[Script Info]\nTitle: {title}\nScriptType: v4.00+\nWrapStyle: 2\nScaledBorderAndShadow: yes\nYCbCr Matrix: TV.709\nPlayResX: 1920\nPlayResY: 1080\n\n[V4+ Styles]\n"
@@ -100,13 +103,8 @@ def bundle(cues: DataFrame) -> DataFrame:
     return shown(cues).groupBy("doc_id").agg(body.alias("bundle"))
 
 
-def write_changed(files: DataFrame, path: str) -> DataFrame:
-    """Append files (doc_id, text) whose content isn't the newest one there; old versions stay.  Returns all versions."""
-    spark = files.sparkSession
-    new = files.withColumn("hash", F.sha2("text", 256)).withColumn("at", F.current_timestamp())
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    old = spark.read.schema(new.schema).parquet(path) if there else spark.createDataFrame([], new.schema)
-    last = old.groupBy("doc_id").agg(F.max_by("hash", "at").alias("hash"))
-    new.join(last, ["doc_id", "hash"], "left_anti").write.mode("append").parquet(path)
-    return spark.read.schema(new.schema).parquet(path)
+def write_changed(files: DataFrame, path: str, volatile: Collection[str] = ()) -> DataFrame:
+    """Commits the files (doc_id, text) whose content isn't the newest one there; older versions stay.  Returns the newest files."""
+    versions.commit(files, path, volatile=volatile)
+    now = versions.current(files.sparkSession, path)
+    return now if now is not None else files.limit(0).withColumn("_version", F.lit(0))
