@@ -16,7 +16,7 @@ from subtide import shared
 from subtide.functions import text
 from subtide.operators import relational as rel
 from subtide.operators import rules, scan
-from subtide.plans import names, report, review, stages
+from subtide.plans import names, page, report, review, stages
 from subtide.sources import sinks, srt, versions
 
 from .catalogue import LINES, lines, query, table, turn_cues
@@ -456,6 +456,46 @@ def versioned_files(spark, sf_dir):
     return versions.current(spark, path).select("doc_id", "text", F.col("_version").alias("version"))
 
 
+def report_sections(spark: SparkSession, sf_dir: str) -> list[page.Section]:
+    """The datasets behind a file's report: its numbers, where it is from, what each role took, distribution, translation, findings, what to look at, cleaning, parsing, files, exports."""
+    docs, found, c = files(spark, sf_dir), rules.check(files(spark, sf_dir), READINGS), turn_cues(spark, sf_dir)
+    turns = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id"))
+    stats = report.document_stats(c)
+    translated = turns.select("doc_id", F.when(F.col("turn") % 3 == 0, "cache").when(F.col("turn") % 3 == 1, "provider").otherwise("kept").alias("source"))
+    s = segments(spark, sf_dir)
+    kept, dropped = report.clean_segments(s, cfg={"repeat_max": 0})
+    looked = c.withColumn("tokens", F.transform(F.filter("tokens", lambda t: F.array_contains(t["flags"], "NAME")), lambda t: t.withField("flags", F.array(F.lit("CASE_AMBIG")))))
+    parsed = srt.blocks(docs).where(F.col("line_count") != 4).select("doc_id", "block", "line_count")
+    return [
+        page.Section("summary", "Summary", stats.select("doc_id", "cues", "words", "name_tokens", "empty_cues")),
+        page.Section("source", "Source", turns.groupBy("doc_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("characters"))),
+        page.Section("timings", "Time by role", turns.groupBy("doc_id", "role").agg((F.sum(F.length("text")) / 10).alias("seconds"))),
+        page.Section("distribution", "Distribution", report.against_target(stats)),
+        page.Section("translation", "Translation", names.translation_counts(translated)),
+        page.Section("findings", "Findings", found.select("doc_id", "severity", "code", "cue_index", "message", "line"), [F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2), "cue_index", "code", "message"]),
+        page.Section("review", "To look at", rel.review_queue(looked).select("doc_id", "pos", "tok", "zh", "flag")),
+        page.Section("cleaning", "Cleaning", dropped.select("doc_id", "id", "reason", "text")),
+        page.Section("parsing", "Parsing", parsed),
+        page.Section("files", "Files", sinks.srt(c).select("doc_id", F.lit("srt").alias("kind"), F.length("text").alias("size"))),
+        page.Section("exports", "Exports", sinks.ass(c).select("doc_id", F.lit("ass").alias("kind"), F.sha2("text", 256).alias("sha256"))),
+    ]
+
+
+_COUNTED = """SELECT conv_id::VARCHAR AS doc_id, count(DISTINCT role) AS timings, sum(len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) > 9)))::BIGINT AS review, bool_or(regexp_matches(text, '[A-Za-z]')) AS shown FROM conversations GROUP BY conv_id"""
+
+
+@query(f"""WITH b AS (SELECT * FROM {BLOCKS}), f AS (SELECT doc_id::VARCHAR AS doc_id, sum(n) FILTER (n > 0)::BIGINT AS findings FROM ({_ALL}) GROUP BY doc_id), c AS ({_COUNTED}),
+e AS (SELECT doc_id::VARCHAR AS doc_id, count(*) FILTER (extra IS NOT NULL) AS parsing FROM b GROUP BY doc_id), k AS (SELECT doc_id::VARCHAR AS doc_id, count(*) FILTER (id % 7 >= 5) AS cleaning FROM {_SEGMENTS} GROUP BY doc_id)
+SELECT doc_id, 1::BIGINT AS summary, timings, 6::BIGINT AS distribution, coalesce(findings, 0) AS findings, review, coalesce(cleaning, 0) AS cleaning, parsing, CASE WHEN shown THEN 1 ELSE 0 END::BIGINT AS files,
+ 11 - (coalesce(findings, 0) = 0)::INT - (review = 0)::INT - (coalesce(cleaning, 0) = 0)::INT - (parsing = 0)::INT - 2 * (NOT shown)::INT AS cards,
+ 1 + 1 + timings + 6 + 1 + least(coalesce(findings, 0), 200) + least(review, 200) + least(coalesce(cleaning, 0), 200) + least(parsing, 200) + CASE WHEN shown THEN 2 ELSE 0 END + cards AS lines
+FROM c JOIN f USING (doc_id) JOIN e USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def report_pages(spark, sf_dir):
+    d = page.pages(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")), report_sections(spark, sf_dir))
+    n = lambda k: F.coalesce(F.col("counts")[k], F.lit(0)).cast("long").alias(k)
+    return d.select("doc_id", *map(n, ("summary", "timings", "distribution", "findings", "review", "cleaning", "parsing", "files")), F.size("counts").alias("cards"), F.regexp_count("html", F.lit("<tr>")).cast("long").alias("lines"))
+
+
 # --- column functions ---------------------------------------------------------------------
 
 
