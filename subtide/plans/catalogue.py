@@ -177,12 +177,25 @@ def silence_islands(spark, sf_dir):
     return d.groupBy("user_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_words"))
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT *, row_number() OVER o AS i, lead(start) OVER o AS next_start, lead("end") OVER o AS next_end, lead(length(word)) OVER o AS next_dense FROM {WORDS} WINDOW o AS (PARTITION BY user_id ORDER BY start, event_id)),
+r AS (SELECT user_id, 0::BIGINT AS i, '' AS text, NULL::DOUBLE AS start, NULL::DOUBLE AS fin, 0::BIGINT AS dense, 0::BIGINT AS n, NULL::DOUBLE AS first, NULL::VARCHAR AS reason FROM w WHERE i = 1 UNION ALL
+ SELECT user_id, i, text, start, fin, dense, n, first, CASE WHEN next_start IS NULL THEN 'eof' WHEN next_start - own_end > 7200 THEN 'silence' WHEN dense + next_dense > 60 OR next_end - first > 86400 THEN 'limit' END FROM (
+ SELECT w.user_id, w.i, CASE WHEN reason IS NULL THEN text ELSE '' END || word AS text, CASE WHEN reason IS NULL THEN least(r.start, w.start) ELSE w.start END AS start, CASE WHEN reason IS NULL THEN greatest(fin, w."end") ELSE w."end" END AS fin,
+  CASE WHEN reason IS NULL THEN dense ELSE 0 END + length(word) AS dense, CASE WHEN reason IS NULL THEN n ELSE 0 END + 1 AS n, CASE WHEN reason IS NULL THEN coalesce(first, w.start) ELSE w.start END AS first, next_start, next_end, next_dense, w."end" AS own_end
+ FROM r JOIN w ON w.user_id = r.user_id AND w.i = r.i + 1))
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i) AS index, start, fin AS "end", text, reason, n AS n_words FROM r WHERE reason IS NOT NULL""")
 def cue_pack(spark, sf_dir):
     return seq.cue_pack(words(spark, sf_dir), ["user_id"], ["start", "event_id"], {"max_duration": 86400.0, "silence": 7200.0, "max_chars": 30})
 
 
-@query()
+_MS = lambda x: f"round_even(({x}) * 1000, 0) / 1000"
+_TIMED = lambda rows: f"""SELECT user_id, i, a, CASE WHEN b <= a THEN {_MS('a + 0.01')} ELSE b END AS b FROM (SELECT *, {_MS('s')} AS a, {_MS('greatest(want, s + 0.01)')} AS b FROM (
+ SELECT *, CASE WHEN nxt IS NULL THEN greatest(e, s + 60) ELSE least(greatest(e, s + 60), greatest(e, nxt)) END AS want FROM (SELECT *, greatest(fin, s) AS e FROM ({rows}))))"""
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT user_id, start, "end" AS fin, row_number() OVER o AS i, lead(start) OVER o AS nxt FROM {WORDS} WINDOW o AS (PARTITION BY user_id ORDER BY start, event_id)),
+r AS ({_TIMED('SELECT *, start AS s FROM w WHERE i = 1')} UNION ALL {_TIMED('SELECT w.user_id, w.i, w.fin, w.nxt, greatest(w.start, r.b) AS s FROM r JOIN w ON w.user_id = r.user_id AND w.i = r.i + 1')})
+SELECT user_id, i::INT AS index, a AS start, b AS "end" FROM r""")
 def enforce_timing(spark, sf_dir):
     return seq.enforce_timing(words(spark, sf_dir), ["user_id"], ["start", "event_id"], {"min_duration": 60.0})
 

@@ -175,3 +175,27 @@ def quote_parity(spark, sf_dir):
     d = words_of_turns(spark, sf_dir).select("conv_id", "turn", F.posexplode("w").alias("k", "w")).where("k % 3 = 0")
     d = d.select("conv_id", "turn", F.col("k").cast("long").alias("k"), F.expr(_MARK.replace("'\"'", "'\\\"'")).alias("mark"))
     return seq.quote_side(d, ["conv_id", "turn"], ["k"]).select("conv_id", "turn", "k", "side")
+
+
+# --- cues from words ----------------------------------------------------------------------
+
+#: Words with their marks: vowels are Han, digits a letter; half a second each, a pause after every 37th.
+_SAID = "translate(regexp_replace(lower(x), '[0-9]', 'x', 'g'), 'aeiou', '一二三四五') || ' '"
+_ENDS, _PAUSE = ("[" + "".join(m) + "]" for m in (R.ENDERS, R.PAUSES))
+_TAIL = "^\\s*[" + "".join("\\" + c if c in "]\\^-[" else c for c in R.TRAILING_MARKS.replace("'", "''")) + "]+\\s*$"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, unnest(range(len(l))) AS k, unnest(l) AS x FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \n]+') AS l FROM conversations)),
+s AS (SELECT conv_id, turn, k, {_SAID} AS word, k * 0.5::DOUBLE + (k // 37) * 2 AS start FROM t),
+v AS (SELECT *, start + 0.4::DOUBLE AS fin, len(regexp_extract_all(word, '[一二三四五]')) AS han, length(regexp_replace(word, '\\s', '', 'g')) AS dense, regexp_matches(word, '{_ENDS}') AS ends, regexp_matches(word, '{_PAUSE}') AS pause, regexp_matches(word, '{_TAIL}') AS tail FROM s),
+w AS (SELECT *, row_number() OVER o AS i, lead(start) OVER o AS n_start, lead(fin) OVER o AS n_fin, lead(han) OVER o AS n_han, lead(dense) OVER o AS n_dense, lead(tail) OVER o AS n_tail FROM v WINDOW o AS (PARTITION BY conv_id, turn ORDER BY k)),
+r AS (SELECT conv_id, turn, 0::BIGINT AS i, '' AS text, NULL::DOUBLE AS start, NULL::DOUBLE AS fin, 0::BIGINT AS han, 0::BIGINT AS dense, 0::BIGINT AS n, '' AS reason FROM w WHERE i = 1 UNION ALL
+ SELECT conv_id, turn, i, text, start, fin, han, dense, n, CASE WHEN n_start IS NULL THEN 'eof' WHEN n_tail THEN NULL WHEN ends THEN 'end' WHEN pause AND han >= 5 THEN 'pause' WHEN n_start - fin > 0.3 THEN 'silence' WHEN han + n_han > 18 OR dense + n_dense > 36 OR n_fin - start > 6 THEN 'limit' END FROM (
+ SELECT w.conv_id, w.turn, w.i, CASE WHEN reason IS NULL THEN text ELSE '' END || word AS text, CASE WHEN reason IS NULL THEN r.start ELSE w.start END AS start, w.fin, CASE WHEN reason IS NULL THEN r.han ELSE 0 END + w.han AS han,
+  CASE WHEN reason IS NULL THEN r.dense ELSE 0 END + w.dense AS dense, CASE WHEN reason IS NULL THEN n ELSE 0 END + 1 AS n, n_start, n_fin, n_han, n_dense, n_tail, ends, pause FROM r JOIN w ON w.conv_id = r.conv_id AND w.turn = r.turn AND w.i = r.i + 1))
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS index, start, fin AS "end", trim(text) AS text, reason, n AS n_words FROM r WHERE reason <> '' """)
+def cue_pack_turns(spark, sf_dir):
+    said = F.transform(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0)), lambda x: F.concat(F.translate(F.regexp_replace(F.lower(x), "[0-9]", "x"), "aeiou", "一二三四五"), F.lit(" ")))
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(said).alias("k", "word"))
+    d = d.withColumn("start", F.col("k") * F.lit(0.5) + F.floor(F.col("k") / 37) * 2).withColumn("end", F.col("start") + 0.4)
+    return seq.cue_pack(d, ["conv_id", "turn"], ["k"]).select("conv_id", "turn", "index", "start", "end", "text", "reason", "n_words")
