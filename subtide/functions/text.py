@@ -127,3 +127,68 @@ def video_id(source: Column) -> Column:
     found = F.regexp_extract(source, r"(?:v=|youtu\.be/|/shorts/|/embed/|/live/)([A-Za-z0-9_-]{11})", 1)
     slug = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(source, r"^.*/|\.[A-Za-z0-9]+$", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(found != "", found).otherwise(F.concat_ws("-", F.nullif(F.substr(slug, F.lit(1), F.lit(40)), F.lit("")), F.substr(F.sha1(source.cast("binary")), F.lit(1), F.lit(8))))
+
+
+_VOWELS = "aoeiuü"
+_MARKED = "āáǎàōóǒòēéěèīíǐìūúǔùǖǘǚǜ"
+_COMBINING = "\u0304\u0301\u030c\u0300"
+_LETTER_OF = "".join(v * 4 for v in _VOWELS)
+
+
+def tone_of(pinyin: Column, last: bool = False) -> Column:
+    """Tone of the first (or last) marked letter; 5 without a mark, 0 for an empty text."""
+    marks = f"[{_MARKED}{_MARKED.upper()}]"
+    found = F.regexp_extract(F.reverse(pinyin) if last else pinyin, marks, 0)
+    place = F.instr(F.lit(_MARKED), F.lower(found))
+    return F.when(pinyin == "", 0).when(found == "", 5).otherwise((place - 1) % 4 + 1).cast("int")
+
+
+def without_tones(pinyin: Column) -> Column:
+    """Plain letters in the case that they have; ü stays."""
+    return F.translate(pinyin, _MARKED + _MARKED.upper(), _LETTER_OF + _LETTER_OF.upper())
+
+
+def set_tone(syllable: Column, tone: Column | int) -> Column:
+    """One syllable with a tone (none for other numbers than 1 to 4): the mark goes to a, o, e, the second of iu and ui, or the last vowel."""
+    tone = F.lit(tone) if isinstance(tone, int) else tone
+    base = without_tones(syllable)
+    low = F.lower(base)
+    first = lambda c: F.nullif(F.instr(low, F.lit(c)), F.lit(0))
+    last = lambda pattern: F.nullif(F.length(F.regexp_extract(low, f"^.*{pattern}", 0)), F.lit(0))
+    at = F.coalesce(first("a"), first("o"), first("e"), last("iu"), last("ui"), last(f"[{_VOWELS}v]"))
+    vowel = F.substr(base, at, F.lit(1))
+    small = F.instr(F.lit(_VOWELS), F.lower(vowel))
+    one = F.substr(F.lit(_MARKED), (small - 1) * 4 + tone, F.lit(1))
+    marked = F.when(small == 0, F.concat(vowel, F.substr(F.lit(_COMBINING), tone, F.lit(1)))).when(vowel == F.lower(vowel), one).otherwise(F.upper(one))
+    return F.when(at.isNull() | ~tone.between(1, 4), base).otherwise(F.concat(F.substr(base, F.lit(1), at - 1), marked, F.substring(base, at + 1, F.length(base))))
+
+
+def drop_er(pinyin: Column) -> Column:
+    """Without a last syllable er, where what is left ends as a syllable does."""
+    return F.when(F.lower(without_tones(pinyin)).rlike("(?:[aoeiuüvn]|ng)er$"), F.substring(pinyin, F.lit(1), F.length(pinyin) - 2)).otherwise(pinyin)
+
+
+def erhua_pinyin(pinyin: Column) -> Column:
+    """The short spelling of a word with the suffix 儿."""
+    stem = drop_er(pinyin)
+    return F.when((stem == "") | F.lower(stem).endswith("r"), stem).otherwise(F.concat(stem, F.lit("r")))
+
+
+def simplified(text: Column, table: dict[str, str]) -> Column:
+    """Characters of a table by their simple ones."""
+    return F.translate(text, "".join(table), "".join(table.values())) if table else text
+
+
+def safe_stem(name: Column, fallback: str = "output") -> Column:
+    """A file name's stem for any file system: no reserved or control characters, 120 characters, 200 bytes.  (Composed text is expected.)"""
+    shown = F.regexp_replace(F.coalesce(name, F.lit("")), r'[<>:"/\\|?*]|\p{C}', " ")
+    tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[ .]+|[ .]+$", "")
+    cut = F.left(tidy(shown), F.lit(120))
+    fits = F.array_max(F.filter(F.sequence(F.lit(0), F.length(cut)), lambda n: F.octet_length(F.left(cut, n)) <= 200))
+    short = tidy(F.when(F.octet_length(cut) > 200, F.left(cut, fits)).otherwise(cut))
+    return F.when(short == "", fallback).otherwise(short)
+
+
+def flag_union(flags: Column, *more: str) -> Column:
+    """Flags in the order in which they came, each once."""
+    return F.array_union(F.coalesce(flags, F.array().cast("array<string>")), F.array(*[F.lit(x) for x in more]).cast("array<string>"))

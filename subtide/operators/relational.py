@@ -108,9 +108,15 @@ def summary(findings: DataFrame) -> DataFrame:
 
 
 def report_order(findings: DataFrame) -> DataFrame:
-    """Severity, then cue (none last), then code."""
+    """``place`` from 1 within a document: by severity, then cue (none last), then code and message."""
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2)
-    return findings.orderBy("doc_id", rank, F.col("cue_index").asc_nulls_last(), "code", "message")
+    w = Window.partitionBy("doc_id").orderBy(rank, F.col("cue_index").asc_nulls_last(), "code", "message")
+    return findings.withColumn("place", F.row_number().over(w))
+
+
+def code_histogram(findings: DataFrame) -> DataFrame:
+    """Findings of each code, the most frequent first (``place``), then by code: a row for each code."""
+    return findings.groupBy("code").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "code")))
 
 
 def dedupe(findings: DataFrame, order: Sequence[str] = ("line",)) -> DataFrame:
@@ -157,8 +163,14 @@ def peaks(samples: DataFrame, part: Sequence[str], window: Column, value: str) -
     return per.withColumn("level", F.when(top > 0, F.rint(F.col("peak") * 255 / top).cast("int")).otherwise(0))
 
 
-def case_agreement(fixed: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Share of lines whose first letter has the reference's case."""
+def case_agreement(fixed: DataFrame, reference: DataFrame, keys: Sequence[str], part: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """Share of lines whose first letter has the reference's case.
+
+    With ``part`` and ``order``, lines after one that ends in an ellipsis aren't compared: either case is right there.
+    """
+    if order:
+        after = F.coalesce(F.rtrim(F.lag("line").over(Window.partitionBy(*part).orderBy(*order))), F.lit(""))
+        fixed = fixed.withColumn("_open", after.endswith(R.ELLIPSIS)).where(~F.col("_open"))
     first = lambda c: F.regexp_extract(c, r"\p{L}", 0)
     both = fixed.select(*keys, first(F.col("line")).alias("a")).join(reference.select(*keys, first(F.col("line")).alias("b")), list(keys))
     same = (F.upper("a") == F.col("a")) == (F.upper("b") == F.col("b"))

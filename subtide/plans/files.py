@@ -19,7 +19,7 @@ from subtide.operators import rules, scan
 from subtide.plans import names, page, report, review, stages
 from subtide.sources import sinks, srt, versions
 
-from .catalogue import LINES, lines, query, table, turn_cues
+from .catalogue import LINES, LINT, lines, lint, query, table, turn_cues
 
 #: Readings for the one character that is judged.
 READINGS = {"好": ["hǎo", "hào"]}
@@ -342,10 +342,10 @@ def merged_names(spark, sf_dir):
     return names.merge_names(a, b).select(F.col("han").alias("doc_id"), F.col("type").alias("lang"), "count", "vi")
 
 
-@query(f"""SELECT count(*) AS compared, avg((upper(a) = a)::INT) AS agreement FROM (SELECT regexp_extract(line, '\\p{{L}}') AS a FROM {LINES}) WHERE a <> ''""")
+@query(f"""SELECT count(*) AS compared, avg((upper(a) = a)::INT) AS agreement FROM (SELECT regexp_extract(line, '\\p{{L}}') AS a, coalesce(lag(length(line)) OVER (PARTITION BY doc_id ORDER BY line_no), 1) AS before FROM {LINES}) WHERE a <> '' AND before % 4 <> 0""")
 def case_agreement(spark, sf_dir):
-    d = lines(spark, sf_dir)
-    return rel.case_agreement(d, d.withColumn("line", F.upper("line")), ["doc_id", "line_no"])
+    d = lines(spark, sf_dir).withColumn("line", F.when(F.length("line") % 4 == 0, F.concat("line", F.lit("…… "))).otherwise(F.col("line")))
+    return rel.case_agreement(d, d.withColumn("line", F.upper("line")), ["doc_id", "line_no"], ["doc_id"], ["line_no"])
 
 
 @query("SELECT han, vi FROM (SELECT p_name || ' ' || p_partkey AS han, p_brand AS vi FROM part) WHERE trim(vi) <> '' ORDER BY length(han) DESC, han LIMIT 120")
@@ -499,6 +499,61 @@ def report_pages(spark, sf_dir):
 # --- column functions ---------------------------------------------------------------------
 
 
+@query(f"""SELECT doc_id, code, line_no AS cue_index, row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, line_no NULLS LAST, code) AS place FROM
+(SELECT doc_id, code, CASE WHEN code < 'E' THEN 'warn' WHEN code < 'P' THEN 'info' ELSE 'error' END AS severity, CASE WHEN n % 5 = 0 THEN NULL ELSE line_no END AS line_no FROM {LINT} WHERE n > 0) QUALIFY line_no IS NOT NULL""")
+def findings_in_order(spark, sf_dir):
+    f = lint(spark, sf_dir).where("n > 0").select("doc_id", "code", F.when(F.col("code") < "E", "warn").when(F.col("code") < "P", "info").otherwise("error").alias("severity"), F.when(F.col("n") % 5 != 0, F.col("line_no")).alias("cue_index"), F.lit("").alias("message"))
+    return rel.report_order(f).where("cue_index is not null").select("doc_id", "code", "cue_index", F.col("place").cast("long").alias("place"))
+
+
+@query(f"SELECT code, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, code) AS place FROM {LINT} WHERE n > 0 GROUP BY code")
+def findings_by_code(spark, sf_dir):
+    return rel.code_histogram(lint(spark, sf_dir).where("n > 0")).select("code", "n", F.col("place").cast("long").alias("place"))
+
+
+#: Beginnings of words, in the case that they have: vowels in all places, v for ü.
+_SYLLABLES = "(SELECT DISTINCT left(x, 4) AS s FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS x FROM documents))"
+_AT = "coalesce(nullif(strpos(lower(s), 'a'), 0), nullif(strpos(lower(s), 'o'), 0), nullif(strpos(lower(s), 'e'), 0), nullif(length(regexp_extract(lower(s), '^.*iu')), 0), nullif(length(regexp_extract(lower(s), '^.*ui')), 0), nullif(length(regexp_extract(lower(s), '^.*[aoeiuv]')), 0))"
+
+
+@query(f"""SELECT s, t::INT AS tone, CASE WHEN p IS NULL OR t = 5 THEN s WHEN v IN ('v', 'V') THEN left(s, p - 1) || v || ['̄', '́', '̌', '̀'][t] || substr(s, p + 1) ELSE left(s, p - 1) || translate(v, 'aeiouAEIOU', ['āēīōūĀĒĪŌŪ', 'áéíóúÁÉÍÓÚ', 'ǎěǐǒǔǍĚǏǑǓ', 'àèìòùÀÈÌÒÙ'][t]) || substr(s, p + 1) END AS toned,
+CASE WHEN p IS NULL OR t = 5 OR v IN ('v', 'V') THEN 5 ELSE t END::INT AS read FROM (SELECT *, substr(s, p, 1) AS v FROM (SELECT s, {_AT} AS p, unnest(range(1, 6)) AS t FROM {_SYLLABLES}))""")
+def tones_written(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("x")).select(F.left("x", F.lit(4)).alias("s")).distinct()
+    d = d.select("s", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("tone")).withColumn("toned", text.set_tone(F.col("s"), F.col("tone")))
+    return d.select("s", "tone", "toned", text.tone_of(F.col("toned")).alias("read"))
+
+
+@query("""SELECT x, k, CASE WHEN regexp_matches(lower(y), '([aeiouvn]|ng)[eé]r$') THEN left(y, length(y) - 2) || CASE WHEN lower(left(y, length(y) - 2)) LIKE '%r' THEN '' ELSE 'r' END WHEN lower(y) LIKE '%r' OR y = '' THEN y ELSE y || 'r' END AS short
+FROM (SELECT x, k, x || ['', 'er', 'ér', 'Er'][k] AS y FROM (SELECT DISTINCT x, unnest(range(1, 5)) AS k FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS x FROM documents)))""")
+def erhua_spelling(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("x")).distinct()
+    d = d.select("x", F.posexplode(F.array(*[F.lit(e) for e in ("", "er", "ér", "Er")])).alias("k", "e"))
+    return d.select("x", (F.col("k") + 1).cast("long").alias("k"), text.erhua_pinyin(F.concat("x", "e")).alias("short"))
+
+
+@query(f"SELECT doc_id, line_no, translate(line, 'aeiou', '个们来国说') AS line FROM {LINES}")
+def simplified_lines(spark, sf_dir):
+    written = F.translate("line", "aeiou", "個們來國說")
+    return lines(spark, sf_dir).select("doc_id", "line_no", text.simplified(written, dict(zip("個們來國說", "个们来国说", strict=True))).alias("line"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN c = '' THEN 'output' ELSE regexp_replace(c, '[ .]+$', '') END AS stem FROM (SELECT doc_id, CASE WHEN strlen(c) > 200 THEN left(c, list_max(list_filter(range(0, 121), lambda n: strlen(left(c, n::INT)) <= 200))::INT) ELSE c END AS c FROM (
+SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(translate(t, '<>:"/\|?*', '         '), '[\x00-\x1f]', ' ', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), 120) AS c FROM (
+SELECT doc_id, ' ..' || replace(translate(left(text, 60 + doc_id % 90), 'aeiou', '好们é/:'), chr(10), chr(9)) || '?' AS t FROM documents)))""")
+def safe_stems(spark, sf_dir):
+    name = F.concat(F.lit(" .."), F.translate(F.translate(F.left("text", (60 + F.col("doc_id") % 90).cast("int")), "aeiou", "好们é/:"), "\n", "\t"), F.lit("?"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.safe_stem(name).alias("stem"))
+
+
+@query("""SELECT doc_id, list_aggregate(list_distinct(list_concat(CASE WHEN quality = 0 THEN ['NAME'] ELSE [] END, CASE WHEN toxic = 1 THEN ['HETERONYM'] ELSE [] END, ['AI_APPLIED', 'NAME'])), 'count') AS n, quality = 0 AS named FROM labels""")
+def flags_united(spark, sf_dir):
+    flags = F.array_compact(F.array(F.when(F.col("quality") == 0, "NAME"), F.when(F.col("toxic") == 1, "HETERONYM")))
+    d = table(spark, sf_dir, "labels").select("doc_id", "quality", text.flag_union(flags, "AI_APPLIED", "NAME").alias("f"))
+    return d.select("doc_id", F.size("f").cast("long").alias("n"), (F.element_at("f", 1) == "NAME").alias("named"))
+
+
+
 @query(f"SELECT doc_id, line_no, lower(line) AS bare, replace(regexp_replace(lower(line), '[^a-z]', '', 'g'), 'v', 'u') AS key FROM {LINES} WHERE regexp_matches(line, '^[ -~]*$')")
 def tones_stripped(spark, sf_dir):
     toned = F.translate("line", "aeiou", "āéǐòǔ")

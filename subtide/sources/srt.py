@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import re
 import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide import resources as R
@@ -256,8 +258,7 @@ def names(tables: DataFrame) -> DataFrame:
     schema = "doc_id string, corrupt boolean, han string, split array<string>, pinyin array<string>, type string, reason string, count int, vi string"
 
     def make(doc, body):
-        import json
-
+    
         try:
             data = json.loads(body)
         except ValueError:
@@ -282,8 +283,35 @@ def _name(doc, han: str, value) -> tuple:
 
 def config(overrides: Mapping | None = None, profile: str | None = None) -> dict:
     """Defaults, a profile and overrides, maps merged and lists replaced."""
-
-    def merge(a, b):
-        return {**a, **{k: merge(a[k], v) if isinstance(v, Mapping) and isinstance(a.get(k), Mapping) else v for k, v in b.items()}}
-
-    return merge(merge(R.DEFAULTS, R.PROFILES.get(profile or "", {})), overrides or {})
+    return merged(R.DEFAULTS, R.PROFILES.get(profile or "", {}), overrides or {})
+
+
+def config_from(spark: SparkSession, path: str, overrides: Mapping | None = None, profile: str | None = None) -> dict:
+    """The configuration of a JSON or YAML file over the defaults, its own ``profiles`` over the built-in ones; a missing or broken file counts as empty."""
+    try:
+        body = spark.read.text(path, wholetext=True).first()["value"]
+        given = json.loads(body) if path.endswith(".json") else _yaml(body)
+    except Exception as e:  # noqa: BLE001  (what isn't there or can't be read is not there)
+        logging.getLogger(__name__).warning("%s isn't read: %s", path, e)
+        given = {}
+    given = dict(given) if isinstance(given, Mapping) else {}
+    profiles = given.pop("profiles", None) or {}
+    own = profiles.get(profile or "", {}) if isinstance(profiles, Mapping) else {}
+    return merged(config(None, profile), given, own, overrides or {})
+
+
+def merged(*parts: Mapping) -> dict:
+    """Later parts over earlier ones: maps merge, lists and values replace."""
+    out: dict = {}
+    for part in parts:
+        for k, v in part.items():
+            out[k] = merged(out[k], v) if isinstance(v, Mapping) and isinstance(out.get(k), Mapping) else v
+    return out
+
+
+def _yaml(body: str) -> object:
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("no YAML reader is installed; use a JSON file") from e
+    return yaml.safe_load(body)

@@ -122,3 +122,41 @@ def test_segmentation_prefers_words_and_keeps_names():
 
 def test_similarity():
     assert lang.similarity("好。", "好，") == 1.0 and lang.similarity("", "好") == 0.0 and 0 < lang.similarity("我们走吧", "我们来吧") < 1
+
+
+def test_column_functions_equal_the_plain_ones(spark):
+    from pyspark.sql import functions as F
+
+    from subtide.functions import lang, text
+    from subtide.plans import report
+
+    rng = random.Random(7)
+    parts = ["a", "ou", "iu", "ui", "lü", "Nǐ", "hǎo", "er", "ér", "ng", "zh", "Xiu", "n", "r", "ǚ", "É"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(300)] + ["", "m", "er", "r"]
+    d = spark.createDataFrame([(w, i % 6) for i, w in enumerate(words)], "w string, t int")
+    got = d.select("w", "t", text.tone_of(F.col("w")).alias("a"), text.tone_of(F.col("w"), True).alias("z"), text.set_tone(F.col("w"), F.col("t")).alias("s"), text.erhua_pinyin(F.col("w")).alias("e")).collect()
+    for r in got:
+        assert (r["a"], r["z"], r["s"], r["e"]) == (lang.tone_of(r["w"]), lang.tone_of(r["w"], True), lang.set_tone(r["w"], r["t"]), lang.erhua_pinyin(r["w"])), r
+    names = ["a<b>:c\x00d. ", "", None, "好" * 300, "x" * 130, ". .", "é" * 119 + "好好", " a  b\t"]
+    stems = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", text.safe_stem(F.col("n")).alias("s"))
+    assert {r["i"]: r["s"] for r in stems.collect()} == {i: report.safe_stem(n) for i, n in enumerate(names)}
+    flags = spark.createDataFrame([(["NAME"],), (None,), (["B", "A"],)], "f array<string>").select(text.flag_union(F.col("f"), "A", "NAME").alias("u"))
+    assert [r["u"] for r in flags.collect()] == [["NAME", "A"], ["A", "NAME"], ["B", "A", "NAME"]]
+
+
+def test_other_encodings_and_configuration_files(spark, tmp_path):
+    import json
+
+    from subtide.sources import srt
+
+    line = "1\r\n00:00:01,000 --> 00:00:02,000\r\n中文。\r\n"
+    for name in ("utf-8-sig", "utf-16", "gb18030", "utf-8"):
+        assert srt.decode_bytes(line.encode(name)) == line.replace("\r\n", "\n")
+    assert srt.decode_bytes("一二".encode("big5") + b"\xfa\x40\x20\xff\xff") and srt.decode_bytes(b"caf\xe9 \x80\xff \x81") and srt.decode_bytes("é".encode("cp1252")) == "é"
+    path = str(tmp_path / "c.json")
+    (tmp_path / "c.json").write_text(json.dumps({"cue": {"max_chars": 9}, "tokenize": {"heteronyms": "好"}, "profiles": {"own": {"cue": {"silence": 9.0}}}}))
+    got = srt.config_from(spark, path, {"sandhi": {"yi": True}}, "own")
+    want = srt.config()
+    assert got["cue"] == want["cue"] | {"max_chars": 9, "silence": 9.0} and got["tokenize"]["heteronyms"] == "好" and got["sandhi"]["yi"] and "profiles" not in got
+    (tmp_path / "broken.json").write_text("{")
+    assert srt.config_from(spark, str(tmp_path / "broken.json")) == want == srt.config_from(spark, str(tmp_path / "none.json"))
