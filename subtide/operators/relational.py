@@ -83,23 +83,24 @@ def verified_names(names: DataFrame, texts: DataFrame, han: str = "han", text: s
 def split_names(lines: DataFrame, part: Sequence[str], line: str, words: str, longest: int = 4, letters: int = 6) -> DataFrame:
     """Runs of 2 to ``longest`` words (an array) of a line that are written as one word elsewhere in the group: the first place of each.
 
-    A group (a document) is one row after one aggregate: its runs and its words meet
-    there, and only the hits come out as rows.
+    Only runs of at most ``letters`` letters are written out, found by the lengths of their
+    words; they meet the group's words of that length in a join, so no group is gathered.
     """
-    groups = lines.groupBy(*part).agg(F.collect_list(F.struct(F.col(line).alias("line"), F.col(words).alias("w"))).alias("lines"))
-    groups = groups.withColumn("joined", F.array_distinct(F.filter(F.flatten(F.transform("lines", lambda x: x["w"])), lambda w: F.length(w) <= letters)))
+    d = lines.select(*part, F.col(line).alias("line"), F.col(words).alias("w"), F.transform(words, lambda x: F.length(x)).alias("size"))
+    none = F.array().cast("array<int>")
 
     def runs_of(k: int) -> Column:
-        of_line = lambda x: F.transform(F.sequence(F.lit(1), F.size(x["w"]) - (k - 1)), lambda i: F.struct(x["line"].alias("line"), i.alias("at"), F.slice(x["w"], i, F.lit(k)).alias("r")))
-        return F.flatten(F.transform(F.filter("lines", lambda x: F.size(x["w"]) >= k), of_line))
-
-    runs = F.flatten(F.array(*[runs_of(k) for k in range(2, longest + 1)]))
-    runs = F.filter(F.transform(runs, lambda r: F.struct(r["line"].alias("line"), r["at"].alias("at"), F.array_join(r["r"], "").alias("text"), F.array_join(r["r"], " ").alias("shown"))), lambda r: F.length(r["text"]) <= letters)
-    groups = groups.select(*part, "joined", runs.alias("runs"))
-    groups = groups.withColumn("both", F.array_intersect(F.transform("runs", lambda r: r["text"]), F.col("joined"))).where(F.size("both") > 0)
-    hits = groups.select(*part, F.explode(F.filter("runs", lambda r: F.array_contains("both", r["text"]))).alias("r")).select(*part, "r.*")
-    first = F.min(F.struct("line", "at", "shown")).alias("f")
-    return hits.groupBy(*part, "text").agg(first, F.count("*").alias("n")).select(*part, "text", "n", F.col("f.line").alias(line), "f.shown")
+        short = lambda i: sum((F.get("size", i + j) for j in range(k - 1)), F.get("size", i - 1)) <= letters
+        starts = F.when(F.size("w") >= k, F.filter(F.sequence(F.lit(1), F.size("w") - (k - 1)), short)).otherwise(none)
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i, F.lit(k)), "").alias("text"), F.array_join(F.slice("w", i, F.lit(k)), " ").alias("shown")))
+
+    runs = d.select(*part, "line", F.explode(F.flatten(F.array(*[runs_of(k) for k in range(2, longest + 1)]))).alias("r")).select(*part, "line", "r.*")
+    known = d.select(*[F.col(p).alias(f"_k_{p}") for p in part], F.explode(F.filter("w", lambda x: F.length(x) <= letters)).alias("_word")).distinct()
+    same = F.col("text") == F.col("_word")
+    for p in part:
+        same = same & F.col(p).eqNullSafe(F.col(f"_k_{p}"))
+    hits = runs.join(known, same, "left_semi")
+    return hits.groupBy(*part, "text").agg(F.min(F.struct("line", "at", "shown")).alias("f"), F.count("*").alias("n")).select(*part, "text", "n", F.col("f.line").alias(line), "f.shown")
 
 
 def summary(findings: DataFrame) -> DataFrame:

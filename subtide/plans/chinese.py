@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide import resources as R
-from subtide.functions import syllables
-from subtide.operators import readings, segmentation
+from subtide.functions import syllables, text
+from subtide.operators import readings, rules, segmentation
 from subtide.operators import sequence as seq
 from subtide.plans import report
+from subtide.sources import srt
 
 from .catalogue import LINES, lines, query, table
 
@@ -199,3 +200,78 @@ def cue_pack_turns(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(said).alias("k", "word"))
     d = d.withColumn("start", F.col("k") * F.lit(0.5) + F.floor(F.col("k") / 37) * 2).withColumn("end", F.col("start") + 0.4)
     return seq.cue_pack(d, ["conv_id", "turn"], ["k"]).select("conv_id", "turn", "index", "start", "end", "text", "reason", "n_words")
+
+
+# --- whole files with Han, tags, two faults a block and overlapping stamps ------------------
+
+_CORE = {"zh": f"translate(lower(words), '{LETTERS}', '{HAN}')", "py": "lower(words)"}
+#: Spacing and marks of a block go wrong independently of each other; a quarter of the blocks stand in tags.
+_BLOCK = (
+    "(doc_id * 7 + n * 5) % 5 AS space", "(doc_id * 3 + n * 11) % 8 AS mark", "(doc_id + n) % 4 = 0 AS tagged",
+    "10 * n - CASE WHEN (doc_id + n) % 6 = 0 AND n > 1 THEN 6 ELSE 0 END AS begin", "10 * n + 5 AS finish",
+)
+_END = "CASE mark WHEN 1 THEN ',' WHEN 2 THEN '…' WHEN 3 THEN '—' ELSE '' END"
+_PARTS = {
+    "zh": ("CASE WHEN space = 1 THEN ' ' ELSE '' END", "CASE WHEN tagged THEN '<i>' ELSE '' END", "CASE mark WHEN 5 THEN '- ' WHEN 6 THEN '-' ELSE '' END", _CORE["zh"], "CASE WHEN mark = 7 THEN ' 呢' ELSE '' END",
+           "CASE WHEN space = 3 THEN '  呢' ELSE '' END", _END, "CASE WHEN mark = 4 THEN '。' ELSE '' END", "CASE WHEN tagged THEN '</i>' ELSE '' END"),
+    "py": ("CASE WHEN tagged THEN '<i>' ELSE '' END", "CASE WHEN mark = 6 THEN '-' ELSE '' END", _CORE["py"], "CASE WHEN space = 3 THEN ' ne' ELSE '' END", _END, "CASE WHEN tagged THEN '</i>' ELSE '' END", "CASE WHEN space = 2 THEN ' ' ELSE '' END"),
+}
+_LINE = lambda side: "concat(" + ", ".join(_PARTS[side]) + ")"
+_HAN_BLOCKS = f"""(SELECT *, {_LINE('zh')} AS zh, {_LINE('py')} AS py FROM (SELECT *, {', '.join(_BLOCK)} FROM (SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS n,
+ CASE WHEN regexp_matches(text, '[A-Za-z]') THEN array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ') ELSE 'none' END AS words FROM conversations)))"""
+
+
+def han_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of ``_HAN_BLOCKS``: whole turns, their letters as Han and as pinyin."""
+    found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    d = table(spark, sf_dir, "conversations").selectExpr("conv_id AS doc_id", "cast(row_number() over (partition by conv_id order by turn) as int) AS n", "text")
+    d = d.select("doc_id", "n", F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise("none").alias("words"))
+    d = d.selectExpr("*", *_BLOCK)
+    return d.selectExpr("*", f"{_LINE('zh')} AS zh", f"{_LINE('py')} AS py")
+
+
+def han_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: a subtitle file for each conversation."""
+    d = han_blocks(spark, sf_dir)
+    stamp = F.concat(text.format_stamp(F.col("begin").cast("double")), F.lit(" --> "), text.format_stamp(F.col("finish").cast("double")))
+    body = F.concat_ws("\n", F.col("n").cast("string"), stamp, "zh", "py")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", body.alias("body")))), lambda x: x["body"]), "\n\n")
+    return d.groupBy("doc_id").agg(whole.alias("text"))
+
+
+_BARE = lambda side: f"trim(regexp_replace({side}, '<[^>]*>', '', 'g'))"
+_TURN = lambda side: f"({_BARE(side)} LIKE '-%')"
+_COUNT = lambda side: f"len(list_filter(string_split({_BARE(side)}, ' '), lambda x: regexp_matches(x, '\\p{{L}}')))"
+_MARKS = lambda side: f"regexp_replace({_BARE(side)}, '[^。，,…—]', '', 'g')"
+_RULES = {
+    "LEADING_SPACE": "(zh LIKE ' %')::INT + (py LIKE ' %')::INT",
+    "TRAILING_SPACE": "(zh LIKE '% ')::INT + (py LIKE '% ')::INT",
+    "DOUBLE_SPACE": "len(regexp_extract_all(zh, ' {2,}')) + len(regexp_extract_all(py, ' {2,}'))",
+    "ASCII_PUNCT": "len(regexp_extract_all(zh || py, '[,.?!:;]'))",
+    "ELLIPSIS_FORM": "len(list_filter(regexp_extract_all(zh || ' ' || py, '…+'), lambda x: length(x) <> 2))",
+    "DASH_FORM": "len(list_filter(regexp_extract_all(zh || ' ' || py, '—+'), lambda x: length(x) <> 2))",
+    "SPACE_AROUND_PUNCT": "len(regexp_extract_all(zh || '|' || py, '[。，…—] | [。，…—]'))",
+    "MARKER_SPACING": f"regexp_matches({_BARE('zh')}, '^-[^ ]')::INT + regexp_matches({_BARE('py')}, '^-[^ ]')::INT",
+    "CUM_MISMATCH": f"({_COUNT('zh')} <> {_COUNT('py')})::INT",
+    "PUNCT_SYNC": f"({_MARKS('zh')} <> {_MARKS('py')})::INT",
+    "MARKER_SYNC": f"({_TURN('zh')} <> {_TURN('py')})::INT",
+    "TIMESTAMP_ORDER": "coalesce(begin < max(finish) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)::INT",
+}
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, n AS cue, '{c}' AS code, ({x})::BIGINT AS n FROM b" for c, x in _RULES.items())
+
+
+#: Two to four words of a line that are one word elsewhere in the file, at their first place.
+_JOINED = " UNION ALL ".join(f"SELECT doc_id, n, {' || '.join(f'lead(w, {i}) OVER o' for i in range(k))} AS joined FROM w WINDOW o AS (PARTITION BY doc_id, n ORDER BY k)" for k in (2, 3, 4))
+
+
+@query(f"""WITH b AS (SELECT * FROM {_HAN_BLOCKS}), w AS (SELECT doc_id, n, unnest(range(len(l))) AS k, unnest(l) AS w FROM (SELECT doc_id, n, regexp_extract_all(zh, '[{HAN}呢]+') AS l FROM b)), j AS ({_JOINED}),
+s AS (SELECT doc_id, joined, min(n) AS cue FROM j JOIN (SELECT DISTINCT doc_id, w AS joined FROM w) USING (doc_id, joined) WHERE length(joined) <= 6 GROUP BY doc_id, joined)
+SELECT doc_id::VARCHAR AS doc_id, code, cue, n FROM ({_FOUND} UNION ALL SELECT doc_id, cue, 'NAME_INCONSISTENT', count(*) FROM s GROUP BY doc_id, cue) WHERE n > 0""")
+def han_findings(spark, sf_dir):
+    return rules.check(han_files(spark, sf_dir)).groupBy("doc_id", "code", F.col("cue_index").alias("cue")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS doc_id, n AS pos, begin::DOUBLE AS start, finish::DOUBLE AS \"end\", {_COUNT('zh')}::INT AS words FROM {_HAN_BLOCKS}")
+def han_cues(spark, sf_dir):
+    d = srt.cues(han_files(spark, sf_dir), True)
+    return d.select("doc_id", F.col("index").alias("pos"), "start", "end", F.size(F.filter("tokens", lambda t: t["kind"] == "word")).alias("words"))
