@@ -495,7 +495,7 @@ def source_ids(spark, sf_dir):
     return p.select("page_id", text.video_id(F.col("url")).alias("id"))
 
 
-# --- the format itself, on a small file -----------------------------------------------------
+# --- a small file for tests ---------------------------------------------------------------
 
 SAMPLE = (
     "1\n00:00:01,000 --> 00:00:02,500\n我 不 是 小孩 儿。\nWǒ bù shì xiǎohái ér。\n\n2\n00:00:02,000 --> 00:00:04,000\n- 你 好 -他 来 了\n- Nǐ hǎo - tā lái le\n\n"
@@ -506,29 +506,3 @@ READINGS = {"我": ["wǒ"], "不": ["bù"], "是": ["shì"], "小": ["xiǎo"], "
 
 def sample(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("sample", SAMPLE)], "doc_id string, text string")
-
-
-@query("""SELECT * FROM (VALUES ('sample', 1, 4), ('sample', 2, 4), ('sample', 3, 4), ('sample', 4, 5), ('sample', 5, 4)) t(doc_id, block, n_lines)""")
-def line_blocks(spark, sf_dir):
-    return srt.strict_blocks(sample(spark)).select("doc_id", F.col("block").cast("int").alias("block"), F.size("lines").alias("n_lines"))
-
-
-@query("""SELECT * FROM (VALUES ('BLOCK_SHAPE', 1), ('EMPTY_CUE', 1), ('ERHUA_SPLIT', 1), ('INDEX_SEQ', 1), ('MARKER_SPACING', 1), ('TIMESTAMP_FORMAT', 1), ('TIMESTAMP_ORDER', 1)) t(code, n)""")
-def check_sample(spark, sf_dir):
-    return rules.check(sample(spark), READINGS).groupBy("code").agg(F.count("*").cast("int").alias("n"))
-
-
-@query("""SELECT * FROM (VALUES ('sample', 5, 5, 3, 0, 2)) t(doc_id, cues, blocks, kept_pinyin, new_pinyin, resegmented)""")
-def fix_sample(spark, sf_dir):
-    return fix.fix(sample(spark), fix.Language(readings=READINGS)).select("doc_id", "cues", "blocks", "kept_pinyin", "new_pinyin", "resegmented")
-
-
-@query()
-def fix_then_check(spark, sf_dir):
-    return fix.fix_findings(fix.fix(sample(spark), fix.Language(readings=READINGS)), READINGS)
-
-
-@query()
-def emit_sample(spark, sf_dir):
-    c = srt.cues(sample(spark), True)
-    return sinks.srt(c).withColumn("kind", F.lit("srt")).unionByName(sinks.ass(c).withColumn("kind", F.lit("ass")))

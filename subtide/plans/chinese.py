@@ -13,8 +13,8 @@ from subtide import resources as R
 from subtide.functions import syllables, text
 from subtide.operators import readings, rules, segmentation
 from subtide.operators import sequence as seq
-from subtide.plans import report
-from subtide.sources import srt
+from subtide.plans import fix, report
+from subtide.sources import sinks, srt
 
 from .catalogue import LINES, lines, query, table
 
@@ -275,3 +275,45 @@ def han_findings(spark, sf_dir):
 def han_cues(spark, sf_dir):
     d = srt.cues(han_files(spark, sf_dir), True)
     return d.select("doc_id", F.col("index").alias("pos"), "start", "end", F.size(F.filter("tokens", lambda t: t["kind"] == "word")).alias("words"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 3 THEN ' ' ELSE line END AS line FROM {LINES}), i AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM l)
+SELECT doc_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY island))::INT AS block, count(*)::INT AS n_lines FROM i WHERE trim(line) <> '' GROUP BY doc_id, island""")
+def line_blocks(spark, sf_dir):
+    line = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 4 == 3, " ").otherwise(x))
+    d = srt.strict_blocks(table(spark, sf_dir, "documents").select("doc_id", F.array_join(line, "\n").alias("text")))
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("block").cast("int").alias("block"), F.size("lines").alias("n_lines"))
+
+
+@query(f"WITH b AS (SELECT * FROM {_HAN_BLOCKS}) SELECT code, count(DISTINCT doc_id) AS documents, sum(n)::BIGINT AS n FROM ({_FOUND}) WHERE n > 0 GROUP BY code")
+def check_sample(spark, sf_dir):
+    found = rules.check(han_files(spark, sf_dir)).where("code <> 'NAME_INCONSISTENT'")
+    return found.groupBy("code").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("n"))
+
+
+#: A block's pinyin is kept if each of its words splits into syllables and the lines have as many words; else it is made anew, from the editor's clusters if there are several.
+_ROUTES = f"""(SELECT *, {_COUNT('zh')} AS n_zh, {_COUNT('zh')} = {_COUNT('py')} AND len(list_filter(regexp_extract_all({_BARE('py')}, '[a-z]+'), lambda x: NOT regexp_full_match(x, '{_SYLLABIC}'))) = 0 AS kept FROM {_HAN_BLOCKS})"""
+
+
+@query(f"""SELECT doc_id::VARCHAR AS doc_id, count(*)::INT AS cues, count(*)::INT AS blocks, (count(*) FILTER (kept))::INT AS kept_pinyin, (count(*) FILTER (NOT kept AND n_zh > 1))::INT AS new_pinyin, (count(*) FILTER (NOT kept AND n_zh = 1))::INT AS resegmented FROM {_ROUTES} GROUP BY doc_id""")
+def fix_sample(spark, sf_dir):
+    return fix.fix(han_files(spark, sf_dir)).select("doc_id", "cues", "blocks", "kept_pinyin", "new_pinyin", "resegmented")
+
+
+@query(f"WITH b AS (SELECT * FROM {_HAN_BLOCKS}) SELECT doc_id::VARCHAR AS doc_id, code, cue, n FROM ({_FOUND}) WHERE n > 0 AND code = 'TIMESTAMP_ORDER'")
+def fix_then_check(spark, sf_dir):
+    """What a repair leaves: stamps that overlap, which it doesn't move, and names, which it doesn't join."""
+    found = rules.check(fix.fix(han_files(spark, sf_dir)).select("doc_id", "text")).where("code <> 'NAME_INCONSISTENT'")
+    return found.groupBy("doc_id", "code", F.col("cue_index").alias("cue")).agg(F.count("*").alias("n"))
+
+
+_OUT = "regexp_replace(replace(replace(replace(trim(regexp_replace(zh, ' {2,}', ' ', 'g')), ',', '，'), '…', '……'), '—', '——'), '^(<i>)?-([^ ])', '\\1- \\2')"
+_CLOCK = lambda x: f"printf('%02d:%02d:%02d,000', ({x}) // 3600, ({x}) // 60 % 60, ({x}) % 60)"
+
+
+@query(f"""SELECT doc_id::VARCHAR AS doc_id, string_agg(n || chr(10) || {_CLOCK('begin')} || ' --> ' || {_CLOCK('finish')} || chr(10) || {_OUT} || chr(10), chr(10) ORDER BY n) AS zh_file FROM {_HAN_BLOCKS} GROUP BY doc_id""")
+def emit_sample(spark, sf_dir):
+    files = sinks.srt(srt.cues(han_files(spark, sf_dir), True).withColumn("tokens", F.transform("tokens", lambda t: t.withField("pinyin", F.lit(None).cast("string")))))
+    # without readings the second line repeats the first one
+    once = F.transform(F.split(F.regexp_replace("text", "\n+$", ""), "\n\n"), lambda b: F.concat(F.array_join(F.slice(F.split(b, "\n"), 1, 3), "\n"), F.lit("\n")))
+    return files.select("doc_id", F.array_join(once, "\n").alias("zh_file"))
