@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from subtide import resources as R
 from subtide.operators import matching, scan
 
-#: A side is broadcast by hint only below this many rows (counted first); above, Spark chooses.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast by hint only below so many rows and bytes of text (both are looked at first); above, Spark chooses.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (the check reads one row more)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of ``size`` bytes together (the check reads one row more)."""
+    some = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
+    r = some.agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if r["n"] <= rows and (r["b"] or 0) <= size else df
 
 
 def positional_pair(left: DataFrame, right: DataFrame, part: Sequence[str], order: Sequence[str], columns: dict[str, str]) -> DataFrame:

@@ -16,7 +16,6 @@ from subtide import resources as R
 from subtide.functions import text
 from subtide.operators import matching
 from subtide.operators import relational as rel
-from subtide.operators import rules
 from subtide.operators import sequence as seq
 from subtide.plans import fix, names, report
 from subtide.sources import sinks, srt

@@ -13,7 +13,7 @@ from subtide import resources as R
 from subtide.functions import syllables, text
 from subtide.operators import readings, rules, segmentation
 from subtide.operators import sequence as seq
-from subtide.plans import fix, report
+from subtide.plans import fix, names, report
 from subtide.sources import sinks, srt
 
 from .catalogue import LINES, lines, query, table
@@ -317,3 +317,38 @@ def emit_sample(spark, sf_dir):
     # without readings the second line repeats the first one
     once = F.transform(F.split(F.regexp_replace("text", "\n+$", ""), "\n\n"), lambda b: F.concat(F.array_join(F.slice(F.split(b, "\n"), 1, 3), "\n"), F.lit("\n")))
     return files.select("doc_id", F.array_join(once, "\n").alias("zh_file"))
+
+
+# --- tokens of both lines, documents of either language -------------------------------------
+
+
+@query(f"""SELECT doc_id::VARCHAR AS doc_id, n AS pos, k, z[k + 1] AS zh, CASE WHEN kept THEN p[k + 1] END AS pinyin FROM (SELECT *, unnest(range(len(z))) AS k FROM (SELECT doc_id, n, kept, regexp_extract_all(zh, '[{HAN}呢]+') AS z, regexp_extract_all({_BARE('py')}, '[a-z]+') AS p FROM {_ROUTES}))""")
+def paired_tokens(spark, sf_dir):
+    d = srt.cues(han_files(spark, sf_dir), True)
+    d = d.select("doc_id", F.col("index").alias("pos"), F.posexplode(F.filter("tokens", lambda t: t["kind"] == "word")).alias("k", "t"))
+    return d.select("doc_id", "pos", F.col("k").cast("long").alias("k"), "t.zh", "t.pinyin")
+
+
+def vi_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one kind for each remainder of the conversation: Han, plain words in one line or two, Vietnamese letters, numbers alone."""
+    d = han_blocks(spark, sf_dir).withColumn("kind", F.col("doc_id") % 5)
+    stamp = F.concat(text.format_stamp(F.col("begin").cast("double")), F.lit(" --> "), text.format_stamp(F.col("finish").cast("double")))
+    plain = F.lower("words")
+    line = F.when(F.col("kind") == 0, F.concat_ws("\n", "zh", "py")).when(F.col("kind") == 1, plain).when(F.col("kind") == 2, F.when(F.col("n") % 3 == 1, plain).otherwise(F.concat_ws("\n", plain, plain)))
+    line = line.when(F.col("kind") == 3, F.concat_ws("\n", plain, F.concat(plain, F.lit(" được")))).otherwise("12 345")
+    body = F.concat_ws("\n", F.col("n").cast("string"), stamp, line)
+    return d.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", body.alias("body")))), lambda x: x["body"]), "\n\n").alias("text"))
+
+
+@query("""SELECT conv_id::VARCHAR AS doc_id, CASE conv_id % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN 2 * count(*) FILTER (n % 3 = 1) > count(*) WHEN 3 THEN true ELSE false END AS vi
+FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id""")
+def vietnamese_files(spark, sf_dir):
+    return rules.is_vietnamese(srt.sides(vi_files(spark, sf_dir))).select(F.col("doc_id").cast("string").alias("doc_id"), "vi")
+
+
+@query("SELECT conv_id AS doc_id, turn AS pos, text AS line, 'kept' AS source FROM conversations")
+def untranslated_lines(spark, sf_dir):
+    """What a translation without a service leaves: every line as it is."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("zh"))
+    cache = spark.createDataFrame([], "task string, model string, key string, value string")
+    return names.translate(c, cache, names.provider("unknown"))

@@ -2,7 +2,9 @@
 
 A stage is a function of the table before it; each is written as ``S<n>_<key>`` in the
 run's folder and read back.  A run reuses a stage's table if the table is complete, no
-stage before it ran anew, and the run isn't forced from that stage or an earlier one.
+stage before it ran anew, the run isn't forced from that stage or an earlier one, and source and
+version are those that the table was made from: the folder notes the source's fingerprint
+and each stage's version.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 
 
 class Stage(NamedTuple):
-    """``run(table) -> table``; ``option`` names the choice that leaves the stage out."""
+    """``run(table) -> table``; ``option`` names the choice that leaves the stage out, ``version`` what the function is: another one makes the table anew."""
 
     number: int
     key: str
     run: Callable[[DataFrame], DataFrame]
     option: str | None = None
+    version: str = ""
 
 
 def _path(folder: str, stage: Stage) -> str:
@@ -52,14 +55,26 @@ def changed_since(spark: SparkSession, folder: str, name: str, table: DataFrame)
     return before is not None and before["value"] != now
 
 
+def _noted(spark: SparkSession, path: str, value: str) -> bool:
+    """Whether a note with this value is there; notes it otherwise."""
+    if _exists(spark, f"{path}/_SUCCESS") and spark.read.schema("value string").parquet(path).first()["value"] == value:
+        return True
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").parquet(path)
+    return False
+
+
 def run(source: DataFrame, stages: Sequence[Stage], folder: str, force_from: int | None = None, skip: Collection[str] = ()) -> tuple[DataFrame, list[tuple[int, str, str]]]:
     """The last stage's table, and (number, key, what was done: skipped, reused, run) of each."""
     spark, table, log = source.sparkSession, source, []
+    if not _noted(spark, f"{folder}/source.fingerprint", fingerprint(source)):
+        force_from = min([s.number for s in stages], default=None)
     for stage in sorted(stages, key=lambda s: s.number):
         if stage.option in skip:
             log.append((stage.number, stage.key, "skipped"))
             force_from = stage.number if force_from is None and _exists(spark, _path(folder, stage)) else force_from  # later tables may rest on it
             continue
+        if not _noted(spark, f"{_path(folder, stage)}.version", stage.version):
+            force_from = stage.number if force_from is None else min(force_from, stage.number)
         if has_stage(spark, folder, stage, force_from):
             log.append((stage.number, stage.key, "reused"))
         else:

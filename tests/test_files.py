@@ -70,3 +70,16 @@ def test_stages_are_used_again(spark, tmp_path):
     (tmp_path / "S3_s3" / "_SUCCESS").unlink()  # a write that broke off
     assert [d for *_, d in stages.run(source, plan, folder)[1]][0] == "reused" and stages.has_stage(spark, folder, plan[2])
     assert not stages.changed_since(spark, folder, "names", spark.range(2)) and not stages.changed_since(spark, folder, "names", spark.range(2)) and stages.changed_since(spark, folder, "names", spark.range(3))
+
+
+def test_another_source_or_version_is_no_reuse(spark, tmp_path):
+    folder, ran = str(tmp_path / "r"), []
+
+    def plan(version="1"):
+        make = lambda n, v: stages.Stage(n, f"s{n}", lambda t: ran.append(n) or t.withColumn(f"c{n}", F.lit(v)), version=v)
+        return [make(1, "1"), make(2, version)]
+
+    done = lambda source, version="1": [x[2] for x in stages.run(source, plan(version), folder)[1]]
+    assert done(spark.range(5)) == ["run", "run"] and done(spark.range(5).orderBy(F.desc("id"))) == ["reused", "reused"]
+    assert done(spark.range(5), "2") == ["reused", "run"] and stages.run(spark.range(5), plan("2"), folder)[0].first()["c2"] == "2"
+    assert done(spark.range(6), "2") == ["run", "run"] and done(spark.range(6), "2") == ["reused", "reused"]

@@ -172,4 +172,6 @@ def test_against_sql(spark, sf_dir, name):
 
 def test_broadcast_is_checked(spark):
     assert "broadcast" in relational.small(spark.range(5))._jdf.queryExecution().logical().toString().lower()
+    wide = spark.range(5).withColumn("x", F.repeat(F.lit("x"), 100))
+    assert "broadcast" not in relational.small(wide, size=400)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in relational.small(spark.range(5), rows=3)._jdf.queryExecution().logical().toString().lower()
