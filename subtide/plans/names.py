@@ -13,10 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.functions import lang, text
-from subtide.operators import matching, relational
+from subtide import shared
+from subtide.functions import text
+from subtide.operators import matching, readings, relational
 from subtide.session import ship
 
+#: Misses that are numbered together, on average.
+GROUP = 100_000
+
 Provider = Callable[[str, list[dict]], list[dict]]  # (task, items) -> answers with their ids
 
 
@@ -61,22 +65,25 @@ def cached_answers(items: DataFrame, cache: DataFrame, task: str, model: str, ca
     """Items (id, payload) with answers from the cache or else the provider: id, key, answer, cached."""
     keyed = items.withColumn("key", text.cache_key(F.lit(task).alias("task"), F.lit(model).alias("model"), F.col("payload")))
     known, misses = relational.cache_split(keyed, cache.where((F.col("task") == task) & (F.col("model") == model)).select("key", F.col("value").alias("answer")))
-    asked = ask(relational.batches(misses.withColumn("_g", F.pmod(F.xxhash64("id"), F.lit(64))), ["_g"], ["id"], size).withColumn("batch", F.concat_ws(":", "_g", "batch")), task, call)
+    groups = max(64, -(-misses.count() // GROUP))  # batches are numbered within groups of bounded size
+    dealt = misses.withColumn("_g", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    asked = ask(relational.batches(dealt, ["_g"], ["id"], size).withColumn("batch", F.concat_ws(":", "_g", "batch")), task, call)
     fresh = misses.join(asked, "id").select("id", "key", "answer", F.lit(False).alias("cached"))
     return known.select("id", "key", "answer", F.lit(True).alias("cached")).unionByName(fresh)
 
 
-def detect_names(texts: DataFrame, proposals: DataFrame, readings: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Proposed names (han, split, pinyin, type) that stand in the transcript, re-spell themselves and can be read so, with their counts."""
-    ship(texts.sparkSession)
-    readings = readings or {}
-
-    @F.pandas_udf("boolean")
-    def readable(han: pd.Series, split: pd.Series, pinyin: pd.Series) -> pd.Series:
-        ok = lambda h, s, p: len(s) == len(p) and "".join(s) == h and all(lang.fits_reading(a, b, readings) for a, b in zip(s, p, strict=True))
-        return pd.Series([ok(h, list(s if s is not None else []), list(p if p is not None else [])) for h, s, p in zip(han, split, pinyin, strict=True)])
+def detect_names(texts: DataFrame, proposals: DataFrame, known: Mapping[str, Sequence[str]] | DataFrame | None = None) -> DataFrame:
+    """Proposed names (han, split, pinyin, type) that stand in the transcript, re-spell themselves and can be read so, with their counts.
 
-    found = proposals.dropDuplicates(["han"]).where(readable("han", "split", "pinyin")).drop("count")
+    ``known`` has readings (zh, pinyin), as a table or a map; what it can't judge can be read so.
+    """
+    part = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    found = proposals.dropDuplicates(["han"]).drop("count").where((F.size(part("split")) == F.size(part("pinyin"))) & (F.array_join(part("split"), "") == F.col("han")))
+    if isinstance(known, Mapping):
+        known = texts.sparkSession.createDataFrame([(zh, r) for zh, rs in known.items() for r in rs], "zh string, pinyin string") if known else None
+    if known is not None:
+        pieces = found.select("han", F.explode(F.arrays_zip(F.col("split").alias("zh"), F.col("pinyin").alias("py"))).alias("p")).select("han", "p.zh", "p.py")
+        found = found.join(readings.fits(pieces, known, "zh", "py").where("not fits").select("han").distinct(), "han", "left_anti")
     counts = matching.counts(found, texts, "han").select(F.col("name").alias("han"), F.col("n").alias("count"))
     return found.join(counts, "han").orderBy(F.col("count").desc(), "han")
 
@@ -93,23 +100,23 @@ def accept_readings(items: DataFrame, answers: DataFrame) -> DataFrame:
     return both.withColumn("status", F.when(F.col("after").isNull(), "unanswered").when(ok & (F.col("after") == F.col("before")), "same").when(ok, "accepted").otherwise("rejected"))
 
 
-def reading_options(zh: str, readings: Mapping[str, Sequence[str]], most: int = 8) -> list[str]:
+def reading_options(zh: str, known: Mapping[str, Sequence[str]], most: int = 8) -> list[str]:
     """The default spelling first, then products of the characters' readings."""
     out = [""]
     for c in zh:
-        out = [p + r for p in out for r in readings.get(c, [c])][: 4 * most]
+        out = [p + r for p in out for r in known.get(c, [c])][: 4 * most]
     return list(dict.fromkeys(out))[:most]
 
 
 def answered(items: DataFrame, cache: DataFrame, task: str, model: str, call: Provider, size: int = 25) -> DataFrame:
     """Items (payload and other columns) with ``answer`` and ``cached``: null where nobody answers.
 
-    Items of one payload share an answer: services are asked by payload, so a clash of two
-    hashes can neither mix items up nor repeat them.
+    Items of one payload share an answer.  Distinct payloads are numbered in a written table,
+    so each has a number of its own, whatever is computed again.
     """
-    asked = items.groupBy("payload").agg(F.xxhash64("payload").alias("id"))
-    got = cached_answers(asked.dropDuplicates(["id"]), cache, task, model, call, size).join(asked.dropDuplicates(["id"]), "id").select("payload", "answer", "cached")
-    return items.join(got.dropDuplicates(["payload"]), "payload", "left")
+    asked = shared.written(items.select("payload").distinct().withColumn("id", F.monotonically_increasing_id()), "asked")
+    got = cached_answers(asked, cache, task, model, call, size).join(asked, "id").select("payload", "answer", "cached")
+    return items.join(got, "payload", "left")
 
 
 def translate(cues: DataFrame, cache: DataFrame, call: Provider = null_provider, model: str = "none", size: int = 25, span: int = 5, target: str = "vi") -> DataFrame:

@@ -65,3 +65,14 @@ def test_lattice_equals_one_by_one(spark, table):
 def test_first_readings(spark, table):
     d = spark.createDataFrame([(1, "大夫"), (2, "长大"), (3, "ok"), (4, "西夫"), (5, None)], "k int, zh string")
     assert {r["k"]: r["pinyin"] for r in readings.first_readings(d, table, ["k"]).collect()} == {1: "dàifu", 2: "chángdà", 3: "ok", 4: "xī夫", 5: None}
+
+
+def test_names_must_be_readable(spark, table):
+    from subtide.plans import names
+
+    texts = spark.createDataFrame([("长大西安好好",), ("西安",), (None,)], "text string")
+    rows = [("西安", ["西", "安"], ["Xī", "ān"]), ("长大", ["长大"], ["Zhǎngdà"]), ("好好", ["好", "好"], ["hǎo", "hā"]), ("大西", ["大"], ["dà"]), ("安好", None, None), ("大", ["大"], []), ("夫", ["夫"], ["x"]), ("西安", ["西安"], ["x"])]
+    d = spark.createDataFrame(rows[:-1], "han string, split array<string>, pinyin array<string>")
+    assert [(r["han"], r["count"]) for r in names.detect_names(texts, d, READ).collect()] == [("西安", 2), ("长大", 1)]
+    assert [(r["han"], r["count"]) for r in names.detect_names(texts, d, table).collect()] == [("西安", 2), ("长大", 1)]
+    assert [r["han"] for r in names.detect_names(texts, d).collect()] == ["西安", "好好", "长大"]
