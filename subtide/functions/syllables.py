@@ -51,7 +51,7 @@ def automaton(words: Iterable[str], alphabet: str = ALPHABET) -> tuple[list[int]
 @cache
 def _tables() -> tuple[str, str]:
     moves, accepts = automaton(spellings())
-    return ",".join(map(str, moves)), ",".join(str(i) for i, yes in enumerate(accepts) if yes)
+    return ",".join(map(str, moves)), ",".join("1" if yes else "0" for yes in accepts)
 
 
 def plain(text: Column) -> Column:
@@ -64,7 +64,7 @@ def is_syllabic(word: Column) -> Column:
     moves, accepts = (F.split(F.lit(x), ",").cast("array<int>") for x in _tables())
     step = lambda state, c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.element_at(moves, state * len(ALPHABET) + F.instr(F.lit(ALPHABET), c))).otherwise(DEAD)
     state = F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(START), step)
-    return F.array_contains(accepts, state)
+    return F.element_at(accepts, state + 1) == 1
 
 
 def chunks(line: Column) -> Column:
