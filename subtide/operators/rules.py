@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,12 +121,14 @@ def check_cue(zh: str, py: str, readings: Mapping[str, Sequence[str]] | None = N
 def _content(cues: DataFrame, readings: Mapping[str, Sequence[str]] | None) -> DataFrame:
     """Findings of (doc_id, cue_index, zh, py)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, code, None if pd.isna(n) else int(n), message, line) for d, n, zh, py in pdf.itertuples(index=False) for code, message, line in check_cue(zh, py, readings)]
-            yield pd.DataFrame(rows, columns=["doc_id", "code", "cue_index", "message", "line"]).astype({"cue_index": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(d, code, n, message, line) for d, n, zh, py in zip(*(c.to_pylist() for c in batch.columns), strict=True) for code, message, line in check_cue(zh, py, readings)]
+            columns = zip(*found, strict=True) if found else [[]] * 5
+            types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "code", "cue_index", "message", "line"])
 
-    return cues.select("doc_id", "cue_index", "zh", "py").mapInPandas(run, "doc_id string, code string, cue_index int, message string, line string")
+    return cues.select("doc_id", "cue_index", "zh", "py").mapInArrow(run, "doc_id string, code string, cue_index int, message string, line string")
 
 
 def _finding(code: str, message: Column, line: Column | None = None, cue: Column | None = None) -> Column:
@@ -187,10 +190,11 @@ def zh_findings(docs: DataFrame, readings: Mapping[str, Sequence[str]] | None =
 
 def name_findings(cues: DataFrame) -> DataFrame:
     """NAME_INCONSISTENT: a string of Han that is one cluster somewhere and several elsewhere."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = pa.struct([("ordinal", pa.int64()), ("run", pa.int64())])
+        for batch in batches:
             rows = []
-            for d, o, n, zh in pdf.itertuples(index=False):
+            for d, o, n, zh in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 runs: list[list[str]] = [[]]
                 for w in word_texts(lex(zh)):  # a word that isn't Han ends a run
                     if R.HAN_RULE_RE.sub("", w):
@@ -198,9 +202,10 @@ def name_findings(cues: DataFrame) -> DataFrame:
                     else:
                         runs[-1].append(w)
                 rows += [(d, {"ordinal": o, "run": k}, n, r) for k, r in enumerate(runs) if r]
-            yield pd.DataFrame(rows, columns=["doc_id", "line", "cue_index", "w"])
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), line, pa.int32(), pa.list_(pa.string())), strict=True)], ["doc_id", "line", "cue_index", "w"])
 
-    runs = cues.select("doc_id", "ordinal", "cue_index", "zh").mapInPandas(run, "doc_id string, line struct<ordinal:long,run:long>, cue_index int, w array<string>")
+    runs = cues.select("doc_id", "ordinal", "cue_index", "zh").mapInArrow(run, "doc_id string, line struct<ordinal:bigint,run:bigint>, cue_index int, w array<string>")
     hits = relational.split_names(runs, ["doc_id"], "line", "w")
     at = runs.select("doc_id", "line", "cue_index")
     found = _finding("NAME_INCONSISTENT", F.concat("text", F.lit(" is written "), "shown", F.lit(" here")), F.col("shown"), F.col("cue_index"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,15 +138,15 @@ def fix(docs: DataFrame, own: Language | None = None) -> DataFrame:
     """Repaired documents of (doc_id, text)."""
     own = own or Language()
     ship(docs.sparkSession)
-    names = [c.split()[0] for c in FIXED.split(", ")]
+    kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "int": pa.int32()}
+    columns = {c.split()[0]: kinds[c.split()[1]] for c in FIXED.split(", ")}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc, body in zip(pdf["doc_id"], pdf["text"], strict=True):
-                got = fix_document(body, own)
-                yield pd.DataFrame([[doc] + [got[k] for k in names[1:]]], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [{"doc_id": doc, **fix_document(body, own)} for doc, body in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in columns.items()], list(columns))
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, FIXED)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, FIXED)
 
 
 def fix_findings(fixed: DataFrame, readings: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -184,9 +185,9 @@ def retokenise(lines: DataFrame, own: Language | None = None) -> DataFrame:
         cue = normalise([tokenise_cue(tokens, how if how != "kept_pinyin" else "resegmented", own)], own)[0]
         return lexing.render(cue), lexing.render(cue, "pinyin")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [one(x) for x in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "zh": [g[0] for g in got], "pinyin": [g[1] for g in got]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [one(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([g[k] for g in got], pa.string()) for k in (0, 1))], ["id", "zh", "pinyin"])
 
-    return lines.select("id", "text").mapInPandas(run, "id long, zh string, pinyin string")
+    return lines.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, zh string, pinyin string")
