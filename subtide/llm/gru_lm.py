@@ -52,6 +52,7 @@ WORKER_BLOCKS, WORKERS = 2, 1024  # a training task takes so many blocks; more f
 SHARED_BY = 3  # and so many tokens for each parameter at least: what tasks send is then no more than the texts
 PIECE_SIZE = 1 << 16
 BLOCK = 16 << 20
+PART = 1 << 20  # bytes of text that become word hashes at a time
 LOGITS = 1 << 17
 END_HASH = np.uint64(0x5EED0FE2D0C5)
 OTHER = 0  # the entry of all unlisted words
@@ -389,7 +390,7 @@ def write_blocks(folder: str):
             name = f"{out.name}:{out.size}:{len(raw)}"
             out.write(raw)
             every, counts = [], []
-            for part in C.blocks([r[1] for r in rows]):
+            for part in C.blocks([r[1] for r in rows], PART):
                 e = Encoded([r[1] for r in rows[part]])
                 learn = np.repeat([not held_out(r[0]) for r in rows[part]], e.size)
                 words, number = np.unique(e.hash, return_inverse=True)
@@ -453,9 +454,10 @@ def train_round(folder: str, shared, number: int, rounds: int):
         trainer, seen, rows, held = Trainer(model), 0, [], 0
 
         def learn():
-            e, entry, given = encode(rows, listed)
-            trainer.documents(entry, given, e.start, e.size)
-            return int(e.size.sum())
+            parts = [(e.size, entry.astype(np.int32), given.astype(np.int32)) for e, entry, given in (encode(rows[part], listed) for part in C.blocks(rows, PART))]
+            size, entry, given = map(np.concatenate, zip(*parts, strict=True))
+            trainer.documents(entry, given, np.cumsum(size) - size, size)
+            return int(size.sum())
 
         for batch in batches:
             for block in batch.column("block").to_pylist():
@@ -498,7 +500,7 @@ def score_block(folder: str, shared, n: int, v: int, rest: tuple[int, int]):
         known, count = known[order], count[order]
         docs, rows = _read_block(folder, key[0].as_py())
         size, seen, base, other, entries, inputs = [], [], [], [], [], []
-        for part in C.blocks(rows):
+        for part in C.blocks(rows, PART):
             e, entry, given = encode(rows[part], listed)
             c = count[np.searchsorted(known, e.hash)]
             size.append(e.size)
