@@ -67,7 +67,7 @@ LINT = f"""(SELECT doc_id, lang, line_no, 'ASCII_PUNCT' AS code, len(regexp_extr
 UNION ALL SELECT doc_id, lang, line_no, 'ELLIPSIS_FORM', len(list_filter(regexp_extract_all(line, '[.]+'), lambda x: len(x) > 1)) FROM {LINES}
 UNION ALL SELECT doc_id, lang, line_no, 'DASH_FORM', len(regexp_extract_all(line, '[-]{{2,}}')) FROM {LINES}
 UNION ALL SELECT doc_id, lang, line_no, 'DOUBLE_SPACE', len(regexp_extract_all(line, ' {{2,}}')) FROM {LINES}
-UNION ALL SELECT doc_id, lang, line_no, 'REPEATED_MARK', len(regexp_extract_all(line, '[!?]{{2,}}')) FROM {LINES})"""
+UNION ALL SELECT doc_id, lang, line_no, 'SPACE_AROUND_PUNCT', len(regexp_extract_all(line, ' [,.!?;:]')) FROM {LINES})"""
 
 
 def lint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = {
         "ASCII_PUNCT": F.size(found('[,?!:;()<>"]')) + F.size(F.filter(dots, lambda x: F.length(x) == 1)),
         "ELLIPSIS_FORM": F.size(F.filter(dots, lambda x: F.length(x) > 1)), "DASH_FORM": F.size(found("[-]{2,}")),
-        "DOUBLE_SPACE": F.size(found(" {2,}")), "REPEATED_MARK": F.size(found("[!?]{2,}")),
+        "DOUBLE_SPACE": F.size(found(" {2,}")), "SPACE_AROUND_PUNCT": F.size(found(" [,.!?;:]")),
     }
     rows = F.array(*[F.struct(F.lit(k).alias("code"), v.cast("long").alias("n")) for k, v in each.items()])
     return lines(spark, sf_dir).select("doc_id", "lang", "line_no", F.explode(rows).alias("r")).select("doc_id", "lang", "line_no", "r.code", "r.n")
@@ -108,9 +108,9 @@ def lint_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(?i)" + R.TAG), F.lit(0))).cast("long").alias("tags"))
 
 
-@query(f"SELECT code, CASE WHEN code = 'REPEATED_MARK' THEN 'warn' ELSE 'error' END AS severity, sum(n) AS n, count(*) FILTER (n > 0) AS lines FROM {LINT} GROUP BY code")
+@query(f"SELECT code, '{R.SEVERITY['ASCII_PUNCT']}' AS severity, sum(n) AS n, count(*) FILTER (n > 0) AS lines FROM {LINT} GROUP BY code")
 def lint_summary(spark, sf_dir):
-    severity = F.when(F.col("code") == "REPEATED_MARK", "warn").otherwise("error")
+    severity = F.create_map(*[F.lit(x) for c in ("ASCII_PUNCT", "ELLIPSIS_FORM", "DASH_FORM", "DOUBLE_SPACE", "SPACE_AROUND_PUNCT") for x in (c, R.SEVERITY[c])])[F.col("code")]
     return lint(spark, sf_dir).groupBy("code").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("lines")).select("code", severity.alias("severity"), "n", "lines")
 
 
@@ -379,9 +379,9 @@ def dedupe_findings(spark, sf_dir):
     return rel.dedupe(f.union(f)).select("doc_id", "code", "cue_index")
 
 
-@query(f"SELECT doc_id, code, line_no AS cue_index, n FROM {LINT} WHERE n > 0 AND NOT (code = 'ASCII_PUNCT' AND line_no = 0) AND NOT (code = 'REPEATED_MARK' AND line_no = 1)")
+@query(f"SELECT doc_id, code, line_no AS cue_index, n FROM {LINT} WHERE n > 0 AND NOT (code = 'ASCII_PUNCT' AND line_no = 0) AND NOT (code = 'SPACE_AROUND_PUNCT' AND line_no = 1)")
 def known_error_except(spark, sf_dir):
-    known = spark.createDataFrame([("ASCII_PUNCT", 0), ("REPEATED_MARK", 1)], "code string, cue_index long")
+    known = spark.createDataFrame([("ASCII_PUNCT", 0), ("SPACE_AROUND_PUNCT", 1)], "code string, cue_index long")
     f = lint(spark, sf_dir).where("n > 0").select("doc_id", "code", F.col("line_no").alias("cue_index"), "n")
     return rel.without_known(f, known).select("doc_id", "code", "cue_index", "n")
 

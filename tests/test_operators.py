@@ -154,6 +154,7 @@ NAMES = sorted(catalogue.ORACLE_SQL)
 @pytest.mark.parametrize("name", NAMES)
 def test_against_sql(spark, sf_dir, name):
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
@@ -162,7 +163,7 @@ def test_against_sql(spark, sf_dir, name):
     assert sorted(mine) == sorted(want) and len(mine) == len(want)
 
     def plain(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return None
         return round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
