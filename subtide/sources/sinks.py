@@ -42,7 +42,10 @@ def render(tokens: Column, field: str = "zh") -> Column:
         )
 
     line = F.array_join(F.transform(tokens, coded), "")
-    return F.translate(F.regexp_replace(line, _APART, "$1 "), _WORD + _MARK + _TURN + _OPENS, "")
+    line = F.regexp_replace(line, _APART, "$1 ")
+    for code in (_WORD, _MARK, _TURN, _OPENS):
+        line = F.replace(line, F.lit(code), F.lit(""))
+    return line
 
 
 def shown(cues: DataFrame) -> DataFrame:
