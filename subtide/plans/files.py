@@ -458,9 +458,11 @@ def versioned_files(spark, sf_dir):
 
 def report_sections(spark: SparkSession, sf_dir: str) -> list[page.Section]:
     """The datasets behind a file's report: its numbers, where it is from, what each role took, distribution, translation, findings, what to look at, cleaning, parsing, files, exports."""
-    docs, found, c = files(spark, sf_dir), rules.check(files(spark, sf_dir), READINGS), turn_cues(spark, sf_dir)
+    docs, c = shared.written(files(spark, sf_dir), "files"), turn_cues(spark, sf_dir)
+    found = rules.check(docs, READINGS)
     turns = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id"))
-    stats = report.document_stats(c)
+    stats = shared.written(report.document_stats(c), "stats")
+    said = shared.written(sinks.shown(c).drop("tokens"), "shown")
     translated = turns.select("doc_id", F.when(F.col("turn") % 3 == 0, "cache").when(F.col("turn") % 3 == 1, "provider").otherwise("kept").alias("source"))
     s = segments(spark, sf_dir)
     kept, dropped = report.clean_segments(s, cfg={"repeat_max": 0})
@@ -476,8 +478,8 @@ def report_sections(spark: SparkSession, sf_dir: str) -> list[page.Section]:
         page.Section("review", "To look at", rel.review_queue(looked).select("doc_id", "pos", "tok", "zh", "flag")),
         page.Section("cleaning", "Cleaning", dropped.select("doc_id", "id", "reason", "text")),
         page.Section("parsing", "Parsing", parsed),
-        page.Section("files", "Files", sinks.srt(c).select("doc_id", F.lit("srt").alias("kind"), F.length("text").alias("size"))),
-        page.Section("exports", "Exports", sinks.ass(c).select("doc_id", F.lit("ass").alias("kind"), F.sha2("text", 256).alias("sha256"))),
+        page.Section("files", "Files", sinks.srt_of(said).select("doc_id", F.lit("srt").alias("kind"), F.length("text").alias("size"))),
+        page.Section("exports", "Exports", sinks.ass_of(said).select("doc_id", F.lit("ass").alias("kind"), F.sha2("text", 256).alias("sha256"))),
     ]
 
 

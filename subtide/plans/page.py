@@ -3,7 +3,8 @@
 Every dataset is a table with ``doc_id``; its rows become rows of one relation (document,
 section, place, cells as text), so a page is one aggregate over it, and no section is
 gathered for all documents.  A section shows its first ``most`` rows by its order (a
-top-k by document, cut before the shuffle) and says how many it has.
+top-k by document, cut before the shuffle) and says how many it has; as both are read from
+its rows, these are written once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subtide import shared
+
 MOST = 200
 STYLE = "body{font:15px/1.5 sans-serif;max-width:60em;margin:2em auto}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2em .6em;text-align:left}h2{border-bottom:2px solid #888}"
 
@@ -43,11 +46,13 @@ def _cell(column: str, kind: str) -> Column:
 def _rows(number: int, s: Section, most: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, section, place, html) of the rows that are shown, and (doc_id, section, n)."""
     shown = [f for f in s.rows.schema if f.name != "doc_id"]
+    void = [f.name for f in s.rows.schema if f.dataType.typeName() == "void"]  # no table has columns without a type
+    rows = shared.written(s.rows.withColumns({c: F.col(f"`{c}`").cast("string") for c in void}), "section")
     order = list(s.order) or [f.name for f in shown]
     line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), _cell(f.name, f.dataType.simpleString()), F.lit("</td>")) for f in shown], F.lit("</tr>"))
-    ranked = s.rows.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("_place") <= most)
+    ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("_place") <= most)
     doc, section = F.col("doc_id").cast("string").alias("doc_id"), F.lit(number).alias("section")
-    return ranked.select(doc, section, F.col("_place").alias("place"), line.alias("html")), s.rows.groupBy(doc).agg(F.count("*").alias("n")).withColumn("section", section)
+    return ranked.select(doc, section, F.col("_place").alias("place"), line.alias("html")), rows.groupBy(doc).agg(F.count("*").alias("n")).withColumn("section", section)
 
 
 def pages(docs: DataFrame, sections: Sequence[Section], title: str = "Subtitle report", most: int = MOST) -> DataFrame:

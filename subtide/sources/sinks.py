@@ -41,16 +41,22 @@ def render(tokens: Column, field: str = "zh") -> Column:
             .when(t["kind"] == "markup", F.when(own.startswith("</"), own).otherwise(part(_OPENS, own))).otherwise(part(_MARK, own))
         )
 
-    line = F.array_join(F.transform(tokens, coded), "")
-    line = F.regexp_replace(line, _APART, "$1 ")
-    for code in (_WORD, _MARK, _TURN, _OPENS):
-        line = F.replace(line, F.lit(code), F.lit(""))
-    return line
+    def spaced(line: Column) -> Column:
+        out = F.regexp_replace(line, _APART, "$1 ")
+        for code in (_WORD, _MARK, _TURN, _OPENS):
+            out = F.replace(out, F.lit(code), F.lit(""))
+        words = F.substr(F.replace(line, F.lit(_WORD), F.lit(" ")), F.lit(2))  # most lines: from the first on words alone, which are all apart
+        other = line.contains(_MARK) | line.contains(_TURN) | line.contains(_OPENS)
+        return F.when(line.startswith(_WORD) & ~other, words).otherwise(out)
+
+    # a line is put together once, whatever asks for it
+    return F.transform(F.array(F.array_join(F.transform(tokens, coded), "")), spaced)[0]
 
 
 def shown(cues: DataFrame) -> DataFrame:
     """Cues that render to something: zh, pinyin, their new number and their stamps."""
-    d = cues.withColumn("zh", render(F.col("tokens"))).withColumn("pinyin", render(F.col("tokens"), "pinyin")).where("zh <> '' or pinyin <> ''")
+    lines = F.struct(render(F.col("tokens")).alias("zh"), render(F.col("tokens"), "pinyin").alias("pinyin"))
+    d = cues.select("*", F.inline(F.array(lines))).where("zh <> '' or pinyin <> ''")  # of a generator's columns, so that the filter isn't pushed down as both renderings
     d = d.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
     return d.withColumn("stamp", F.concat(text.format_stamp(F.col("start")), F.lit(" --> "), text.format_stamp(F.col("end"))))
 
@@ -62,7 +68,12 @@ def _file(d: DataFrame, part: Column, head: str = "", tail: str = "") -> DataFra
 
 def srt(cues: DataFrame) -> DataFrame:
     """One subtitle file for each document, renumbered, cues without text left out."""
-    return _file(shown(cues), F.concat_ws("\n", F.col("number").cast("string"), "stamp", "zh", "pinyin", F.lit("\n")))
+    return srt_of(shown(cues))
+
+
+def srt_of(lines: DataFrame) -> DataFrame:
+    """The same from cues as ``shown`` gives them."""
+    return _file(lines, F.concat_ws("\n", F.col("number").cast("string"), "stamp", "zh", "pinyin", F.lit("\n")))
 
 
 def vi_srt(cues: DataFrame, lines: DataFrame) -> DataFrame:
@@ -77,11 +88,16 @@ def _styles(styles: list[tuple[str, str, int, str]]) -> str:
 
 def ass(cues: DataFrame, title: str = "subtitles", font: str = "PingFang SC", pinyin_font: str = "Arial Unicode MS", size: int = 42) -> DataFrame:
     """Advanced SubStation files: a cue is one event, its lines joined by a break."""
+    return ass_of(shown(cues), title, font, pinyin_font, size)
+
+
+def ass_of(lines: DataFrame, title: str = "subtitles", font: str = "PingFang SC", pinyin_font: str = "Arial Unicode MS", size: int = 42) -> DataFrame:
+    """The same from cues as ``shown`` gives them."""
     small = max(12, round(size * 0.8))
     head = ASS_HEAD.format(title=title) + _styles([("Default", font, size, "&H00FFFFFF"), ("Pinyin", pinyin_font, small, "&H00FFFFFF")]) + ASS_EVENTS
     zh, py = text.ass_text(F.col("zh")), text.ass_text(F.col("pinyin"))
     body = F.when(py != "", F.concat(zh, F.lit(f"\\N{{\\fn{pinyin_font}\\fs{small}}}"), py)).otherwise(zh)
-    return _file(shown(cues), F.concat(F.lit("\nDialogue: 0,"), text.ass_time(F.col("start")), F.lit(","), text.ass_time(F.col("end")), F.lit(",Default,,0,0,0,,"), body), head, "\n")
+    return _file(lines, F.concat(F.lit("\nDialogue: 0,"), text.ass_time(F.col("start")), F.lit(","), text.ass_time(F.col("end")), F.lit(",Default,,0,0,0,,"), body), head, "\n")
 
 
 def bilingual_ass(cues: DataFrame, lines: DataFrame, title: str = "subtitles", font: str = "PingFang SC", other_font: str = "Arial Unicode MS", size: int = 42) -> DataFrame:

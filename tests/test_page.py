@@ -46,3 +46,16 @@ def test_pages(spark):
     assert [r[0] for r in p.sections["many"]] == ["id", "299", "298", "297", "296", "295"] and "the first 5 of 300" in got["a"]["html"]
     assert "&lt;c&gt;" in got["<c>"]["html"] and "<section" not in got["<c>"]["html"]
     assert page.pages(docs.limit(0), [page.Section("odd", "Odd ones", odd)]).count() == 0
+
+
+def test_rows_of_a_section_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(30).select(F.lit("a").alias("doc_id"), counted.asNondeterministic()("id").alias("id"), F.lit(None).alias("nothing"))
+    got = page.pages(spark.createDataFrame([("a",)], "doc_id string"), [page.Section("s", "S", rows)], most=40).collect()
+    assert made.value == 30 and got[0]["counts"] == {"s": 30} and got[0]["html"].count("<tr>") == 31

@@ -62,3 +62,9 @@ def test_corrupt_names_are_not_saved(spark, tmp_path):
 def test_retokenised_lines(spark):
     own = fix.Language(readings=catalogue.READINGS, lexicon={"你好": 9, "你": 1, "好": 1})
     assert [tuple(r) for r in fix.retokenise(spark.createDataFrame([(1, "你好，我是")], "id long, text string"), own).collect()] == [(1, "你好，我 是", "Nǐhǎo，wǒ shì")]
+
+
+def test_no_segment_is_a_repeat_where_none_is_cut(spark):
+    s = spark.createDataFrame([(None, 1, "a"), ("d", None, "b"), ("d", 1, " \t\n"), ("d", 2, "…!")], "doc_id string, id int, text string")
+    kept, dropped = report.clean_segments(s, cfg={"repeat_max": 0})
+    assert {r["text"] for r in kept.collect()} == {"a", "b"} and {(r["id"], r["reason"]) for r in dropped.collect()} == {(1, "empty"), (2, "punct_only")}
