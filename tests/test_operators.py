@@ -176,3 +176,13 @@ def test_broadcast_is_checked(spark):
     wide = spark.range(5).withColumn("x", F.repeat(F.lit("x"), 100))
     assert "broadcast" not in relational.small(wide, size=400)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in relational.small(spark.range(5), rows=3)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_split_names_in_one_pass(spark):
+    from subtide.operators import relational
+
+    rows = [("d", 7, ["ab", "c", "abc", None, "a", "b"]), ("d", 3, ["x", "ab", "c", "a", "bc"]), ("d", 2**40, ["a", "b", "c"]), ("e", 0, ["a", "bc"]), (None, 0, ["u", "v"]), (None, 1, ["uv"]), ("f", 0, None), ("g", 0, ["abcd", "efg", "abcdefg"])]
+    got = relational.split_names(spark.createDataFrame(rows, "doc_id string, line long, w array<string>"), ["doc_id"], "line", "w")
+    assert {tuple(r) for r in got.collect()} == {("d", "ab", 2, 7, "a b"), ("d", "abc", 4, 3, "ab c"), ("d", "bc", 1, 2**40, "b c"), (None, "uv", 1, 0, "u v")}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "SortAggregate" not in plan and "HashAggregate" in plan
