@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subtide import resources as R
+from subtide import shared
 from subtide.functions import text
+from subtide.operators import relational
 from subtide.plans import names
 from subtide.sources import sinks
 
@@ -47,13 +49,22 @@ def _last_visible(tokens: Column) -> Column:
 def _replaced(tokens: Column, at: Column, when: Column, pinyin: Column) -> Column:
     """Tokens with another pinyin for one of them, flagged as a service's doing."""
     new = lambda t: t.withField("pinyin", pinyin).withField("flags", F.array_union(F.coalesce(t["flags"], F.array().cast("array<string>")), F.array(F.lit("AI_APPLIED"))))
-    return F.transform(tokens, lambda t, i: F.when(when & (i == at), new(t)).otherwise(t))
+    return F.when(when, F.transform(tokens, lambda t, i: F.when(i == at, new(t)).otherwise(t))).otherwise(tokens)
+
+
+def _viewed(cues: DataFrame) -> DataFrame:
+    """doc_id, pos, line, the lines before and after, the first word and the last token of each cue, without its tokens."""
+    d = cues.select("doc_id", "pos", sinks.render(F.col("tokens")).alias("line"), _first_word(F.col("tokens")).alias("first"), _last_visible(F.col("tokens")).alias("last"))
+    return d.withColumn("before", F.coalesce(F.lag("line").over(_in_file()), F.lit(""))).withColumn("next", F.coalesce(F.lead("line").over(_in_file()), F.lit("")))
 
 
 def case_items(cues: DataFrame, limit: int = CASE_ITEMS) -> DataFrame:
     """First words whose case the marks before leave open: doc_id, pos, at, zh, pinyin, payload; the first ``limit`` in the order of cues."""
-    d = cues.withColumn("line", sinks.render(F.col("tokens"))).withColumn("before", F.coalesce(F.lag("line").over(_in_file()), F.lit(""))).withColumn("first", _first_word(F.col("tokens")))
-    d = d.where(F.array_contains("first.t.flags", "CASE_AMBIG") & (F.coalesce("first.t.pinyin", F.lit("")) != ""))
+    return _case_items(_viewed(cues), limit)
+
+
+def _case_items(viewed: DataFrame, limit: int = CASE_ITEMS) -> DataFrame:
+    d = viewed.where(F.array_contains("first.t.flags", "CASE_AMBIG") & (F.coalesce("first.t.pinyin", F.lit("")) != ""))
     payload = F.to_json(F.struct(F.col("before").alias("prev"), "line", F.col("first.t.zh").alias("word")))
     return d.orderBy("doc_id", "pos").limit(limit).select("doc_id", "pos", F.col("first.at").alias("at"), F.col("first.t.zh").alias("zh"), F.col("first.t.pinyin").alias("pinyin"), payload.alias("payload"))
 
@@ -74,7 +85,10 @@ def apply_case(cues: DataFrame, judged: DataFrame) -> DataFrame:
 
 def end_items(cues: DataFrame, limit: int = END_ITEMS) -> DataFrame:
     """Lines that end without a closing mark: doc_id, pos, line, payload; the first ``limit`` in the order of cues."""
-    d = cues.withColumn("line", sinks.render(F.col("tokens"))).withColumn("next", F.coalesce(F.lead("line").over(_in_file()), F.lit(""))).withColumn("last", _last_visible(F.col("tokens")))
+    return _end_items(_viewed(cues), limit)
+
+
+def _end_items(d: DataFrame, limit: int = END_ITEMS) -> DataFrame:
     closed = (F.col("last.kind") == "punct") & F.substr(F.trim("last.zh"), F.lit(-1)).isin(*CLOSED_BY)
     d = d.where(F.col("last").isNotNull() & ~closed & F.col("last.kind").isin("word", "punct"))
     return d.orderBy("doc_id", "pos").limit(limit).select("doc_id", "pos", "line", F.to_json(F.struct("line", "next")).alias("payload"))
@@ -107,10 +121,19 @@ def recase_after(cues: DataFrame) -> DataFrame:
 
 
 def proofread(cues: DataFrame, cache: DataFrame, call: names.Provider = names.null_provider, model: str = "none") -> tuple[DataFrame, DataFrame]:
-    """Case, then end marks, then the case after them: (cues, proposals)."""
-    cased = judge_case(names.answered(case_items(cues), cache, "T3", model, call))
+    """Case, then end marks, then the case after them: (cues, proposals).
+
+    Case changes pinyin and flags alone, so both kinds of items come from one view of the
+    cues as they came; items and answers, which have limits, are written and looked at before they meet the cues.
+    """
+    viewed = shared.written(_viewed(cues), "viewed")
+
+    def judged(items: DataFrame, task: str, judge) -> DataFrame:
+        return relational.small(shared.written(judge(names.answered(shared.written(items, "items"), cache, task, model, call)), "judged"))
+
+    cased = judged(_case_items(viewed), "T3", judge_case)
     cues = apply_case(cues, cased)
-    ended = judge_ends(names.answered(end_items(cues), cache, "T4", model, call))
+    ended = judged(_end_items(viewed), "T4", judge_ends)
     shape = ["doc_id", "pos", "status", "cached"]
     proposals = cased.select(F.lit("T3").alias("task"), *shape).unionByName(ended.select(F.lit("T4").alias("task"), *shape))
     return recase_after(apply_ends(cues, ended)), proposals

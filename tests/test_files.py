@@ -83,3 +83,19 @@ def test_another_source_or_version_is_no_reuse(spark, tmp_path):
     assert done(spark.range(5)) == ["run", "run"] and done(spark.range(5).orderBy(F.desc("id"))) == ["reused", "reused"]
     assert done(spark.range(5), "2") == ["reused", "run"] and stages.run(spark.range(5), plan("2"), folder)[0].first()["c2"] == "2"
     assert done(spark.range(6), "2") == ["run", "run"] and done(spark.range(6), "2") == ["reused", "reused"]
+
+
+def test_proofreading_makes_cues_twice(spark):
+    """Once for what is asked, once for what is done with the answers."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    word = F.array(F.struct(F.lit("word").alias("kind"), F.lit("x").alias("zh"), F.lit("x").alias("pinyin"), F.lit(1.0).alias("confidence"), F.lit("").alias("source"), F.array(F.lit("CASE_AMBIG")).alias("flags")))
+    c = spark.range(0, 400, 1, 4).select((F.col("id") % 3).alias("doc_id"), counted.asNondeterministic()("id").alias("pos"), word.alias("tokens"))
+    cache = spark.createDataFrame([], "task string, model string, key string, value string")
+    done, proposals = review.proofread(c, cache, lambda task, items: [{"id": x["id"], "case": "upper", "punct": "。"} for x in items], "m")
+    assert len(done.collect()) == 400 and proposals.groupBy("task").count().count() == 2 and made.value == 800
