@@ -186,3 +186,13 @@ def test_split_names_in_one_pass(spark):
     assert {tuple(r) for r in got.collect()} == {("d", "ab", 2, 7, "a b"), ("d", "abc", 4, 3, "ab c"), ("d", "bc", 1, 2**40, "b c"), (None, "uv", 1, 0, "u v")}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_lines_that_show_are_rendered_once(spark):
+    from subtide.plans import catalogue
+    from subtide.sources import sinks
+
+    c = catalogue.turn_cues(spark, "/root/testdata/sf0.001")
+    plan = sinks.shown(c)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("transform" in line for line in filters) and plan.count("regexp_extract_all") == 1
