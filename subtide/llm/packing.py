@@ -40,7 +40,9 @@ UNIT = 16
 END = 1
 SHARD = 2048
 LEADERS, BOUNDS = 256, 16  # leaders; documents for each shard that place its bounds
-ROW_FROM = 16  # terms of more than 1 / ROW_FROM of an index's documents
+ASKED = 64  # documents that ask an index together
+GRAIN = 1 << 30
+ROW_FROM = 8  # terms of more than 1 / ROW_FROM of an index's documents
 DF_BITS, DF_PIECE = 18, 4096
 K1, B = 1.2, 0.75
 TOKENIZER = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks; a quarter of the time
@@ -49,7 +51,7 @@ WHITE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def load_encoder(path: str):
-    """list of str -> their ids, and the bytes of each id, from a ranks file (.tiktoken) or a tokenizer file (.json) of one vocabulary."""
+    """list of str -> their ids (lists or arrays), and the bytes of each id, from a ranks file (.tiktoken) or a tokenizer file (.json) of one vocabulary."""
     import public_tokenizers
     import tiktoken
 
@@ -63,8 +65,9 @@ def load_encoder(path: str):
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True  # their strings in a text are ordinary text
         return lambda some: [own.encode(x, add_special_tokens=False).ids for x in some], names
-    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda some: [own.encode_ordinary(x) for x in some], names
+    # only this call gives an array without a list of numbers; the special token is never allowed, so that its string is ordinary text too
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|never|>": (1 << 16) - 1})
+    return lambda some: [own.encode_to_numpy(x, disallowed_special=()) for x in some], names
 
 
 class Tokens:
@@ -90,7 +93,12 @@ class Tokens:
         self.code = C.mix64(bare.astype(np.uint64) + np.uint64(1))
 
     def batch(self, rows: list[str]) -> list[np.ndarray]:
-        return [np.array(x + [END], np.uint16) for x in self.encode(rows)]
+        out = []
+        for x in self.encode(rows):
+            ids = np.empty(len(x) + 1, np.uint16)
+            ids[:-1], ids[-1] = x, END
+            out.append(ids)
+        return out
 
     def terms(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, hash and count of each distinct term, by text and hash."""
@@ -125,9 +133,20 @@ def tokens_of(path: str) -> Tokens:
     return _TOKENS[path]
 
 
-def unit_crcs(ids: np.ndarray) -> np.ndarray:
-    raw = memoryview(ids.astype("<u4").tobytes())
-    return np.fromiter((zlib.crc32(raw[i : i + 4 * UNIT]) for i in range(0, len(raw), 4 * UNIT)), np.uint32, -(-len(ids) // UNIT))
+def unit_crcs(ids: list[np.ndarray]) -> list[np.ndarray]:
+    """The CRC-32 of every unit of each text; whole units of all texts take their steps together."""
+    full = np.concatenate([x[: len(x) - len(x) % UNIT] for x in ids]).astype(np.uint32).reshape(-1, UNIT).T.copy()
+    crc = np.full(full.shape[1], 0xFFFFFFFF, np.uint32)
+    for x in full:
+        crc = _moved(crc ^ x, 1)
+    crc ^= np.uint32(0xFFFFFFFF)
+    out, at = [], 0
+    for x in ids:
+        n = len(x) // UNIT
+        rest = [zlib.crc32(x[n * UNIT :].astype("<u4").tobytes())] if len(x) % UNIT else []
+        out.append(np.append(crc[at : at + n], np.array(rest, np.uint32)))
+        at += n
+    return out
 
 
 def _advance(n_bytes: int) -> np.ndarray:
@@ -180,7 +199,7 @@ def tokenise(path: str = TOKENIZER):
                 term, count, words = term.astype("<u4"), np.minimum(count, 65535).astype("<u2"), np.bincount(owner, count, len(ids)).astype(np.int64)
                 pieces = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, len(ids)), batch.column("row").slice(a, len(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([unit_crcs(x).tobytes() for x in ids], pa.binary()), pieces(term), pieces(count), pa.array(words)],
+                    [batch.column("doc_id").slice(a, len(ids)), batch.column("row").slice(a, len(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in unit_crcs(ids)], pa.binary()), pieces(term), pieces(count), pa.array(words)],
                     ["doc_id", "row", "tokens", "crcs", "terms", "counts", "words"],
                 )
 
@@ -219,12 +238,13 @@ class Index:
         tf = np.concatenate(counts).astype(float) if counts else np.zeros(0)
         size = np.bincount(doc, tf, self.n)
         weight = idf[bucket(term)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1e-9)))
+        weight = np.round(weight * GRAIN) / GRAIN  # sums of multiples of 1 / GRAIN are exact, and so the same in any order
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.vocabulary, first = np.unique(term[order], return_index=True)
-        self.edge = np.append(first, len(term))
-        # terms of many documents as rows, which add up faster than postings
+        self.doc, self.weight, ordered = doc[order], weight[order], term[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(term) else np.zeros(0, np.int64)
+        self.vocabulary, self.edge = ordered[first], np.append(first, len(term))
         size = np.diff(self.edge)
+        # terms of many documents as rows, which add up faster than postings
         common = np.flatnonzero(size * ROW_FROM > self.n)
         self.row = np.full(len(size), -1)
         self.row[common] = np.arange(len(common))
@@ -240,13 +260,26 @@ class Index:
         here = np.flatnonzero(self.vocabulary[at] == terms)
         return here, at[here]
 
+    def numbers(self, terms: list[np.ndarray]) -> list[np.ndarray]:
+        """The numbers of those of each document's terms that are in the index."""
+        here, number = self.known(np.concatenate(terms))
+        return np.split(number, np.searchsorted(here, np.cumsum([len(x) for x in terms])[:-1]))
+
     def asked(self, number: np.ndarray) -> np.ndarray:
         """The score of every document for some of the index's terms."""
+        return self.asked_all([number])[0]
+
+    def asked_all(self, numbers: list[np.ndarray]) -> np.ndarray:
+        """The scores of every document for each list of the index's terms."""
+        owner, number = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers]), np.concatenate(numbers)
         row = self.row[number]
-        rare = number[row < 0]
+        common, rare = row >= 0, number[row < 0]
         size = self.edge[rare + 1] - self.edge[rare]
-        out = np.bincount(_ranges(self.doc, self.edge[rare], size), _ranges(self.weight, self.edge[rare], size), self.n)
-        return out + self.rows[row[row >= 0]].sum(0)
+        at = _ranges(np.arange(len(self.doc)), self.edge[rare], size)
+        out = np.bincount(np.repeat(owner[~common] * self.n, size) + self.doc[at], self.weight[at], len(numbers) * self.n).reshape(len(numbers), self.n)
+        ask = np.zeros((len(numbers), len(self.rows)))
+        ask[owner[common], row[common]] = 1
+        return out + ask @ self.rows
 
 
 def fill(tokens: np.ndarray, terms: list[np.ndarray], index: Index) -> list[list[tuple[int, int, int]]]:
@@ -254,12 +287,17 @@ def fill(tokens: np.ndarray, terms: list[np.ndarray], index: Index) -> list[list
     start, left = tokens - tokens % WINDOW, tokens % WINDOW
     windows = [[(i, a, WINDOW)] for i in range(len(tokens)) for a in range(0, start[i], WINDOW)]
     start, left = start.copy(), left.copy()
-    for seed in np.argsort(-left, kind="stable"):
+    order, scores = np.argsort(-left, kind="stable"), {}
+    for place, seed in enumerate(order):
+        if left[seed] and seed not in scores:
+            ahead = order[place:]
+            ahead = ahead[left[ahead] > 0][:ASKED]  # the next seeds, but for those that windows take until then
+            scores = dict(zip(ahead.tolist(), index.asked_all(index.numbers([terms[i] for i in ahead])), strict=True))
         while left[seed]:
             window, room, ranked = [(int(seed), int(start[seed]), int(left[seed]))], WINDOW - int(left[seed]), None
             left[seed] = 0
             if room >= UNIT:
-                ranked = index.asked(index.known(terms[seed])[1])
+                ranked = scores[seed]
                 open_ = np.flatnonzero(left)
                 for j in open_[np.argsort(-ranked[open_], kind="stable")] if len(open_) else ():
                     take = int(left[j]) if left[j] <= room else room - room % UNIT
@@ -274,7 +312,7 @@ def fill(tokens: np.ndarray, terms: list[np.ndarray], index: Index) -> list[list
 def toured(leaders: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """The leaders in an order in which each is followed by the most alike of those left, so that numbers near each other mean texts near each other."""
     index = Index([t for t, _ in leaders], [c for _, c in leaders], idf, mean)
-    alike = np.stack([index.asked(index.known(t)[1]) for t, _ in leaders])
+    alike = index.asked_all(index.numbers([t for t, _ in leaders]))
     alike = alike + alike.T
     out, left = [0], np.ones(len(leaders), bool)
     left[0] = False
@@ -292,13 +330,18 @@ def place(shared, mean: float):
         index = Index([t for t, _ in leaders], [c for _, c in leaders], idf, mean)
         for batch in batches:
             at = []
-            for row, terms, counts in zip(*(batch.column(c).to_pylist() for c in ("row", "terms", "counts")), strict=True):
-                t, tf = np.frombuffer(terms, "<u4"), np.frombuffer(counts, "<u2")
-                own = int(t[(idf[bucket(t)] * (tf / (tf + K1))).argmax()]) >> 8 if len(t) else 0
-                found = index.asked(index.known(t)[1])
-                first = int(found.argmax())
-                found[first] = -1
-                at.append(first << 48 | int(found.argmax()) << 38 | own << 14 | zlib.crc32(b"%d" % row) >> 18)
+            row, terms, counts = (batch.column(c).to_pylist() for c in ("row", "terms", "counts"))
+            for a in range(0, len(row), ASKED):
+                t, tf = ([np.frombuffer(x, kind) for x in some[a : a + ASKED]] for some, kind in ((terms, "<u4"), (counts, "<u2")))
+                stop = np.cumsum([len(x) for x in t])
+                found = index.asked_all(index.numbers(t))
+                t, tf = np.concatenate(t), np.concatenate(tf)
+                weight = idf[bucket(t)] * (tf / (tf + K1))
+                own = [int(t[i + weight[i:j].argmax()]) >> 8 if j > i else 0 for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+                first = found.argmax(1)
+                found[np.arange(len(found)), first] = -1
+                for r, x, y, z in zip(row[a : a + ASKED], first.tolist(), found.argmax(1).tolist(), own, strict=True):
+                    at.append(x << 48 | y << 38 | z << 14 | zlib.crc32(b"%d" % r) >> 18)
             at = np.array(at, np.int64)
             yield batch.append_column("shard", pa.array(at if edge is None else np.searchsorted(edge, at, "left")))
 

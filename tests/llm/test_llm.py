@@ -334,6 +334,23 @@ def test_neighbours_fill_the_seeds_window():
     assert seeded and seeded[0][1] == 2  # the neighbour with words in common comes first
 
 
+def test_texts_and_seeds_are_worked_on_together(monkeypatch):
+    """Checksums of all units at once, and scores for many seeds at once, each the same as alone."""
+    rng = np.random.default_rng(5)
+    ids = [rng.integers(0, 50000, n).astype(np.uint16) for n in (1, 15, 16, 17, 31, 32, 33, 500)]
+    for x, crcs in zip(ids, packing.unit_crcs(ids), strict=True):
+        raw = x.astype("<u4").tobytes()
+        assert crcs.tolist() == [zlib.crc32(raw[i : i + 4 * packing.UNIT]) for i in range(0, len(raw), 4 * packing.UNIT)]
+    terms = [np.unique(rng.zipf(1.3, 80) % 3000).astype(np.uint32) << np.uint32(18) for _ in range(500)]
+    index = packing.Index(terms, [rng.integers(1, 9, len(t)).astype(np.uint16) for t in terms], np.linspace(0.1, 3, 1 << packing.DF_BITS), 80.0)
+    numbers = index.numbers(terms)
+    assert len(index.rows) and (index.asked_all(numbers) == np.stack([index.asked(x) for x in numbers])).all()
+    calls, asked = [], packing.Index.asked_all
+    monkeypatch.setattr(packing.Index, "asked_all", lambda self, some: calls.append(len(some)) or asked(self, some))
+    packing.fill(rng.integers(600, 2040, 500), terms, index)
+    assert 300 < sum(calls) <= 500 and len(calls) <= 12
+
+
 # --- 6: archives --------------------------------------------------------------------------
 
 
