@@ -143,10 +143,13 @@ class TextBlock:
         self.size = size
         self.data = np.frombuffer(b"\n".join(rows) + b"\n", np.uint8)
         self.space = _SPACE[self.data]
-        edge = np.flatnonzero(np.diff(self.space.view(np.int8), prepend=1))
+        edge = np.flatnonzero(self.space != np.concatenate(([True], self.space[:-1])))
         self.w0, self.w1 = edge[0::2], edge[1::2]
         p, q = _powers(len(self.data))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p)))
+        total = np.zeros(len(self.data) + 1, np.uint64)
+        np.add(self.data, np.uint64(1), out=total[1:])
+        total[1:] *= p
+        np.cumsum(total[1:], out=total[1:])
         self.word = mix64((total[self.w1] - total[self.w0]) * q[self.w0])
         self.first = np.concatenate((np.searchsorted(self.w0, self.start), [len(self.w0)]))
         self.n_words = np.diff(self.first)

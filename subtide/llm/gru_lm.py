@@ -3,10 +3,10 @@
 Tokens are the words of the text with A-Z in lower case, and one end.  Counts of all
 tokens of the training documents give the base score.  The network predicts the
 most frequent entries (one of them stands for all other words), ``PER_ROOT`` times the
-square root of the training tokens but ``CLASSES * WIDE`` at least, with a class-factored
-softmax, P(class | state) P(entry | class, state), whose biases start
-at the corpus's unigram.  Classes have equal sums of square roots of frequencies, which makes
-the least work: few frequent words in a class, many rare ones.  An unlisted word w adds its share (c(w) + 0.1) / Z of all
+square root of the training tokens but ``CLASSES * WIDE`` at least, with a softmax in
+three factors, P(class | state) P(group | class, state) P(entry | group, state), whose biases start
+at the corpus's unigram.  Groups have equal sums of square roots of frequencies, which makes
+the least work: few frequent words in a group, many rare ones.  An unlisted word w adds its share (c(w) + 0.1) / Z of all
 unlisted words and one unseen kind, so scores are log probabilities over the same
 kinds as the base.  Training is truncated backpropagation over windows of ``STEPS``
 tokens with the state carried on, data-parallel: in each of ``ROUNDS`` rounds the
@@ -54,6 +54,8 @@ PIECE_SIZE = 1 << 16
 BLOCK = 16 << 20
 PART = 1 << 20  # bytes of text that become word hashes at a time
 LOGITS = 1 << 17
+CALLS = 0.25  # what a group's matrix costs, in logits for each token of a window
+UPDATED = 512
 END_HASH = np.uint64(0x5EED0FE2D0C5)
 OTHER = 0  # the entry of all unlisted words
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -89,41 +91,77 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _exps(states: np.ndarray, weights: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
-    """Logits at ``at`` (if given), exponentials of all logits and their sums by row; rows are moved by their largest logit only where sums would leave the numbers' range."""
-    s = states @ weights.T
-    right = None if at is None else s[np.arange(len(s)), at]
-    with np.errstate(over="ignore"):
-        p = np.exp(s, out=s)
-    total = p @ np.ones(p.shape[1], p.dtype)
-    if not (1e-25 < total.min() and total.max() < 1e25):
-        s = states @ weights.T
-        top = s.max(1)
-        right, p = None if at is None else right - top, np.exp(s - top[:, None])
-        total = p.sum(1)
-    return right, p, total
+class _Part:
+    """Some rows' exponentials of logits, one run after another in ``flat``.
 
+    ``runs`` has slices of weights, the slice of rows that ask each, and whether these are all that do.
+    """
 
-def _chunks(rows: int, width: int):
-    """Slices of rows whose logits stay in a core's cache."""
-    step = max(256, LOGITS // width)
-    return (slice(a, min(a + step, rows)) for a in range(0, rows, step))
-
-
-def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(kind.astype(np.int16) if classes < 1 << 15 else kind, kind="stable")
-    return order, np.concatenate(([0], np.cumsum(np.bincount(kind, minlength=classes))))
-
-
-def class_edges(p: np.ndarray) -> np.ndarray:
-    """Where classes begin in entries of probabilities ``p``, and the number of entries.
-
-    A class costs one logit for every token, an entry one for each token of its class:
-    their sum is least for classes of width 1 / sqrt(p).
+    def __init__(self, runs: list[tuple[slice, slice, bool]]) -> None:
+        self.runs, self.rows = runs, slice(runs[0][1].start, runs[-1][1].stop)
+        many = np.array([rows.stop - rows.start for _, rows, _ in runs])
+        wide = np.array([own.stop - own.start for own, _, _ in runs])
+        self.width = np.repeat(wide, many)
+        stop = np.cumsum(self.width)
+        self.start, self.own = stop - self.width, np.repeat([own.start for own, _, _ in runs], many)
+        end = np.cumsum(many * wide)
+        self.shapes = list(zip((end - many * wide).tolist(), end.tolist(), many.tolist(), wide.tolist(), strict=True))
+
+    def exps(self, states: np.ndarray, weights: np.ndarray, number: np.ndarray, moved: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The logit of each row's ``number``, and the exponentials' sum; where ``moved``, each row's largest logit is taken from its logits."""
+        self.flat = np.empty(self.shapes[-1][1], states.dtype)
+        self.matrices = [self.flat[a:b].reshape(m, w) for a, b, m, w in self.shapes]
+        for (own, rows, _), p in zip(self.runs, self.matrices, strict=True):
+            np.matmul(states[rows], weights[own].T, out=p)
+        if moved:
+            self.flat -= np.repeat(np.maximum.reduceat(self.flat, self.start), self.width)
+        right = self.flat[self.start + number[self.rows] - self.own]
+        np.exp(self.flat, out=self.flat)
+        return right, np.add.reduceat(self.flat, self.start)
+
+
+def _parts(runs: list[tuple[slice, slice]]) -> list[_Part]:
+    """Runs (rows one after another) in parts whose logits stay in a core's cache; long runs are cut."""
+    out, mine, held = [], [], 0
+    for own, rows in runs:
+        wide, many = own.stop - own.start, rows.stop - rows.start
+        step = many if many * wide <= LOGITS else max(256, LOGITS // wide)
+        for a in range(rows.start, rows.stop, step):
+            b = min(a + step, rows.stop)
+            if mine and (held + (b - a) * wide > LOGITS or mine[-1][1].stop != a):
+                out.append(_Part(mine))
+                mine, held = [], 0
+            mine.append((own, slice(a, b), step == many))
+            held += (b - a) * wide
+    return [*out, _Part(mine)] if mine else out
+
+
+def _in_range(total: np.ndarray) -> bool:
+    """Whether these sums of exponentials are numbers of full precision."""
+    return bool(1e-25 < total.min(initial=1) and total.max(initial=1) < 1e25)
+
+
+def _order(ids: np.ndarray, kinds: int) -> np.ndarray:
+    return np.argsort(ids.astype(np.uint16 if kinds <= 1 << 16 else np.int32), kind="stable")
+
+
+def _edges(weight: np.ndarray) -> np.ndarray:
+    """Where parts of about 1 begin in what ``weight`` adds up to, and the number of entries."""
+    total = np.cumsum(weight)
+    parts = max(1, int(total[-1]))
+    return np.unique(np.concatenate(([0], np.searchsorted(total, total[-1] * np.arange(1, parts) / parts), [len(weight)])))
+
+
+def part_edges(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups begin in entries of probabilities ``p``, and where classes begin in groups; each with the end.
+
+    A class costs one logit for every token, a group one for each token of its class, an entry one for
+    each token of its group; a group costs ``CALLS`` logits for every token besides, as it is a matrix of its own.  Their sum is
+    least for groups of (CALLS / p) ** 0.5 entries and classes of CALLS ** 0.25 / p ** 0.75.
     """
-    root = np.cumsum(np.sqrt(p / p.sum()))
-    inner = np.searchsorted(root, root[-1] * np.arange(1, int(root[-1])) / int(root[-1]))
-    return np.unique(np.concatenate(([0], inner, [len(p)])))
+    p = p / p.sum()
+    groups = _edges(np.sqrt(p / CALLS))
+    return groups, _edges(np.add.reduceat(p**0.75, groups[:-1]) / CALLS**0.25)
 
 
 def shape_of(tokens: int) -> tuple[int, int]:
@@ -136,13 +174,14 @@ def shape_of(tokens: int) -> tuple[int, int]:
 
 
 class Model:
-    """Parameters: embeddings (entries, then suffixes of unlisted words), one GRU layer, class and entry outputs."""
+    """Parameters: embeddings (entries, then suffixes of unlisted words), one GRU layer, outputs of classes, of groups and of entries."""
 
-    NAMES = ("embed", "inputs", "bias", "recur", "classes", "entries")
+    NAMES = ("embed", "inputs", "bias", "recur", "classes", "groups", "entries")
 
-    def __init__(self, edge: np.ndarray, **arrays: np.ndarray) -> None:
-        """The last column of ``classes`` and ``entries`` has their biases; class k has the entries from ``edge[k]`` on."""
-        self.edge, self.class_of = edge, np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    def __init__(self, edge: tuple[np.ndarray, np.ndarray], **arrays: np.ndarray) -> None:
+        """The last column of outputs has their biases; group k has the entries from ``edge[0][k]`` on, class k the groups from ``edge[1][k]`` on."""
+        self.edge = edge
+        self.group_of, self.class_of = (np.repeat(np.arange(len(e) - 1), np.diff(e)) for e in edge)
         for k in self.NAMES:
             setattr(self, k, arrays[k])
 
@@ -151,12 +190,14 @@ class Model:
         rng = np.random.default_rng(seed)
         f = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
         p = np.exp(log_unigram)
-        edge = class_edges(p)
-        mass = np.add.reduceat(p, edge[:-1])
+        edge = part_edges(p)
+        group = np.add.reduceat(p, edge[0][:-1])
+        mass = np.add.reduceat(group, edge[1][:-1])
         biased = lambda x: np.concatenate((np.zeros((len(x), HIDDEN)), np.log(x)[:, None]), 1).astype(np.float32)
         return cls(
             edge, embed=f(len(p) + SUFFIXES, EMBED, scale=0.3), inputs=f(EMBED, 3 * HIDDEN, scale=EMBED**-0.5), bias=np.zeros(3 * HIDDEN, np.float32),
-            recur=f(HIDDEN, 3 * HIDDEN, scale=0.5 * HIDDEN**-0.5), classes=biased(mass), entries=biased(p / np.repeat(mass, np.diff(edge))),
+            recur=f(HIDDEN, 3 * HIDDEN, scale=0.5 * HIDDEN**-0.5), classes=biased(mass),
+            groups=biased(group / np.repeat(mass, np.diff(edge[1]))), entries=biased(p / np.repeat(group, np.diff(edge[0]))),
         )
 
     def flat(self) -> np.ndarray:
@@ -170,22 +211,26 @@ class Model:
             at += a.size
         return Model(self.edge, **out)
 
+    def cell(self, x: np.ndarray, h: np.ndarray, u: np.ndarray, zr: np.ndarray, c: np.ndarray, new: np.ndarray) -> None:
+        """One step from projected inputs, by unit and lane, into the given arrays: what the state adds, the two gates, the candidate and the new state."""
+        np.matmul(self.recur.T, h, out=u)
+        np.add(x[: 2 * HIDDEN], u[: 2 * HIDDEN], out=zr)
+        _sigmoid(zr)
+        np.multiply(zr[HIDDEN:], u[2 * HIDDEN :], out=c)
+        c += x[2 * HIDDEN :]
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=new)
+        new *= zr[:HIDDEN]
+        new += c
+
     def step(self, x: np.ndarray, h: np.ndarray):
-        """One step from projected inputs: gates and the new state.
+        """One step from projected inputs by lane and unit: gates and the new state.
 
         Fastest where a gate's numbers of all lanes lie together, as ``projected`` lays them.
         """
-        u = (self.recur.T @ h.T).T
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        m = u[:, 2 * HIDDEN :]
-        c = r * m
-        c += x[:, 2 * HIDDEN :]
-        np.tanh(c, out=c)
-        new = h - c
-        new *= z
-        new += c
-        return z, r, m, c, new
+        u, zr, c, new = (np.empty((k * HIDDEN, len(h)), np.result_type(x, h)) for k in (3, 2, 1, 1))
+        self.cell(x.T, h.T, u, zr, c, new)
+        return zr[:HIDDEN].T, zr[HIDDEN:].T, u[2 * HIDDEN :].T, c.T, new.T
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """What embeddings add to the gates, by gate and lane."""
@@ -193,22 +238,38 @@ class Model:
         out += self.bias[:, None]
         return out
 
+    def levels(self, y: np.ndarray):
+        """For sorted entries: classes, groups and entries by name, the number that each of ``y`` has there, and slices of numbers that share a softmax with slices of ``y`` that ask it.
+
+        A number that is alone is certain and left out.
+        """
+        group = self.group_of[y]
+        kind = self.class_of[group]
+        parts = (("classes", kind, np.array([0, len(self.classes)]), np.zeros_like(kind)), ("groups", group, self.edge[1], kind), ("entries", y, self.edge[0], group))
+        for name, number, edge, owner in parts:
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            k = owner[first]
+            several = edge[k + 1] - edge[k] > 1
+            runs = (x[several].tolist() for x in (edge[k], edge[k + 1], first, np.append(first[1:], len(y))))
+            yield name, number, [(slice(a, b), slice(i, j)) for a, b, i, j in zip(*runs, strict=True)]
+
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target entry after its state."""
-        states = np.concatenate((states, np.ones((len(states), 1), states.dtype)), 1)
-        kind, out = self.class_of[target], np.empty(len(states), states.dtype)
-        for c in _chunks(len(states), len(self.classes)):
-            right, _, total = _exps(states[c], self.classes, kind[c])
-            out[c] = right - np.log(total)
-        order, first = _by_class(kind, len(self.classes))
-        states, place, gain = states[order], (target - self.edge[kind])[order], np.zeros(len(states), states.dtype)
-        for k in np.flatnonzero(np.diff(first)):
-            mine = self.entries[self.edge[k] : self.edge[k + 1]]
-            for c in _chunks(first[k + 1] - first[k], len(mine)) if len(mine) > 1 else ():
-                at = slice(first[k] + c.start, first[k] + c.stop)
-                right, _, total = _exps(states[at], mine, place[at])
-                gain[at] = right - np.log(total)
-        out[order] += gain
+        order = _order(target, len(self.entries))
+        y, states = target[order], np.concatenate((states[order], np.ones((len(states), 1), states.dtype)), 1)
+        out, sums = np.empty(len(states), states.dtype), np.zeros(len(states), states.dtype)
+        for name, number, runs in self.levels(y):
+            weights = getattr(self, name)
+            parts = _parts(runs)
+            for moved in (False, True):
+                right, total = np.zeros(len(y), states.dtype), np.ones(len(y), states.dtype)
+                with np.errstate(over="ignore"):
+                    for part in parts:
+                        right[part.rows], total[part.rows] = part.exps(states, weights, number, moved)
+                if _in_range(total):
+                    break
+            sums += right - np.log(total)
+        out[order] = sums
         return out
 
 
@@ -231,49 +292,67 @@ class Trainer:
             g[at] += grad * grad
             p[at] -= RATE * grad / np.sqrt(g[at])
 
+    @staticmethod
+    def _softmax(weights: np.ndarray, states: np.ndarray, number: np.ndarray, runs: list, scale: np.float32) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of states and of weights, of ``scale`` times the loss of ``number`` in its runs."""
+        inner, parts = weights[:, :-1], _parts(runs)
+        for moved in (False, True):
+            total, asked, back = np.ones(len(states), states.dtype), np.zeros(len(states), states.dtype), np.zeros((len(states), inner.shape[1]), states.dtype)
+            grad = np.zeros(weights.shape, states.dtype)
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                for part in parts:
+                    rows = part.rows
+                    _, sums = part.exps(states, weights, number, moved)
+                    total[rows], asked[rows] = sums, scale
+                    part.flat[part.start + number[rows] - part.own] -= sums
+                    weighed = states[rows] * (scale / sums)[:, None]
+                    for (own, some, whole), p in zip(part.runs, part.matrices, strict=True):
+                        np.matmul(p, inner[own], out=back[some])
+                        q = weighed[some.start - rows.start : some.stop - rows.start]
+                        if whole:
+                            np.matmul(p.T, q, out=grad[own])
+                        else:
+                            grad[own] += p.T @ q
+            if _in_range(total):
+                break
+        back *= (asked / total)[:, None]
+        return back, grad
+
     def window(self, ids: np.ndarray, target: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Learn from (steps, lanes) inputs and targets where ``real``; gives the state after the last step."""
         m, (t, n) = self.m, ids.shape
         x = m.embed[ids.ravel()]
         inputs = m.projected(x).reshape(-1, t, n)
-        kept = []
+        u, zr, c, old = (np.empty((k * HIDDEN, t, n), np.result_type(x, h)) for k in (3, 2, 1, 1))  # by unit, step and lane
+        states, new = np.ones((t, n, HIDDEN + 1), old.dtype), np.empty((HIDDEN, n), old.dtype)
+        old[:, 0] = h.T
         for k in range(t):
-            z, r, u, c, new = m.step(inputs[:, k].T, h)
-            kept.append((h, z, r, u, c))
-            h = new
+            after = old[:, k + 1] if k + 1 < t else new
+            m.cell(inputs[:, k], old[:, k], u[:, k], zr[:, k], c[:, k], after)
+            states[k, :, :-1] = after.T
+        h = new.T
         at = np.flatnonzero(real.ravel())
         if not len(at):
             return h
-        states = np.ones((t, n, HIDDEN + 1), h.dtype)
-        for k in range(t):
-            states[k, :, :-1] = kept[k + 1][0] if k + 1 < t else h
+        at = at[_order(target.ravel()[at], len(m.entries))]  # by entry, so by group and class too
         s_at, y = states.reshape(t * n, -1)[at], target.ravel()[at]
-        kind, scale = m.class_of[y], np.float32(1 / n)
-        order, first = _by_class(kind, len(m.classes))  # from here on by class
-        s_at, kind, place = s_at[order], kind[order], y[order] - m.edge[kind[order]]
-        back, d_classes = np.empty((len(at), HIDDEN), h.dtype), 0
-        for c in _chunks(len(at), len(m.classes)):
-            _, p, total = _exps(s_at[c], m.classes)
-            p *= (scale / total)[:, None]
-            p[np.arange(len(p)), kind[c]] -= scale
-            np.matmul(p, m.classes[:, :-1], out=back[c])
-            d_classes = d_classes + p.T @ s_at[c]
-        steps = [("classes", None, d_classes)]
-        for k in np.flatnonzero(np.diff(first)):
-            own = slice(m.edge[k], m.edge[k + 1])
-            if own.stop - own.start == 1:
-                continue  # certain, once the class is known
-            mine, rows = m.entries[own], slice(first[k], first[k + 1])
-            _, p, total = _exps(s_at[rows], mine)
-            p *= (scale / total)[:, None]
-            p[np.arange(len(p)), place[rows]] -= scale
-            back[rows] += p @ mine[:, :-1]
-            self._update("entries", own, p.T @ s_at[rows])
+        scale, back, steps = np.float32(1 / n), np.zeros((len(at), HIDDEN), h.dtype), []
+        for name, number, runs in m.levels(y):
+            of_states, grad = self._softmax(getattr(m, name), s_at, number, runs, scale)
+            back += of_states
+            if name == "classes":
+                steps.append((name, None, grad))
+                continue
+            first, stop = (np.array([getattr(own, x) for own, _ in runs], np.int64) for x in ("start", "stop"))
+            gap = np.flatnonzero(first[1:] != stop[:-1]) + 1
+            for a, b in zip(first[np.append(0, gap)].tolist() if runs else (), stop[np.append(gap - 1, -1)].tolist() if runs else (), strict=True):
+                for i in range(a, b, UPDATED):  # in a core's cache
+                    own = slice(i, min(i + UPDATED, b))
+                    self._update(name, own, grad[own])
         d_states = np.zeros((t * n, HIDDEN), h.dtype)
-        d_states[at[order]] = back
+        d_states[at] = back
         d_states = np.ascontiguousarray(d_states.T).reshape(HIDDEN, t, n)
-        # by hidden unit, step and lane
-        old, z, r, u, c = (np.stack([step[j].T for step in kept], 1) for j in range(5))
+        z, r, u = zr[:HIDDEN], zr[HIDDEN:], u[2 * HIDDEN :]
         of_c = (1 - z) * (1 - c * c)
         of_z = (old - c) * z * (1 - z)
         of_r = u * r * (1 - r)
@@ -291,7 +370,7 @@ class Trainer:
         d_in = du.reshape(3 * HIDDEN, -1)
         steps += [("recur", None, d_rec), ("inputs", None, x.T @ d_in.T), ("bias", None, d_in.sum(1))]
         dx = d_in.T @ m.inputs.T
-        order = np.argsort(ids.ravel().astype(np.uint16 if len(m.embed) <= 1 << 16 else ids.dtype), kind="stable")
+        order = _order(ids.ravel(), len(m.embed))
         sorted_ids = ids.ravel()[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
         steps.append(("embed", sorted_ids[first], np.add.reduceat(dx[order], first, axis=0)))

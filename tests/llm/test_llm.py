@@ -625,6 +625,31 @@ def test_scores_do_not_depend_on_windows():
         assert np.allclose(want, gru_lm.score_documents(model, entry, entry, start, n, lanes, steps), rtol=1e-4)
 
 
+def test_three_factors_are_a_distribution_of_few_logits():
+    """Each entry's share from the logits of its class, group and own row alone, also where sums leave the numbers' range."""
+    p = 1 / np.arange(1, 20001)
+    p /= p.sum()
+    model = gru_lm.Model.fresh(np.log(p), 3)
+    rng, y = np.random.default_rng(4), np.arange(len(p))
+    logits = np.zeros(len(p))
+    for name, _, runs in model.levels(y):
+        for own, rows in runs:
+            logits[rows] += own.stop - own.start
+        setattr(model, name, (getattr(model, name) + rng.normal(size=getattr(model, name).shape) * 0.3).astype(np.float32))
+    assert (p * logits).sum() < 1.2 * np.sqrt(p).sum()  # twice as many in two factors
+    states = np.repeat(rng.normal(size=(1, gru_lm.HIDDEN)).astype(np.float32), len(p), 0)
+    want = 0
+    for name, number, runs in model.levels(y):
+        s = (getattr(model, name).astype(float) @ np.append(states[0], 1))
+        for own, rows in runs:
+            s[own] -= np.log(np.exp(s[own]).sum())
+        want = want + s[number] * np.isin(number, np.concatenate([np.arange(own.start, own.stop) for own, _ in runs]))
+    assert np.allclose(model.log_probs(states, y), want, atol=1e-3) and np.exp(want).sum() == pytest.approx(1, abs=1e-3)
+    for name, shift in (("classes", 100), ("groups", -100), ("entries", 100)):
+        getattr(model, name)[:, -1] += np.float32(shift)
+    assert np.allclose(model.log_probs(states, y), want, atol=2e-3)
+
+
 def test_every_training_document_gives_gradients_once(tmp_path):
     docs = list(range(400))
     texts = [b" ".join(b"w%d" % (i * k % 97) for k in range(1 + i % 7)) for i in docs]
