@@ -16,8 +16,9 @@ each document's state carried to its end, so scores are of complete texts.
 
 Gradients and counts use all training documents.
 
-Scale: texts are written in blocks to the shared folder and stay there; the shuffles
-hold a row for each distinct word of a block (as a 64-bit hash), however often the word
+Scale: texts become tokens once; these are written in blocks to the shared folder, as numbers
+into a block's distinct words, and stay there.  Training and scoring look up a block's distinct words and
+never see its text again.  The shuffles hold a row for each distinct word of a block (as a 64-bit hash), however often the word
 occurs.  The driver holds one model, which grows with the square root of the tokens, as do
 the distinct counts from which the listed words are found.
 
@@ -84,6 +85,15 @@ class Encoded:
         self.suffix[words] = tail * 40503 % 65536 % SUFFIXES
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value is found, in rising order, and the place of every value among them."""
+    order = np.argsort(x)
+    new = np.concatenate(([True], (y := x[order])[1:] != y[:-1]))[: len(x)]
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], place
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
     np.exp(np.negative(x, out=x), out=x)
@@ -451,33 +461,73 @@ def score_documents(model: Model, entry: np.ndarray, given: np.ndarray, start: n
 # Steps that run in tasks.
 
 
+class Block:
+    """Documents as numbers into their distinct words, the most frequent first.
+
+    ``docs`` their ids, ``length`` their bytes, ``size`` their tokens, each with its end; ``words`` the words' hashes,
+    ``suffix`` the hashes of their last two bytes; ``number`` the word of each token, one document after another.
+    """
+
+    PLANES = 4  # bytes of a number, each kept apart: upper ones are mostly zero
+    OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
+
+    def __init__(self, docs: list, length: np.ndarray, size: np.ndarray, words: np.ndarray, suffix: np.ndarray, number: np.ndarray) -> None:
+        self.docs, self.length, self.size, self.words, self.suffix, self.number = docs, length, size, words, suffix, number
+
+    @classmethod
+    def of(cls, docs: list, rows: list[bytes]) -> "Block":
+        parts = []
+        for part in C.blocks(rows, PART):
+            e = Encoded(rows[part])
+            first, number = _distinct(e.hash)
+            parts.append((e.size, e.hash[first], e.suffix[first], number))
+        size, words, suffix, _ = map(np.concatenate, zip(*parts, strict=True))
+        first, place = _distinct(words)
+        places = np.split(place, np.cumsum([len(p[1]) for p in parts])[:-1])
+        number = np.concatenate([k[p[3]] for k, p in zip(places, parts, strict=True)])
+        order = np.argsort(-np.bincount(number, minlength=len(first)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        return cls(docs, np.array(list(map(len, rows))), size, words[first][order], suffix[first][order], rank[number])
+
+    def packed(self) -> pa.Buffer:
+        tables = (
+            {"doc": pa.array(self.docs, pa.int64()), "length": self.length, "size": self.size},
+            {"word": self.words, "suffix": self.suffix.astype(np.int16)},
+            {f"b{k}": (self.number >> 8 * k).astype(np.uint8) for k in range(self.PLANES)},
+        )
+        sink = pa.BufferOutputStream()
+        for table in map(pa.table, tables):
+            with pa.ipc.new_stream(sink, table.schema, options=self.OPTIONS) as writer:
+                writer.write_table(table)
+        return sink.getvalue()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> "Block":
+        source = pa.BufferReader(raw)
+        docs, words, tokens = (pa.ipc.open_stream(source).read_all() for _ in range(3))
+        number = np.zeros(len(tokens), np.int32)
+        for k, plane in enumerate(tokens.columns):
+            number |= plane.to_numpy().astype(np.int32) << 8 * k
+        return cls(docs.column("doc").to_pylist(), docs.column("length").to_numpy(), docs.column("size").to_numpy(), words.column("word").to_numpy(), words.column("suffix").to_numpy().astype(np.int64), number)
+
+
 def write_blocks(folder: str):
-    """Blocks of documents to files; of each block its distinct word hashes with their training counts."""
+    """Blocks of documents to files, as numbers of words; of each block its distinct word hashes with their training counts."""
 
     def run(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
         state: dict = {"out": None, "rows": [], "held": 0, "done": []}
 
         def flush():
             out = state["out"] = state["out"] or Output(folder, ".blocks")
             rows = state["rows"]
-            table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.large_binary())})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
-                writer.write_table(table)
-            raw = sink.getvalue()
+            block = Block.of([r[0] for r in rows], [r[1] for r in rows])
+            raw = block.packed()
             name = f"{out.name}:{out.size}:{len(raw)}"
             out.write(raw)
-            every, counts = [], []
-            for part in C.blocks([r[1] for r in rows], PART):
-                e = Encoded([r[1] for r in rows[part]])
-                learn = np.repeat([not held_out(r[0]) for r in rows[part]], e.size)
-                words, number = np.unique(e.hash, return_inverse=True)
-                every.append(words)
-                counts.append(np.bincount(number, learn, len(words)).astype(np.int64))
-            words, number = np.unique(np.concatenate(every), return_inverse=True)
-            total = np.bincount(number, np.concatenate(counts), len(words)).astype(np.int64)
-            state["done"].append((name, words.view(np.int64), total))
+            learn = np.repeat([not held_out(r[0]) for r in rows], block.size)
+            total = np.bincount(block.number, learn, len(block.words)).astype(np.int64)
+            state["done"].append((name, block.words.view(np.int64), total))
             state["rows"], state["held"] = [], 0
 
         for batch in batches:
@@ -496,13 +546,12 @@ def write_blocks(folder: str):
     return run
 
 
-def _read_block(folder: str, name: str) -> tuple[list, list[bytes]]:
+def _read_block(folder: str, name: str) -> Block:
     file, offset, length = name.split(":")
     fs, path = open_fs(folder)
     with fs.open_input_file(f"{path}/{file}") as f:
         f.seek(int(offset))
-        table = pa.ipc.open_stream(f.read(int(length))).read_all()
-    return table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+        return Block.unpacked(f.read(int(length)))
 
 
 class Listed:
@@ -517,11 +566,10 @@ class Listed:
         return np.where(self.sorted[at] == hashes, self.order[at], OTHER)
 
 
-def encode(rows: list[bytes], listed: Listed) -> tuple[Encoded, np.ndarray, np.ndarray]:
-    """Entries, and inputs: an unlisted word comes in as its suffix."""
-    e = Encoded(rows)
-    entry = listed.entries(e.hash)
-    return e, entry, np.where(entry == OTHER, len(listed.sorted) + e.suffix % (SUFFIXES - 1), entry)
+def encode(block: Block, listed: Listed) -> tuple[np.ndarray, np.ndarray]:
+    """The entry of each of the block's words, and its input: an unlisted word comes in as its suffix."""
+    entry = listed.entries(block.words)
+    return entry.astype(np.int32), np.where(entry == OTHER, len(listed.sorted) + block.suffix % (SUFFIXES - 1), entry).astype(np.int32)
 
 
 def train_round(folder: str, shared, number: int, rounds: int):
@@ -530,24 +578,31 @@ def train_round(folder: str, shared, number: int, rounds: int):
     def run(batches):
         hashes, start = shared.value
         model, listed = start.like(start.flat()), Listed(hashes)
-        trainer, seen, rows, held = Trainer(model), 0, [], 0
+        trainer, seen, parts, held = Trainer(model), 0, [], 0
 
         def learn():
-            parts = [(e.size, entry.astype(np.int32), given.astype(np.int32)) for e, entry, given in (encode(rows[part], listed) for part in C.blocks(rows, PART))]
             size, entry, given = map(np.concatenate, zip(*parts, strict=True))
             trainer.documents(entry, given, np.cumsum(size) - size, size)
             return int(size.sum())
 
         for batch in batches:
-            for block in batch.column("block").to_pylist():
-                for doc, text in zip(*_read_block(folder, block), strict=True):
-                    if not held_out(doc) and number <= zlib.crc32(f"round {doc}".encode()) / 2**32 * rounds < number + 1:
-                        rows.append(text)
-                        held += len(text)
-                        if held >= C.BLOCK_BYTES:  # documents of some blocks together: wide windows
-                            seen += learn()
-                            rows, held = [], 0
-        if rows:
+            for name in batch.column("block").to_pylist():
+                block = _read_block(folder, name)
+                entry, given = encode(block, listed)
+                mine = np.array([not held_out(doc) and number <= zlib.crc32(f"round {doc}".encode()) / 2**32 * rounds < number + 1 for doc in block.docs], bool)
+                token, at = block.number[np.repeat(mine, block.size)], 0
+                size, length = block.size[mine], block.length[mine]
+                while len(size):
+                    k = int(np.searchsorted(held + np.cumsum(length), C.BLOCK_BYTES)) + 1  # the documents that fill a block, if all do
+                    n = int(size[:k].sum())
+                    some = token[at : at + n]
+                    parts.append((size[:k], entry[some], given[some]))
+                    held += int(length[:k].sum())
+                    at, size, length = at + n, size[k:], length[k:]
+                    if held >= C.BLOCK_BYTES:  # documents of some blocks together: wide windows
+                        seen += learn()
+                        parts, held = [], 0
+        if parts:
             seen += learn()
         if seen:
             flat = model.flat()
@@ -566,8 +621,8 @@ def average(key, table: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "piece": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def score_block(folder: str, shared, n: int, v: int, rest: tuple[int, int]):
-    """Scores of a block from its words' counts: ``rest`` has tokens and kinds of the unlisted words."""
+def score_block(folder: str, shared, names, n: int, v: int, rest: tuple[int, int]):
+    """Scores of a block from its words' counts: ``names`` has the blocks by key, ``rest`` tokens and kinds of the unlisted words."""
     base_of = lambda c: np.log10((c + ADD) / (n + ADD * (v + 1)))
     other_of = lambda c: np.log10((c + ADD) / (rest[0] + ADD * (rest[1] + 1)))
 
@@ -577,18 +632,13 @@ def score_block(folder: str, shared, n: int, v: int, rest: tuple[int, int]):
         known, count = table.column("word").to_numpy().view(np.uint64), table.column("c").to_numpy()
         order = np.argsort(known)
         known, count = known[order], count[order]
-        docs, rows = _read_block(folder, key[0].as_py())
-        size, seen, base, other, entries, inputs = [], [], [], [], [], []
-        for part in C.blocks(rows, PART):
-            e, entry, given = encode(rows[part], listed)
-            c = count[np.searchsorted(known, e.hash)]
-            size.append(e.size)
-            for out, x in ((seen, (c > 0).astype(np.int64)), (base, base_of(c)), (other, np.where(entry == OTHER, other_of(c), 0.0))):
-                out.append(np.add.reduceat(x, e.start))
-            entries.append(entry.astype(np.int32))
-            inputs.append(given.astype(np.int32))
-        tokens, seen, base, other, entry, given = map(np.concatenate, (size, seen, base, other, entries, inputs))
-        score = other + score_documents(model, entry, given, np.cumsum(tokens) - tokens, tokens) / np.log(10)
+        block = _read_block(folder, names.value[key[0].as_py()])
+        entry, given = encode(block, listed)
+        c, docs, tokens = count[np.searchsorted(known, block.words)], block.docs, block.size
+        start = np.cumsum(tokens) - tokens
+        of_all = lambda x: np.add.reduceat(x[block.number], start)
+        seen, base, other = of_all((c > 0).astype(np.int64)), of_all(base_of(c)), of_all(np.where(entry == OTHER, other_of(c), 0.0))
+        score = other + score_documents(model, entry[block.number], given[block.number], start, tokens) / np.log(10)
         return pa.table({
             "doc_id": pa.array(docs, pa.int64()), "held_out": [held_out(d) for d in docs], "n_tokens": tokens, "n_known": seen,
             "train_tokens": np.full(len(docs), n), "base_score": base, "score": score,
@@ -603,7 +653,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     folder = f"{C.shared_dir(spark)}/{uuid.uuid4().hex}"
     blocks = C.scratch(C.documents(docs).mapInArrow(write_blocks(folder), "block string, words array<long>, counts array<long>"), "blocks")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    words = blocks.select("block", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("block", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    names = {r["id"]: r["block"] for r in blocks.select("block", F.xxhash64("block").alias("id")).collect()}  # short keys for the rows of words
+    words = blocks.select(F.xxhash64("block").alias("block"), F.explode(F.arrays_zip("words", "counts")).alias("x")).select("block", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     counts = C.scratch(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     by_count = sorted(((int(r["c"]), int(r["k"])) for r in counts.where("c > 0").groupBy("c").agg(F.count("*").alias("k")).collect()), reverse=True)
     n, v = sum(c * k for c, k in by_count), sum(k for _, k in by_count)
@@ -627,7 +678,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     mass[0] = rest[0] + ADD * (rest[1] + 1)
     mass[1 : 1 + len(top)] = [r["c"] for r in top]
     model = Model.fresh(np.log(mass / mass.sum()))
-    parts = int(np.clip(min(-(-blocks.count() // WORKER_BLOCKS), n // (SHARED_BY * len(model.flat()))), 1, WORKERS))  # the same on any cluster
+    parts = int(np.clip(min(-(-len(names) // WORKER_BLOCKS), n // (SHARED_BY * len(model.flat()))), 1, WORKERS))  # the same on any cluster
     spread = blocks.select("block").repartitionByRange(parts, "block")
     for k in range(rounds if n else 0):
         shared = spark.sparkContext.broadcast((number, model))
@@ -638,4 +689,4 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         shared.unpersist()
     shared = spark.sparkContext.broadcast((number, model))
     known = words.select("block", "word").join(counts, "word").select("block", "word", "c")
-    return C.by_group(known, ["block"], score_block(folder, shared, n, v, rest), schema)
+    return C.by_group(known, ["block"], score_block(folder, shared, spark.sparkContext.broadcast(names), n, v, rest), schema)

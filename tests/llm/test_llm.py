@@ -668,6 +668,43 @@ def test_every_training_document_gives_gradients_once(tmp_path):
     assert seen == sum(len(t.split()) + 1 for d, t in zip(docs, texts, strict=True) if not gru_lm.held_out(d))
 
 
+def test_texts_become_tokens_once(tmp_path, monkeypatch):
+    """Training and scoring read numbers of distinct words, which give back every token, its suffix, counts and sizes."""
+    rng = random.Random(9)
+    texts = [(prose(rng, rng.randint(0, 400)) + rng.choice(["", "\n é 好 Ab aB"])).encode() for _ in range(300)] + [b"", b"   ", b"alone"]
+    docs = [None, *range(1, len(texts))]
+    e = gru_lm.Encoded(texts)
+    monkeypatch.setattr(gru_lm, "PART", 5000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "text": pa.array([t.decode() for t in texts])})
+    (written,) = gru_lm.write_blocks(f"file://{tmp_path}")([batch])
+    name, words = written.column("block")[0].as_py(), np.array(written.column("words")[0].as_py(), np.int64).view(np.uint64)
+    calls = []
+    monkeypatch.setattr(gru_lm, "Encoded", lambda rows: calls.append(len(rows)))
+    block = gru_lm._read_block(f"file://{tmp_path}", name)
+    assert block.docs == docs and (block.size == e.size).all() and (block.length == [len(t) for t in texts]).all()
+    assert (block.words == words).all() and len(set(words)) == len(words) and set(words) == set(e.hash)
+    assert (words[block.number] == e.hash).all() and (block.suffix[block.number] == e.suffix).all()
+    learn = Counter(e.hash[np.repeat([not gru_lm.held_out(d) for d in docs], e.size)])
+    assert written.column("counts")[0].as_py() == [learn[w] for w in words]
+
+    size, n, v = gru_lm.CLASSES * gru_lm.WIDE, sum(learn.values()), len(learn)
+
+    class Shared:
+        value = (np.concatenate((np.array([1, gru_lm.END_HASH], np.uint64), np.arange(2, size, dtype=np.uint64))), gru_lm.Model.fresh(np.log(np.full(size, 1 / size))))
+
+    class Names:
+        value = {7: name}
+
+    got = [list(gru_lm.train_round(f"file://{tmp_path}", Shared, k, 4)([pa.RecordBatch.from_pydict({"block": [name]})])) for k in range(4)]
+    assert sum(x[0].column("weight")[0].as_py() for x in got) == n
+    table = pa.table({"word": pa.array(words.view(np.int64)), "c": pa.array([learn[w] for w in words], pa.int64())})
+    out = gru_lm.score_block(f"file://{tmp_path}", Shared, Names, n, v, (n - learn[gru_lm.END_HASH], v - 1))((pa.scalar(7),), table)
+    assert out.column("doc_id").to_pylist() == docs and out.column("n_tokens").to_pylist() == e.size.tolist()
+    base = np.log10([(learn[w] + 0.1) / (n + 0.1 * (v + 1)) for w in e.hash])
+    assert np.allclose(out.column("base_score"), np.add.reduceat(base, e.start)) and np.isfinite(out.column("score").to_numpy()).all()
+    assert calls == []
+
+
 def test_listed_words_grow_with_the_tokens(spark, stored, monkeypatch):
     sizes = [a * b for a, b in map(gru_lm.shape_of, (0, 10**6, 10**8, 10**10))]
     assert sizes[0] == 2048 and sizes[1] >= 4000 and sizes[2] >= 40000 and sizes[3] >= 400000
