@@ -99,3 +99,21 @@ def test_proofreading_makes_cues_twice(spark):
     cache = spark.createDataFrame([], "task string, model string, key string, value string")
     done, proposals = review.proofread(c, cache, lambda task, items: [{"id": x["id"], "case": "upper", "punct": "。"} for x in items], "m")
     assert len(done.collect()) == 400 and proposals.groupBy("task").count().count() == 2 and made.value == 800
+
+
+def test_all_that_a_repair_leaves(spark, tmp_path):
+    """Names, pairs and missing Vietnamese lines too, over files with and without a Vietnamese one."""
+    import random
+
+    from subtide.plans import chinese
+
+    rng, said = random.Random(6), ["ma", "hao", "mahao", "lv", "nve", "lvma", "xk", "xkma", "b", "xkb", "Xk", "wq"]
+    rows = [(c, n, "user", " ".join(rng.choice(said[: 6 if c % 3 == 0 else None]) for _ in range(rng.choice((1, 1, 2, 3))))) for c in range(60) for n in range(rng.randint(1, 8))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, code, cue, n FROM ({catalogue.ORACLE_SQL['fix_then_check']})").fetchall()
+    got = [tuple(r) for r in chinese.fix_then_check(spark, str(tmp_path)).select("doc_id", "code", "cue", "n").collect()]
+    assert sorted(got) == sorted(want) and {r[1] for r in got} == {"NAME_INCONSISTENT", "TIMESTAMP_ORDER", "VI_EMPTY_LINE", "VI_MARKER_SYNC"}
+    vi = {r[0] for r in got if r[1].startswith("VI_")}
+    assert vi and {r[3] for r in got if r[1] == "TIMESTAMP_ORDER"} == {1, 2}  # once more where there is a Vietnamese file
