@@ -402,7 +402,13 @@ def end_mark_proposals(spark, sf_dir):
     return review.judge_ends(names.answered(items, _none(spark), "T4", "m", proofreader)).select("doc_id", "pos", "line", "status", "mark")
 
 
-@query(f"""WITH {_OPEN}, p AS (SELECT *, coalesce(said = 'upper', false) AS decided, CASE WHEN mark NOT IN ('none', '?') THEN mark END AS added, lag(CASE WHEN mark NOT IN ('none', '?') THEN mark END) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM o)
+#: The same for all open cues, without limits.
+_ALL_OPEN = """o AS (SELECT *, CASE WHEN asked3 AND length(line) % 5 <> 0 THEN ['upper', 'lower', 'maybe'][length(w) % 3 + 1] END AS said,
+  CASE WHEN line <> '' AND length(line) % 7 <> 0 THEN ['。', 'none', '，', '?', '！'][length(line) % 5 + 1] END AS mark FROM (
+  SELECT conv_id AS doc_id, turn AS pos, array_to_string(t, ' ') AS line, t[1] AS w, turn % 2 = 0 AND len(t) > 0 AS asked3 FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS t FROM conversations)))"""
+
+
+@query(f"""WITH {_ALL_OPEN}, p AS (SELECT *, coalesce(said = 'upper', false) AS decided, CASE WHEN mark NOT IN ('none', '?') THEN mark END AS added, lag(CASE WHEN mark NOT IN ('none', '?') THEN mark END) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM o)
 SELECT doc_id, pos, line || coalesce(added, '') AS zh, CASE WHEN w IS NULL THEN '' WHEN decided OR (before IN ('。', '！') AND length(w) <= 9) THEN upper(w[1]) || lower(w[2:]) ELSE lower(w) END AS first,
   w IS NOT NULL AND NOT decided AND coalesce(before IN ('。', '！'), false) AND length(w) <= 9 AS recased FROM p""")
 def proofread_cues(spark, sf_dir):

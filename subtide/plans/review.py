@@ -7,6 +7,8 @@ and tokens; answers come through ``names.cached_answers``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from subtide.operators import relational
 from subtide.plans import names
 from subtide.sources import sinks
 
-#: Answers on case and on end marks, marks that end a line, and how many items are asked.
+#: Answers on case and on end marks, marks that end a line, and how many items a list has unless all are asked for.
 CASES = ("upper", "lower")
 END_MARKS, NO_MARK = ("。", "？", "！", "，", "……"), "none"
 CLOSED_BY = "。？！…；：》”）’、，"
@@ -52,21 +54,25 @@ def _replaced(tokens: Column, at: Column, when: Column, pinyin: Column) -> Colum
     return F.when(when, F.transform(tokens, lambda t, i: F.when(i == at, new(t)).otherwise(t))).otherwise(tokens)
 
 
-def _viewed(cues: DataFrame) -> DataFrame:
+def _viewed(cues: DataFrame, *keys: str) -> DataFrame:
     """doc_id, pos, line, the lines before and after, the first word and the last token of each cue, without its tokens."""
-    d = cues.select("doc_id", "pos", sinks.render(F.col("tokens")).alias("line"), _first_word(F.col("tokens")).alias("first"), _last_visible(F.col("tokens")).alias("last"))
+    d = cues.select("doc_id", "pos", *keys, sinks.render(F.col("tokens")).alias("line"), _first_word(F.col("tokens")).alias("first"), _last_visible(F.col("tokens")).alias("last"))
     return d.withColumn("before", F.coalesce(F.lag("line").over(_in_file()), F.lit(""))).withColumn("next", F.coalesce(F.lead("line").over(_in_file()), F.lit("")))
 
 
-def case_items(cues: DataFrame, limit: int = CASE_ITEMS) -> DataFrame:
-    """First words whose case the marks before leave open: doc_id, pos, at, zh, pinyin, payload; the first ``limit`` in the order of cues."""
-    return _case_items(_viewed(cues), limit)
+def _first(items: DataFrame, limit: int | None) -> DataFrame:
+    return items if limit is None else items.orderBy("doc_id", "pos").limit(limit)
+
+
+def case_items(cues: DataFrame, limit: int | None = CASE_ITEMS) -> DataFrame:
+    """First words whose case the marks before leave open: doc_id, pos, at, zh, pinyin, payload; the first ``limit`` in the order of cues, or all."""
+    return _first(_case_items(_viewed(cues)), limit)
 
 
-def _case_items(viewed: DataFrame, limit: int = CASE_ITEMS) -> DataFrame:
+def _case_items(viewed: DataFrame, *keys: str) -> DataFrame:
     d = viewed.where(F.array_contains("first.t.flags", "CASE_AMBIG") & (F.coalesce("first.t.pinyin", F.lit("")) != ""))
     payload = F.to_json(F.struct(F.col("before").alias("prev"), "line", F.col("first.t.zh").alias("word")))
-    return d.orderBy("doc_id", "pos").limit(limit).select("doc_id", "pos", F.col("first.at").alias("at"), F.col("first.t.zh").alias("zh"), F.col("first.t.pinyin").alias("pinyin"), payload.alias("payload"))
+    return d.select("doc_id", "pos", *keys, F.col("first.at").alias("at"), F.col("first.t.zh").alias("zh"), F.col("first.t.pinyin").alias("pinyin"), payload.alias("payload"))
 
 
 def judge_case(answered: DataFrame) -> DataFrame:
@@ -77,21 +83,27 @@ def judge_case(answered: DataFrame) -> DataFrame:
     return answered.withColumn("after", after).withColumn("status", F.when(F.col("answer").isNull(), "unanswered").when(~valid, "rejected").when(F.col("after") == F.col("pinyin"), "confirmed").otherwise("applied"))
 
 
-def apply_case(cues: DataFrame, judged: DataFrame) -> DataFrame:
+def _applied(cues: DataFrame, judged: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
+    """Cues with columns of the applied proposals; as many rows as before, whatever comes twice or has no number."""
+    j = judged.where("status = 'applied'").select(*[F.col(k).alias(f"_j_{k}") for k in keys], *columns).dropDuplicates([f"_j_{k}" for k in keys])
+    same = [cues[k].eqNullSafe(j[f"_j_{k}"]) for k in keys]
+    return cues.join(j, same, "left").drop(*[f"_j_{k}" for k in keys])
+
+
+def apply_case(cues: DataFrame, judged: DataFrame, keys: Sequence[str] = ("doc_id", "pos")) -> DataFrame:
     """Cues with the applied proposals."""
-    j = judged.where("status = 'applied'").select("doc_id", "pos", "at", "after")
-    return cues.join(j, ["doc_id", "pos"], "left").withColumn("tokens", _replaced(F.col("tokens"), F.col("at"), F.col("after").isNotNull(), F.col("after"))).drop("at", "after")
+    return _applied(cues, judged, keys, "at", "after").withColumn("tokens", _replaced(F.col("tokens"), F.col("at"), F.col("after").isNotNull(), F.col("after"))).drop("at", "after")
 
 
-def end_items(cues: DataFrame, limit: int = END_ITEMS) -> DataFrame:
-    """Lines that end without a closing mark: doc_id, pos, line, payload; the first ``limit`` in the order of cues."""
-    return _end_items(_viewed(cues), limit)
+def end_items(cues: DataFrame, limit: int | None = END_ITEMS) -> DataFrame:
+    """Lines that end without a closing mark: doc_id, pos, line, payload; the first ``limit`` in the order of cues, or all."""
+    return _first(_end_items(_viewed(cues)), limit)
 
 
-def _end_items(d: DataFrame, limit: int = END_ITEMS) -> DataFrame:
+def _end_items(d: DataFrame, *keys: str) -> DataFrame:
     closed = (F.col("last.kind") == "punct") & F.substr(F.trim("last.zh"), F.lit(-1)).isin(*CLOSED_BY)
     d = d.where(F.col("last").isNotNull() & ~closed & F.col("last.kind").isin("word", "punct"))
-    return d.orderBy("doc_id", "pos").limit(limit).select("doc_id", "pos", "line", F.to_json(F.struct("line", "next")).alias("payload"))
+    return d.select("doc_id", "pos", *keys, "line", F.to_json(F.struct("line", "next")).alias("payload"))
 
 
 def judge_ends(answered: DataFrame) -> DataFrame:
@@ -101,9 +113,9 @@ def judge_ends(answered: DataFrame) -> DataFrame:
     return answered.withColumn("status", status).withColumn("mark", F.when(status == "applied", said))
 
 
-def apply_ends(cues: DataFrame, judged: DataFrame) -> DataFrame:
+def apply_ends(cues: DataFrame, judged: DataFrame, keys: Sequence[str] = ("doc_id", "pos")) -> DataFrame:
     """Cues with the marks that were taken, and ``closed``: whether one was added."""
-    d = cues.join(judged.where("status = 'applied'").select("doc_id", "pos", "mark"), ["doc_id", "pos"], "left")
+    d = _applied(cues, judged, keys, "mark")
     token = cues.schema["tokens"].dataType.elementType.simpleString()
     added = F.array(F.struct(F.lit("punct").alias("kind"), F.col("mark").alias("zh"), F.lit(None).cast("string").alias("pinyin"), F.lit(1.0).alias("confidence"), F.lit("ai").alias("source"), F.array(F.lit("AI_APPLIED")).alias("flags")).cast(token))
     return d.withColumn("tokens", F.when(F.col("mark").isNotNull(), F.concat("tokens", added)).otherwise(F.col("tokens"))).withColumn("closed", F.col("mark").isNotNull()).drop("mark")
@@ -123,20 +135,23 @@ def recase_after(cues: DataFrame) -> DataFrame:
 def proofread(cues: DataFrame, cache: DataFrame, call: names.Provider = names.null_provider, model: str = "none") -> tuple[DataFrame, DataFrame]:
     """Case, then end marks, then the case after them: (cues, proposals).
 
-    Case changes pinyin and flags alone, so both kinds of items come from one view of the
-    cues as they came; items and answers, which have limits, are written and looked at before they meet the cues.
+    All open cues are asked for.  Case changes pinyin and flags alone, so both kinds of items come from one view of the
+    cues as they came; items and answers are written and looked at before they meet the cues, by document, place and content.
     """
-    viewed = shared.written(_viewed(cues), "viewed")
+    cues = cues.withColumn("_content", F.xxhash64("tokens"))
+    viewed = shared.written(_viewed(cues, "_content"), "viewed")
+    keys = ["doc_id", "pos", "_content"]
 
-    def judged(items: DataFrame, task: str, judge) -> DataFrame:
-        return relational.small(shared.written(judge(names.answered(shared.written(items, "items"), cache, task, model, call)), "judged"))
+    def judged(items: DataFrame, task: str, judge, *columns: str) -> DataFrame:
+        done = judge(names.answered(shared.written(items, "items"), cache, task, model, call)).select(*keys, *columns, "status", "cached")
+        return relational.small(shared.written(done, "judged"))
 
-    cased = judged(_case_items(viewed), "T3", judge_case)
-    cues = apply_case(cues, cased)
-    ended = judged(_end_items(viewed), "T4", judge_ends)
+    cased = judged(_case_items(viewed, "_content"), "T3", judge_case, "at", "after")
+    cues = apply_case(cues, cased, keys)
+    ended = judged(_end_items(viewed, "_content"), "T4", judge_ends, "mark")
     shape = ["doc_id", "pos", "status", "cached"]
     proposals = cased.select(F.lit("T3").alias("task"), *shape).unionByName(ended.select(F.lit("T4").alias("task"), *shape))
-    return recase_after(apply_ends(cues, ended)), proposals
+    return recase_after(apply_ends(cues, ended, keys).drop("_content")), proposals
 
 
 def edited_files(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -117,3 +117,17 @@ def test_all_that_a_repair_leaves(spark, tmp_path):
     assert sorted(got) == sorted(want) and {r[1] for r in got} == {"NAME_INCONSISTENT", "TIMESTAMP_ORDER", "VI_EMPTY_LINE", "VI_MARKER_SYNC"}
     vi = {r[0] for r in got if r[1].startswith("VI_")}
     assert vi and {r[3] for r in got if r[1] == "TIMESTAMP_ORDER"} == {1, 2}  # once more where there is a Vietnamese file
+
+
+def test_proofreading_asks_for_all_open_cues(spark):
+    """More of them than a list has; cues that come twice or have no place are neither lost nor multiplied."""
+    word = lambda w: [("word", w, w, 1.0, "x", ["CASE_AMBIG"])]
+    rows = [(f"d{n % 3}", n, word(f"w{n}")) for n in range(400)] + [("e", 0, word("x")), ("e", 0, word("x")), ("e", 1, word("y")), ("e", 1, word("zz")), ("e", None, word("n"))]
+    c = spark.createDataFrame(rows, "doc_id string, pos int, tokens array<struct<kind:string,zh:string,pinyin:string,confidence:double,source:string,flags:array<string>>>")
+    cache = spark.createDataFrame([], "task string, model string, key string, value string")
+    answer = lambda task, items: [{"id": x["id"], "case": "upper", "punct": "！" if x.get("line") == "zz" else "。"} for x in items]
+    done, proposals = review.proofread(c, cache, answer, "m")
+    assert {(r["task"], r["status"]): r["count"] for r in proposals.groupBy("task", "status").count().collect()} == {("T3", "applied"): 405, ("T4", "applied"): 405}
+    got = sorted(tuple(r) for r in done.select(sinks.render(F.col("tokens")).alias("z"), sinks.render(F.col("tokens"), "pinyin").alias("p")).collect())
+    assert got == sorted((w + m, w.capitalize() + m) for w, m in [*((f"w{n}", "。") for n in range(400)), ("x", "。"), ("x", "。"), ("y", "。"), ("zz", "！"), ("n", "。")])
+    assert review.case_items(c).count() == review.CASE_ITEMS and review.case_items(c, None).count() == review.end_items(c, None).count() == 405
